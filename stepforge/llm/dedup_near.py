@@ -109,7 +109,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
     sizes = F.size("left") + F.size("right")
-    met = pairs.join(left, "a").join(right, "b").filter(100 * F.least(F.size("left"), F.size("right")) >= percent * F.greatest(F.size("left"), F.size("right")))
+    met = pairs.hint("merge").join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(100 * F.least(F.size("left"), F.size("right")) >= percent * F.greatest(F.size("left"), F.size("right")))
     return met.filter(100 * both >= percent * (sizes - both)).select("a", "b")
 
 
@@ -124,7 +124,7 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tree
     )
     pairs = written(_candidates(trees_of), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(shingle_words), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+    sets = written(texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_shingler(shingle_words), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
     links = written(_linked(pairs.filter("hub"), sets, percent), "links")
     joined = components(links)
     rest = pairs.filter("not hub")

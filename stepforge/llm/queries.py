@@ -6,10 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepforge.llm import dedup_exact, dedup_near
+from stepforge.llm import dedup_exact, dedup_near, langid, mixing, tokens, toxicity
 from stepforge.llm.shared import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs.select("doc_id", "text"), langid.fit(docs)).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op3_nbsvm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op5_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_shards(tokens.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_near.near_groups(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
@@ -19,8 +43,8 @@ def op9_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_minhash_forest, op9_block_naming)}
+    return {f.__name__: f for f in (op1_systematic_mix, op2_ppm_language, op3_nbsvm_toxicity, op5_elias_fano_tokens, op7_minhash_forest, op9_block_naming)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_block_naming": dedup_exact.ORACLE_SQL}
+    return {"op1_systematic_mix": mixing.ORACLE_SQL, "op9_block_naming": dedup_exact.ORACLE_SQL}

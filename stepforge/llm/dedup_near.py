@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stepforge.llm import textops
 from stepforge.llm.components import components
-from stepforge.llm.shared import written
+from stepforge.llm.shared import sized, written
 
 TREES = 24
 DEPTHS = (6, 9, 12)
@@ -123,8 +123,8 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tree
         "forest",
     )
     pairs = written(_candidates(trees_of), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_shingler(shingle_words), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
+    wanted = sized(written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired"))
+    sets = written(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(shingle_words), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
     links = written(_linked(pairs.filter("hub"), sets, percent), "links")
     joined = components(links)
     rest = pairs.filter("not hub")

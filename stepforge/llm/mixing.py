@@ -49,22 +49,23 @@ def offset(source):
 
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken; documents of 0 copies are kept too."""
-    own = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("block", F.floor(F.col("doc_id") / BLOCK_IDS))
-    blocks = own.groupBy("source", "size", "block").agg(F.count(F.lit(1)).alias("n"))
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
+    own = docs.withColumn("_z", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_s", key).withColumn("_k", F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS), F.lit(-(1 << 62))))
+    blocks = own.groupBy("_s", "_z", "_k").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("_source"))
     rows_before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("of_size", F.coalesce(F.sum("n").over(rows_before("source", "size", F.col("block").asc_nulls_first())), F.lit(0)))
-    sizes = blocks.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    shares = targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")))
-    sizes = sizes.withColumn("of_source", F.coalesce(F.sum("n").over(rows_before("source", F.col("size").desc())), F.lit(0)))
-    shares = shares.withColumnRenamed("source", "s")
-    sizes = sizes.join(shares, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("size").alias("z"), "of_source", "source_size", "target")
-    before = blocks.join(sizes, [F.col("source").eqNullSafe(F.col("s")), F.col("size") == F.col("z")]).select("s", "z", F.col("block").alias("k"), (F.col("of_source") + F.col("of_size")).alias("before"), "source_size", "target")
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "block").orderBy(F.col("doc_id").asc_nulls_first())))
-    placed = ranked.join(before, [F.col("source").eqNullSafe(F.col("s")), F.col("size") == F.col("z"), F.col("block").eqNullSafe(F.col("k"))])
+    sizes = blocks.groupBy("_s", "_z").agg(F.sum("n").alias("n"), F.first("_source").alias("_source"))
+    shares = targets(sizes.select(F.col("_source").alias("source"), (F.col("_z") * F.col("n")).alias("size"))).withColumn("_s", key).drop("source")
+    sizes = sizes.withColumn("of_source", F.coalesce(F.sum("n").over(rows_before("_s", F.col("_z").desc())), F.lit(0)))
+    sizes = sizes.join(shares, "_s").select("_s", "_z", "of_source", "source_size", "target")
+    blocks = blocks.withColumn("of_size", F.coalesce(F.sum("n").over(rows_before("_s", "_z", "_k")), F.lit(0)))
+    before = blocks.join(sizes, ["_s", "_z"]).select("_s", "_z", "_k", (F.col("of_source") + F.col("of_size")).alias("_before"), "source_size", "target")
+    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    ranked = own.select(*keep, "_s", "_z", "_k").withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_z", "_k").orderBy(F.col("doc_id").asc_nulls_first())))
+    placed = ranked.join(before, ["_s", "_z", "_k"])
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    at = F.col("before") + F.col("rank")
+    at = F.col("_before") + F.col("_rank")
     copies = F.floor(at * rate + offset(F.col("source"))) - F.floor((at - 1) * rate + offset(F.col("source")))
-    return placed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("s", "z", "k", "block", "rank", "before")
+    return placed.select(*keep, F.col("_z").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_z")).alias("taken"))
 
 
 def emitted(docs: DataFrame) -> DataFrame:

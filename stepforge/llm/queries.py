@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepforge.llm import dedup_exact, dedup_near, langid, mixing, tokens, toxicity
+from stepforge.llm import chat, decontam, dedup_exact, dedup_near, langid, mixing, quality, tokens, toxicity, warc
 from stepforge.llm.shared import table
 
 
@@ -30,21 +30,56 @@ def op3_nbsvm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.derive(warc.responses(table(spark, sf_dir, "pages"))))
+
+
 def op5_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_shards(tokens.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_near.near_groups(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.rotate(table(spark, sf_dir, "conversations")))
+
+
 def op9_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_systematic_mix, op2_ppm_language, op3_nbsvm_toxicity, op5_elias_fano_tokens, op7_minhash_forest, op9_block_naming)}
+    found = (
+        op1_systematic_mix,
+        op2_ppm_language,
+        op3_nbsvm_toxicity,
+        op4_warc_derivatives,
+        op5_elias_fano_tokens,
+        op6_simhash_decontamination,
+        op7_minhash_forest,
+        op8_perspective_rotation,
+        op9_block_naming,
+        op10_weak_label_quality,
+        pipeline,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_systematic_mix": mixing.ORACLE_SQL, "op9_block_naming": dedup_exact.ORACLE_SQL}
+    return {"op1_systematic_mix": mixing.ORACLE_SQL, "op8_perspective_rotation": chat.ORACLE_SQL, "op9_block_naming": dedup_exact.ORACLE_SQL}

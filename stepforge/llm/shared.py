@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,5 +34,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids that may be broadcast: about 32 MB in each executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A written table of ids with the join it is fit for: broadcast up to ``BROADCAST_ROWS``, a sort-merge join beyond."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not among ``ids`` (doc_id); rows with a null doc_id stay."""
+    return docs.join(sized(written(ids.select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

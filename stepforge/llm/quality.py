@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from stepforge.llm import textops
 
-NAMES = ("case", "symbols", "tables", "word_length", "variety", "length", "lines", "sentences", "digits")
+NAMES = ("case", "symbols", "tables", "word_length", "variety", "length", "lines", "sentences", "digits", "runs", "stutter")
 BUCKETS = 1 << 14
 FIT_ROWS = 8_000
 ROUNDS = 120
+KEEP = 0.3
 
 #: Character classes of bytes: 0 lower, 1 upper, 2 digit, 3 space, 4 line feed, 5 sentence end, 6 comma, 7 bar, 8 other ASCII, 9 not ASCII.
 _CLASS = np.full(256, 8, dtype=np.uint8)
@@ -59,9 +60,14 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.maximum(np.diff(of_text), 1)
     letters = np.maximum(count[:, 0] + count[:, 1], 1)
     upper, symbols, bars = count[:, 1] / letters, (count[:, 5] + count[:, 7] + count[:, 8]) / size, count[:, 7] / some
-    length, variety, again = np.bincount(np.searchsorted(first, np.arange(len(starts)), side="right") - 1, ends - starts, minlength=n)[:n] / some, distinct / some, 1 - unique / total
+    length, variety, again = np.bincount(np.searchsorted(first, np.arange(len(starts)), side="right") - 1, ends - starts, minlength=n) / some, distinct / some, 1 - unique / total
     stops = count[:, 5] / some
     digits = count[:, 2] / size
+    same = (data[2:] == data[:-2]) & (data[1:-1] == data[:-2]) & (kinds[2:] >= 5) & (kinds[2:] <= 8) if len(data) > 2 else np.zeros(0, bool)
+    runs = np.bincount(text[np.flatnonzero(same)], minlength=n) / some
+    of_word = np.searchsorted(first, np.arange(len(starts)), side="right") - 1
+    echo = (hashes[1:] == hashes[:-1]) & (of_word[1:] == of_word[:-1])
+    stutter = np.bincount(of_word[np.flatnonzero(echo)], minlength=n) / some
     out = [
         _vote(upper, upper < 0.2, upper > 0.5),
         _vote(symbols, symbols < 0.06, symbols > 0.1),
@@ -72,6 +78,8 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         _vote(again, (again < 0.1) & (words >= 10), again > 0.35),
         _vote(stops, (stops > 0.015) & (stops < 0.4), (stops > 0.6) | (stops < 0.004) & (words > 80)),
         _vote(digits, digits < 0.05, digits > 0.2),
+        _vote(runs, runs < 0.01, runs > 0.1),
+        _vote(stutter, stutter < 0.02, stutter > 0.1),
     ]
     return np.stack(out, axis=1).astype(np.int64)
 
@@ -86,8 +94,8 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """EM over vote patterns (rows of -1, 0, 1): P(vote good | bad, good text) of each labeller, and each pattern's P(good)."""
     cast, good = patterns >= 0, patterns == 1
-    share = (good.sum(axis=1) + 1) / (cast.sum(axis=1) + 2)
-    post, weight = np.where(share > 0.5, 0.9, share * 0.9), counts[:, None]
+    #: The start believes every complaint, as a bad vote is meant to be rare among good texts; the rounds weigh it.
+    post, weight = np.where((patterns == 0).any(axis=1), 0.2, 0.95), counts[:, None]
     rates = np.zeros((2, patterns.shape[1]))
     for _ in range(rounds):
         prior = np.clip((post * counts).sum() / max(1, counts.sum()), 0.01, 0.99)
@@ -139,7 +147,7 @@ def _learned(y: np.ndarray, row: np.ndarray, bucket: np.ndarray, value: np.ndarr
 
 
 def assess(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, pattern, weak_label (the pattern's posterior), score (the scorer's), kept (score >= 0.5) of every row."""
+    """doc_id, pattern, weak_label (the pattern's posterior), score (the scorer's), kept (score >= KEEP) of every row."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     counted = texts.mapInArrow(_voted, "doc_id long, pattern long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").toPandas()
@@ -174,6 +182,6 @@ def assess(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
                 text, bucket, value = _features(data, offsets)
                 z = np.bincount(text, weights[bucket] * value, minlength=b - a) + bias
                 score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pattern), pa.array(labels[pattern]), pa.array(score), pa.array(score >= 0.5)], ["doc_id", "pattern", "weak_label", "score", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pattern), pa.array(labels[pattern]), pa.array(score), pa.array(score >= KEEP)], ["doc_id", "pattern", "weak_label", "score", "kept"])
 
     return texts.mapInArrow(scored, "doc_id long, pattern long, weak_label double, score double, kept boolean")

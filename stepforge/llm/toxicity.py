@@ -132,11 +132,12 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = shared.value
+        index = None if frozen is None else frozen["index"].astype(np.int64)
         for batch in batches:
             for a, b, data, offsets in textops.chunks(batch.column(1)):
                 out = np.zeros(b - a)
                 if frozen is not None:
-                    text, feature = _present(data, offsets, frozen["index"].astype(np.int64))
+                    text, feature = _present(data, offsets, index)
                     z = np.bincount(text, frozen["weight"][feature], minlength=b - a) + frozen["bias"]
                     out = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])

@@ -38,7 +38,7 @@ def _decoded(text: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Visible text: hidden elements and comments go, block tags break lines, blanks collapse, empty lines go."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
-    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, "")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\n\f]+", " "), BREAKS, "\n"), TAG, "")
     text = F.regexp_replace(_decoded(text), r"[ \t\r\f]+", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 

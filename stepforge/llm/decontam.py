@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.llm import textops
+from stepforge.llm.shared import texts_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -165,14 +166,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for batch in batches:
+            for batch in textops.released(batches):
                 for a, b, data, offsets in textops.chunks(batch.column(1)):
                     found = list(_found(index, data, offsets, similarity))
                     if found:
                         t, i, v, w, n = zip(*found)
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(t)), pa.array([index.ids[x] for x in i], pa.int64()), pa.array(v, pa.float64()), pa.array(w, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "item_id", "similarity", "start_word", "windows"])
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, similarity double, start_word long, windows long"))
+        parts.append(texts_of(docs).select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, similarity double, start_word long, windows long"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stepforge.llm import textops
 from stepforge.llm.components import components
-from stepforge.llm.shared import sized, written
+from stepforge.llm.shared import sized, texts_of, written
 
 TREES = 24
 DEPTHS = (6, 9, 12)
@@ -45,7 +45,7 @@ def _signer(shingle_words: int, trees: int):
     later = np.stack([np.random.default_rng(t).permutation(np.delete(np.arange(first), np.s_[t * DEPTHS[0] : (t + 1) * DEPTHS[0]]))[: DEPTHS[-1] - DEPTHS[0]] for t in range(trees)]) if rest and trees > 1 else None
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textops.released(batches):
             ids = batch.column(0)
             for a, b, data, offsets in textops.chunks(batch.column(1)):
                 sets = list(textops.shingle_sets(data, offsets, shingle_words))
@@ -79,7 +79,7 @@ def _signer(shingle_words: int, trees: int):
 
 def _shingler(shingle_words: int):
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textops.released(batches):
             for a, b, data, offsets in textops.chunks(batch.column(1)):
                 sets = list(textops.shingle_sets(data, offsets, shingle_words))
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -115,7 +115,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
-    texts = docs.select("doc_id", "text")
+    texts = texts_of(docs.select("doc_id", "text"))
     signed = written(texts.mapInArrow(_signer(shingle_words, trees), "doc_id long, n_shingles long, one long, two long, keys array<long>"), "signatures")
     classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("one", "two", "n_shingles").agg(F.min(F.struct("doc_id", "keys")).alias("rep"))
     trees_of = written(

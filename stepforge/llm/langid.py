@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.llm import textops
+from stepforge.llm.shared import texts_of
 
 FIT_DOCS = 800
 LANGUAGES = 200
-CELLS = 12_000_000
+CELLS = 4_000_000
 ORDER = 3
 UNKNOWN = "und"
 PAD = 10
@@ -46,7 +47,7 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in textops.released(batches):
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
         for a, b, data, offsets in textops.chunks(batch.column(1)):
             for lang in sorted(set(langs[a:b])):
@@ -135,7 +136,7 @@ class Model:
 
 def fit(docs: DataFrame) -> Model | None:
     """The frozen model of the labelled rows of ``docs`` that are not held out; None if there are none."""
-    known = docs.select("doc_id", "lang", "text").filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = texts_of(docs).select("doc_id", "lang", "text").filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     share = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("n") < F.lit(FIT_DOCS * (1 << 30)))
     sample = known.join(F.broadcast(counts), "lang").filter(share).select("lang", "text")
@@ -150,13 +151,13 @@ def fit(docs: DataFrame) -> Model | None:
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with lang_pred, score and bits_per_byte (of the predicted language); only the text is looked at."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
-    docs = docs.select(*kept)
+    docs = texts_of(docs.select(*kept))
     place = kept.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = shared.value
-        for batch in batches:
+        for batch in textops.released(batches):
             letters = batch.column(len(kept)).to_numpy(zero_copy_only=False).astype(bool)
             for a, b, data, offsets in textops.chunks(batch.column(place)):
                 size = np.diff(offsets)

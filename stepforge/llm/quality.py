@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.llm import textops
+from stepforge.llm.shared import texts_of
 
 NAMES = ("case", "symbols", "tables", "word_length", "variety", "length", "lines", "sentences", "digits", "runs", "stutter")
 BUCKETS = 1 << 14
@@ -86,7 +87,7 @@ def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places = 3 ** np.arange(len(NAMES))
-    for batch in batches:
+    for batch in textops.released(batches):
         for a, b, data, offsets in textops.chunks(batch.column(1)):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(((votes(data, offsets) + 1) * places).sum(axis=1))], ["doc_id", "pattern"])
 
@@ -125,7 +126,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in textops.released(batches):
         for a, b, data, offsets in textops.chunks(batch.column(1)):
             text, bucket, value = _features(data, offsets)
             at = pa.array(np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32))
@@ -149,7 +150,7 @@ def _learned(y: np.ndarray, row: np.ndarray, bucket: np.ndarray, value: np.ndarr
 def assess(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, pattern, weak_label (the pattern's posterior), score (the scorer's), kept (score >= KEEP) of every row."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    texts = texts_of(docs.select("doc_id", "text"))
     counted = texts.mapInArrow(_voted, "doc_id long, pattern long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").toPandas()
     codes, counts = counted["pattern"].to_numpy(dtype=np.int64), counted["n"].to_numpy(dtype=float)
     patterns = codes[:, None] // 3 ** np.arange(len(NAMES)) % 3 - 1
@@ -160,7 +161,7 @@ def assess(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     places = 3 ** np.arange(len(NAMES))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textops.released(batches):
             for a, b, data, offsets in textops.chunks(batch.column(1)):
                 pattern = pa.array(((votes(data, offsets) + 1) * places).sum(axis=1))
                 yield from _listed(iter([pa.RecordBatch.from_arrays([pattern, batch.column(1).slice(a, b - a)], ["pattern", "text"])]))
@@ -176,7 +177,7 @@ def assess(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (weights, bias), labels = shared.value
-        for batch in batches:
+        for batch in textops.released(batches):
             for a, b, data, offsets in textops.chunks(batch.column(1)):
                 pattern = ((votes(data, offsets) + 1) * places).sum(axis=1)
                 text, bucket, value = _features(data, offsets)

@@ -34,6 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Texts in an Arrow batch where the session has Spark's default of 10,000: texts are long, and a task holds whole batches.
+BATCH_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    """``docs``, about to be sent to Python, with batches of ``BATCH_ROWS`` unless the session says otherwise."""
+    if docs.sparkSession.conf.get(_ARROW_ROWS) == "10000":
+        docs.sparkSession.conf.set(_ARROW_ROWS, str(BATCH_ROWS))
+    return docs
+
+
 #: Rows of ids that may be broadcast: about 32 MB in each executor.
 BROADCAST_ROWS = 1_000_000
 

@@ -7,12 +7,13 @@ which on UTF-8 is the pattern ``[^\\x20\\x09-\\x0D]+``. Null texts count as empt
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -45,6 +46,22 @@ def chunks(column: pa.ChunkedArray | pa.Array, limit: int = CHUNK) -> Iterator[t
         at = to
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its tasks, and idles with what it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with memory released after each one's work and at the end."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     x = x ^ (x >> np.uint64(30))

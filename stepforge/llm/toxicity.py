@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.llm import textops
+from stepforge.llm.shared import texts_of
 
 GRAMS = (4, 5, 6)
 BUCKETS = 1 << 20
@@ -65,7 +66,7 @@ def _present(data: np.ndarray, offsets: np.ndarray, index: np.ndarray | None) ->
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's (bucket, texts with it of class 1, of class 0)."""
     sums = np.zeros((2, BUCKETS), dtype=np.int32)
-    for batch in batches:
+    for batch in textops.released(batches):
         label = batch.column(0).to_numpy(zero_copy_only=False)
         for a, b, data, offsets in textops.chunks(batch.column(1)):
             text, bucket = _present(data, offsets, None)
@@ -79,7 +80,7 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _listed(index):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textops.released(batches):
             for a, b, data, offsets in textops.chunks(batch.column(1)):
                 text, feature = _present(data, offsets, index.value)
                 at = np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32)
@@ -95,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict | None
     usable = marks.filter(~held_out())
     n = usable.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.lit(n) < F.lit(rows * (1 << 30))
-    sample = docs.select("doc_id", "text").join(usable.filter(share), "doc_id").select("label", "text").repartition(spark.sparkContext.defaultParallelism * 2)
+    sample = texts_of(docs).select("doc_id", "text").join(usable.filter(share), "doc_id").select("label", "text").repartition(spark.sparkContext.defaultParallelism * 2)
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return None
@@ -133,7 +134,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = shared.value
         index = None if frozen is None else frozen["index"].astype(np.int64)
-        for batch in batches:
+        for batch in textops.released(batches):
             for a, b, data, offsets in textops.chunks(batch.column(1)):
                 out = np.zeros(b - a)
                 if frozen is not None:
@@ -142,4 +143,4 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                     out = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out), pa.array((out >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double, predicted int")
+    return texts_of(docs.select("doc_id", "text")).mapInArrow(scored, "doc_id long, score double, predicted int")

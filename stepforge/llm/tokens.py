@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.llm import textops
-from stepforge.llm.shared import written
+from stepforge.llm.shared import texts_of, written
 
 END = 2
 SHARD_IDS = 1 << 21
 PIECES = 400_000
-CHUNK = 1 << 23
+CHUNK = 1 << 20
+JOINED = 256
 MAGIC = 0x31464553
 SAMPLE = 256
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -104,6 +105,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
         self.forget()
 
     def forget(self) -> None:
@@ -111,20 +116,27 @@ class Encoder:
         self.flat, self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def learn(self, keys: list[int], pieces: list[str]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        length = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter((i for ids in coded for i in ids), np.int32, int(length.sum()))
-        n, m = len(self.slot), len(coded)
+    def learn(self, keys: list[int], pieces: list[bytes]) -> None:
+        """Encodes new pieces, those that begin with a space many at a time: a piece begins anew at each of them."""
+        spaced = [i for i, p in enumerate(pieces) if len(p) > 1 and p[:1] == b" " and _HEAD[p[1]]]
+        alone = sorted(set(range(len(pieces))) - set(spaced))
+        order = spaced + alone
+        texts = [b"".join(pieces[i] for i in spaced[a : a + JOINED]).decode() for a in range(0, len(spaced), JOINED)] + [pieces[i].decode() for i in alone]
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, dtype=np.int32) for e in coded])
+        #: Ids of a byte-level vocabulary stand for known numbers of bytes, so the pieces' ends give their ids' ends.
+        ends = np.searchsorted(np.cumsum(self.bytes[flat]), np.cumsum([len(pieces[i]) for i in order])) + 1
+        length = np.diff(ends, prepend=0)
+        n, m = len(self.slot), len(order)
         while len(self.start) < n + m:
             self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
         while len(self.flat) < self.used + len(flat):
             self.flat = np.concatenate([self.flat, self.flat])
         self.flat[self.used : self.used + len(flat)] = flat
-        self.start[n : n + m] = self.used + np.cumsum(length) - length
+        self.start[n : n + m] = self.used + ends - length
         self.length[n : n + m] = length
         self.used += len(flat)
-        self.slot.update(zip(keys, range(n, n + m)))
+        self.slot.update(zip((keys[i] for i in order), range(n, n + m)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` after it, and the number of each text's ids."""
@@ -151,7 +163,7 @@ class Encoder:
         new = [i for i, k in enumerate(keys) if k not in self.slot]
         if new:
             raw = data.tobytes()
-            self.learn([keys[i] for i in new], [raw[starts[j] : ends[j]].decode() for j in where[new].tolist()])
+            self.learn([keys[i] for i in new], [raw[starts[j] : ends[j]] for j in where[new].tolist()])
         slot = np.fromiter((self.slot[k] for k in keys), np.int64, len(keys))[which]
         length = self.length[slot]
         text = np.searchsorted(offsets, starts, side="right") - 1
@@ -174,7 +186,7 @@ def _shards(path: str, end: int, shard_ids: int):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([shard], pa.binary())], ["part", "seq", "n_ids", "shard"])
 
-        for batch in batches:
+        for batch in textops.released(batches):
             for a, b, data, offsets in textops.chunks(batch.column(1), CHUNK):
                 ids, sizes = encoder.encode(data, offsets, end)
                 own = batch.column(0).slice(a, b - a)
@@ -189,7 +201,7 @@ def _shards(path: str, end: int, shard_ids: int):
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in textops.released(batches):
         for part, seq, shard in zip(*(batch.column(i).to_pylist() for i in range(3))):
             docs, nulls, code, ids = unpack(shard)
             ends = code.values()
@@ -203,7 +215,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
     """part, seq, n_ids, shard: the written shards, in ascending (part, seq) and doc_id."""
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = texts_of(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return written(ordered.mapInArrow(_shards(tokenizer_path, end, shard_ids), "part int, seq int, n_ids long, shard binary"), "token-shards")
 
 

@@ -28,7 +28,8 @@ from stepforge.llm.shared import texts_of, written
 
 END = 2
 SHARD_IDS = 1 << 21
-PIECES = 400_000
+PIECES = 800_000
+MERGE = 60_000
 CHUNK = 1 << 20
 JOINED = 256
 MAGIC = 0x31464553
@@ -112,11 +113,34 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.flat, self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def learn(self, keys: list[int], pieces: list[bytes]) -> None:
+        #: Keys of known pieces, sorted, with their slots: the settled ones and the recent ones not merged yet.
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.recent, self.recent_slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.used = self.known = 0
+
+    @staticmethod
+    def _at(keys: np.ndarray, slots: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(wanted), -1, np.int32)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, slots[at], -1)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 for new ones."""
+        return np.maximum(self._at(self.keys, self.slots, wanted), self._at(self.recent, self.recent_slots, wanted))
+
+    def _add(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        self.recent, self.recent_slots = np.concatenate([self.recent, keys]), np.concatenate([self.recent_slots, slots])
+        if len(self.recent) > MERGE:
+            self.recent, self.recent_slots = np.concatenate([self.keys, self.recent]), np.concatenate([self.slots, self.recent_slots])
+        order = np.argsort(self.recent, kind="stable")
+        self.recent, self.recent_slots = self.recent[order], self.recent_slots[order]
+        if len(self.recent) > MERGE:
+            self.keys, self.slots = self.recent, self.recent_slots
+            self.recent, self.recent_slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Encodes new pieces, those that begin with a space many at a time: a piece begins anew at each of them."""
         spaced = [i for i, p in enumerate(pieces) if len(p) > 1 and p[:1] == b" " and _HEAD[p[1]]]
         alone = sorted(set(range(len(pieces))) - set(spaced))
@@ -127,7 +151,7 @@ class Encoder:
         #: Ids of a byte-level vocabulary stand for known numbers of bytes, so the pieces' ends give their ids' ends.
         ends = np.searchsorted(np.cumsum(self.bytes[flat]), np.cumsum([len(pieces[i]) for i in order])) + 1
         length = np.diff(ends, prepend=0)
-        n, m = len(self.slot), len(order)
+        n, m = self.known, len(order)
         while len(self.start) < n + m:
             self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
         while len(self.flat) < self.used + len(flat):
@@ -136,7 +160,8 @@ class Encoder:
         self.start[n : n + m] = self.used + ends - length
         self.length[n : n + m] = length
         self.used += len(flat)
-        self.slot.update(zip((keys[i] for i in order), range(n, n + m)))
+        self.known += m
+        self._add(keys[order], np.arange(n, n + m, dtype=np.int32))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` after it, and the number of each text's ids."""
@@ -157,19 +182,20 @@ class Encoder:
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(data))
         unique, where, which = np.unique(textops.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slot) + len(unique) > PIECES:
+        if self.known + len(unique) > PIECES:
             self.forget()
-        keys = unique.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.slot]
-        if new:
+        slot = self.find(unique)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
             raw = data.tobytes()
-            self.learn([keys[i] for i in new], [raw[starts[j] : ends[j]] for j in where[new].tolist()])
-        slot = np.fromiter((self.slot[k] for k in keys), np.int64, len(keys))[which]
+            self.learn(unique[new], [raw[starts[j] : ends[j]] for j in where[new].tolist()])
+            slot[new] = self.find(unique[new])
+        slot = slot[which]
         length = self.length[slot]
         text = np.searchsorted(offsets, starts, side="right") - 1
         total = int(length.sum())
         ids = np.full(total + docs, end, np.int32)
-        stop = np.cumsum(length)
+        stop = np.cumsum(length, dtype=np.int64)
         ids[np.arange(total) + np.repeat(text, length)] = self.flat[np.arange(total) + np.repeat(self.start[slot] - stop + length, length)]
         return ids, np.bincount(text, length, minlength=docs).astype(np.int64) + 1
 

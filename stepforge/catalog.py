@@ -270,8 +270,8 @@ def allpair_points(spark, sf_dir):
 
 
 @query(POINTS + """, w AS (SELECT *, CASE WHEN n <= 1 THEN 0.5 ELSE points / (n - 1) END AS raw FROM pts),
-m AS (SELECT *, min(raw) OVER g AS lo, max(raw) OVER g AS hi, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, vec_id) AS llm_rank FROM w WINDOW g AS (PARTITION BY query_id))
-SELECT query_id, vec_id, points, round(raw, 6) AS raw, round(CASE WHEN hi = lo THEN 0.5 ELSE (raw - lo) / (hi - lo) END, 6) AS scaled, llm_rank, round(1.0 / llm_rank, 6)::DOUBLE AS reciprocal FROM m""")
+mm AS (SELECT *, min(raw) OVER g AS lo, max(raw) OVER g AS hi, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, vec_id) AS llm_rank FROM w WINDOW g AS (PARTITION BY query_id))
+SELECT query_id, vec_id, points, round(raw, 6) AS raw, round(CASE WHEN hi = lo THEN 0.5 ELSE (raw - lo) / (hi - lo) END, 6) AS scaled, llm_rank, round(1.0 / llm_rank, 6)::DOUBLE AS reciprocal FROM mm""")
 def allpair_winrate(spark, sf_dir):
     return ranking.win_rates(points(spark, sf_dir), "query_id", "vec_id")
 
@@ -318,8 +318,8 @@ def disagree_stats(spark, sf_dir):
     return evaluation.group_stats(evaluation.disagreements(runs(spark, sf_dir)))
 
 
-EPISODES = """WITH s AS (SELECT event_type AS task, user_id || '-' || ts::DATE AS episode, ts AS at, event_type || (event_id % 3) AS action, round(value / 100, 6) AS score FROM events),
-e AS (SELECT task, episode, count(*) AS total_steps, count(DISTINCT action) AS unique_actions, arg_min(score, at) AS initial_score, arg_max(score, at) AS final_score FROM s GROUP BY 1, 2),
+EPISODES = """WITH s AS (SELECT event_type AS task, user_id || '-' || ts::DATE AS episode, ts AS moment, event_type || (event_id % 3) AS action, round(value / 100, 6) AS score FROM events),
+e AS (SELECT task, episode, count(*) AS total_steps, count(DISTINCT action) AS unique_actions, arg_min(score, moment) AS initial_score, arg_max(score, moment) AS final_score FROM s GROUP BY 1, 2),
 f AS (SELECT *, round(final_score - initial_score, 6) AS improvement, total_steps >= 3 AS reached_max, CASE WHEN final_score >= 1 THEN 'success' WHEN final_score <= 0 THEN 'failure' ELSE 'in_progress' END AS class FROM e)"""
 
 

@@ -14,6 +14,7 @@ other in either order; an empty table gives an empty one; other columns are igno
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +28,8 @@ from stepforge.llm import textops
 from stepforge.llm.shared import texts_of, written
 
 END = 2
-SHARD_IDS = 1 << 21
-PIECES = 800_000
+SHARD_IDS = 1 << 20
+PIECES = 500_000
 MERGE = 60_000
 CHUNK = 1 << 20
 JOINED = 256
@@ -102,6 +103,8 @@ class Encoder:
     """The tokenizer with a bounded cache of pieces' ids; one in each Python worker."""
 
     def __init__(self, path: str):
+        # A task has one core; threads of the library would each keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -24,14 +24,13 @@ SYSTEM = "system"
 def rotate(turns: DataFrame) -> DataFrame:
     """conv_id, part, speaker, n_turns, rendered, mask (array of start, length in characters)."""
     clean = turns.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"),
         "conv_id",
         F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(0)).alias("part"),
         F.struct(F.col("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<​|")).alias("text")).alias("t"),
     )
-    parts = clean.groupBy("conv", "part").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list("t")).alias("turns"))
-    speakers = clean.filter(F.col("t.role") != SYSTEM).select("conv", F.col("t.role").alias("speaker")).distinct()
-    rows = parts.join(speakers, "conv")
+    parts = clean.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    speakers = clean.filter(F.col("t.role") != SYSTEM).select(F.col("conv_id").alias("in_conv"), F.col("t.role").alias("speaker")).distinct()
+    rows = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("in_conv")))
     head = F.expr(f"transform(turns, x -> CASE WHEN x.role = speaker THEN '<|assistant|>\\n' WHEN x.role = '{SYSTEM}' THEN '<|system|>\\n' ELSE concat('<|user name=', x.role, '|>\\n') END)")
     rows = rows.withColumn("heads", head).withColumn("bodies", F.expr("transform(turns, x -> concat(x.text, '<|end|>\\n'))"))
     rows = rows.withColumn("sizes", F.expr("transform(turns, (x, i) -> length(heads[i]) + length(bodies[i]))"))

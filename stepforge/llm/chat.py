@@ -8,17 +8,19 @@ Dialogues are cut into parts of ``PART_TURNS`` turn numbers, each rendered by it
 dialogue, so no group is collected without a bound; ordinary dialogues are one part. All steps are DataFrame operations.
 
 Defined results: turns sort by number (null first), then speaker and text; a null speaker is ``unknown``; a null text is
-empty; repeated rows are turns of their own; a dialogue with only system turns has no participant and no rendering; a
-null conversation is a conversation; ``<|`` in contents is written ``<​|``, so that contents never make marks.
+empty; repeated rows are turns of their own; a null conversation is one conversation; a dialogue with only system turns has no participant and no rendering; ``<|`` in contents is written ``<​|``, so that contents never make marks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_TURNS = 1024
 SYSTEM = "system"
+HEAD_ASSISTANT = "<|assistant|>\n"
+HEAD_SYSTEM = "<|system|>\n"
+END = "<|end|>\n"
 
 
 def rotate(turns: DataFrame) -> DataFrame:
@@ -26,17 +28,27 @@ def rotate(turns: DataFrame) -> DataFrame:
     clean = turns.select(
         "conv_id",
         F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(0)).alias("part"),
-        F.struct(F.col("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<​|")).alias("text")).alias("t"),
+        "turn",
+        F.coalesce("role", F.lit("unknown")).alias("role"),
+        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<​|")).alias("text"),
     )
-    parts = clean.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    speakers = clean.filter(F.col("t.role") != SYSTEM).select(F.col("conv_id").alias("in_conv"), F.col("t.role").alias("speaker")).distinct()
+    mine = F.lit(HEAD_ASSISTANT)
+    other = F.when(F.col("role") == SYSTEM, F.lit(HEAD_SYSTEM)).otherwise(F.concat(F.lit("<|user name="), F.col("role"), F.lit("|>\n")))
+    clean = clean.withColumn("size", F.length("text") + len(END))
+    #: A turn's contents begin, in its own speaker's rendering, after all turns before it, of which those of that speaker
+    #: have the assistant's head. Both windows and the grouping use one partitioning.
+    placed = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
+    own = Window.partitionBy("conv_id", "part", "role").orderBy("turn", "text", "before")
+    clean = clean.withColumn("before", F.coalesce(F.sum(F.length(other) + F.col("size")).over(placed.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    start = F.col("before") + (F.row_number().over(own) - 1) * (F.length(mine) - F.length(other)) + F.length(mine)
+    clean = clean.withColumn("start", start.cast("int"))
+    turn = F.struct("turn", "role", "text", "start", "size", other.alias("other"))
+    parts = clean.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    speakers = turns.select(F.col("conv_id").alias("in_conv"), F.coalesce("role", F.lit("unknown")).alias("speaker")).filter(F.col("speaker") != SYSTEM).distinct()
     rows = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("in_conv")))
-    head = F.expr(f"transform(turns, x -> CASE WHEN x.role = speaker THEN '<|assistant|>\\n' WHEN x.role = '{SYSTEM}' THEN '<|system|>\\n' ELSE concat('<|user name=', x.role, '|>\\n') END)")
-    rows = rows.withColumn("heads", head).withColumn("bodies", F.expr("transform(turns, x -> concat(x.text, '<|end|>\\n'))"))
-    rows = rows.withColumn("sizes", F.expr("transform(turns, (x, i) -> length(heads[i]) + length(bodies[i]))"))
-    rows = rows.withColumn("starts", F.expr("transform(turns, (x, i) -> aggregate(slice(sizes, 1, i), 0, (s, n) -> s + n) + length(heads[i]))"))
-    mask = F.expr("transform(filter(sequence(0, size(turns) - 1), i -> turns[i].role = speaker), i -> struct(starts[i] AS start, length(bodies[i]) AS length))")
-    return rows.select("conv_id", "part", "speaker", F.size("turns").alias("n_turns"), F.expr("array_join(transform(turns, (x, i) -> concat(heads[i], bodies[i])), '')").alias("rendered"), mask.alias("mask"))
+    rendered = F.array_join(F.transform("turns", lambda x: F.concat(F.when(x.role == F.col("speaker"), mine).otherwise(x.other), x.text, F.lit(END))), "")
+    mask = F.transform(F.filter("turns", lambda x: x.role == F.col("speaker")), lambda x: F.struct(x.start.alias("start"), x["size"].alias("length")))
+    return rows.select("conv_id", "part", "speaker", F.size("turns").alias("n_turns"), rendered.alias("rendered"), mask.alias("mask"))
 
 
 def digests(rendered: DataFrame) -> DataFrame:

@@ -35,12 +35,14 @@ def _decoded(text: Column) -> Column:
     return text
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text: hidden elements and comments go, block tags break lines, blanks collapse, empty lines go."""
+def _plain(df: DataFrame, html: str, name: str) -> DataFrame:
+    """``df`` with the visible text of ``html``: hidden elements and comments go, block tags break lines, blanks collapse,
+    empty lines go. Two columns, as decoding reads its text in several places and each is to be computed once."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\n\f]+", " "), BREAKS, "\n"), TAG, "")
-    text = F.regexp_replace(_decoded(text), r"[ \t\r\f]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    df = df.withColumn(name, text)
+    text = F.regexp_replace(_decoded(F.col(name)), r"[ \t\r\f]+", " ")
+    return df.withColumn(name, F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", ""))
 
 
 def record_id(*parts: Column) -> Column:
@@ -57,9 +59,10 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 def derive(records: DataFrame) -> DataFrame:
     """Two rows for each response: page_id, record_type, record_id, refers_to, target_uri, payload_digest, block, record."""
-    own = records.withColumn("payload_digest", F.concat(F.lit("sha256:"), F.sha2("payload", 256))).withColumn("text", plain_text(F.col("payload")))
+    own = records.withColumn("payload_digest", F.concat(F.lit("sha256:"), F.sha2("payload", 256)))
+    own = _plain(own, "payload", "text").withColumn("title", F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)", 1))
     own = own.withColumn("conversion_id", record_id(F.lit("conversion"), F.col("record_id"))).withColumn("metadata_id", record_id(F.lit("metadata"), F.col("record_id")))
-    title = F.regexp_replace(F.regexp_replace(_decoded(F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)", 1)), r"[ \t\r\n\f]+", " "), "^ | $", "")
+    title = F.regexp_replace(F.regexp_replace(_decoded(F.col("title")), r"[ \t\r\n\f]+", " "), "^ | $", "")
     lang = F.regexp_extract("payload", r"(?i)<html[^>]*\blang=\"([A-Za-z-]+)\"", 1)
     fields = [("title", title), ("languages-html", lang), ("conversion-record", F.col("conversion_id")), ("source-payload-digest", F.col("payload_digest")), ("source-payload-length", F.octet_length("payload").cast("string")), ("text-length", F.octet_length("text").cast("string"))]
     block = F.concat(*[x for name, value in fields for x in (F.lit(f"{name}: "), value, F.lit(CRLF))], F.regexp_replace(F.concat(F.lit(CRLF), F.col("http_headers"), F.lit(CRLF)), r"\r\n(?=[^\r\n])", CRLF + "source-http: "))

@@ -8,7 +8,9 @@ Dialogues are cut into parts of ``PART_TURNS`` turn numbers, each rendered by it
 dialogue, so no group is collected without a bound; ordinary dialogues are one part. All steps are DataFrame operations.
 
 Defined results: turns sort by number (null first), then speaker and text; a null speaker is ``unknown``; a null text is
-empty; repeated rows are turns of their own; a null conversation is one conversation; a dialogue with only system turns has no participant and no rendering; ``<|`` in contents is written ``<​|``, so that contents never make marks.
+empty; repeated rows are turns of their own; a null conversation is one conversation; a dialogue with only system turns
+has no participant and no rendering; ``<|`` in contents is written with a zero-width space between its two characters,
+so that contents never make marks.
 """
 
 from __future__ import annotations

@@ -230,3 +230,15 @@ def test_warc(spark):
         size = int(re.search(r"Content-Length: (\d+)", head)[1])
         assert rest.encode()[:size].decode() == r.block and rest.encode()[size:] == b"\r\n\r\n"
     assert warc.derive(warc.responses(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_chat_spans_of_long_and_tied_dialogues(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, i, ("user", "assistant", "guest")[i % 3], "x" * (i % 7)) for i in range(300)]
+    rows += [(None, 0, "user", "same")] * 3 + [(None, 0, "guest", None), (None, None, None, "first")]
+    got = chat.rotate(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["conv_id"] or 0, r["speaker"], r["n_turns"]) for r in got) == [(0, "guest", 5), (0, "unknown", 5), (0, "user", 5), (1, "assistant", 300), (1, "guest", 300), (1, "user", 300)]
+    for r in got:
+        own = sorted((x[1] if x[1] is not None else -1, x[3] or "") for x in rows if x[0] == r["conv_id"] and (x[2] or "unknown") == r["speaker"])
+        assert [r["rendered"][m["start"] : m["start"] + m["length"]] for m in r["mask"]] == [text + "<|end|>\n" for _, text in own]
+        assert all(r["rendered"][: m["start"]].endswith("<|assistant|>\n") for m in r["mask"])

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stepforge.functions import similarity
 from stepforge.functions import text as tx
-from stepforge.operators import chunks, evaluation, ranking, retrieval, splits
+from stepforge.operators import chunks, clusters, evaluation, ivf, models, ranking, retrieval, splits
 from stepforge.streaming import push
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,3 +428,70 @@ def chunk_align(spark, sf_dir):
     v = read(spark, sf_dir, "conversations").withColumn("signature", F.md5("text"))
     counts = v.groupBy("role", "signature").agg(F.count(F.lit(1)).alias("n"))
     return v.join(counts, ["role", "signature"], "left").select("conv_id", "turn", F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("missing").alias("status"))
+
+
+# ---- indexes, learned rankers, clusters and messages -------------------------------------------------------------
+
+
+@query(None)
+def ivf_topk(spark, sf_dir):
+    m = memory(spark, sf_dir)
+    centroids = ivf.fit(m)
+    return rounded(ivf.search(ivf.index(m, centroids), m.filter("vec_id % 100 = 0"), centroids))
+
+
+RANK_FEATURES = ["distance", "rank", "same_variation", "gap"]
+
+
+def labelled(spark, sf_dir) -> DataFrame:
+    """Candidates with features, and whether they are of the query's task as label."""
+    m = memory(spark, sf_dir).select("vec_id", "task", "variation")
+    found = top(spark, sf_dir, k=20).join(m, "vec_id").join(m.select(F.col("vec_id").alias("query_id"), F.col("task").alias("q_task"), F.col("variation").alias("q_variation")), "query_id")
+    nearest = F.min("distance").over(Window.partitionBy("query_id"))
+    return found.select("query_id", "vec_id", "rank", "distance", (F.col("variation") == F.col("q_variation")).cast("double").alias("same_variation"), (F.col("distance") - nearest).alias("gap"), F.coalesce(F.col("task") == F.col("q_task"), F.lit(False)).cast("int").alias("label"))
+
+
+for _family in models.FAMILIES:
+
+    @query(None, f"learned_rank_{_family}")
+    def learned_rank(spark, sf_dir, family=_family):
+        rows = labelled(spark, sf_dir)
+        ranker = models.fit(family, rows.filter("query_id % 200 = 0"), "query_id", "label", RANK_FEATURES)
+        return models.rank(ranker, rows, "query_id", "rank").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"), "final_rank")
+
+
+@query(None)
+def turn_similarity(spark, sf_dir):
+    """Each turn of a conversation against the one before."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", before.alias("before")).select("conv_id", "turn", "role", F.round(similarity.sequence_ratio("before", "text"), 6).alias("ratio"))
+
+
+@query(None)
+def leader_clusters(spark, sf_dir):
+    """Vectors under the queries that lead them: links are the top ten of each query."""
+    links = top(spark, sf_dir).filter("query_id <> vec_id").select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"))
+    return clusters.leaders(memory(spark, sf_dir).select(F.col("vec_id").alias("id")), links)
+
+
+LOG = """WITH g AS (SELECT event_type AS task, user_id::VARCHAR AS episode, CASE event_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'planner' ELSE 'warning' END AS kind, event_id % 3 > 0 AS structured, event_id % 2 = 0 AS fallback,
+CASE user_id % 3 WHEN 0 THEN 'JSON parsing failed' WHEN 1 THEN 'Non-admissible action' ELSE 'LLM call failed' END AS message, CASE user_id % 4 WHEN 0 THEN 'in trajectory context' WHEN 1 THEN 'Incomplete/partial' WHEN 2 THEN 'similar words' END AS cause FROM events),
+m AS (SELECT task, episode, kind = 'warning' AS warning, kind, structured, message, CASE WHEN kind = 'warning' THEN CASE WHEN NOT structured OR cause IS NULL THEN 'not_sure' ELSE cause END END AS cause FROM g WHERE kind <> 'warning' OR NOT structured OR fallback)"""
+
+
+@query(LOG + """ SELECT task, episode, count(*) FILTER (warning) AS warnings, count(*) FILTER (NOT warning) AS errors, count(*) FILTER (warning AND structured AND message = 'Non-admissible action') AS type_non_admissible_action,
+count(*) FILTER (kind = 'planner') AS type_planner_failed, count(*) FILTER (kind = 'error' AND message = 'JSON parsing failed') AS type_json_parsing_failed, count(*) FILTER (kind = 'error' AND message = 'LLM call failed') AS type_llm_call_failed,
+count(*) FILTER (cause = 'in trajectory context') AS cause_retrieval_trajectory_mismatch, count(*) FILTER (cause = 'Incomplete/partial') AS cause_partial_incomplete_action, count(*) FILTER (cause = 'similar words') AS cause_similar_word_confusion,
+count(*) FILTER (cause = 'not_sure') AS cause_not_sure FROM m GROUP BY ROLLUP (task, episode)""")
+def warning_rollup(spark, sf_dir):
+    i, u = F.col("event_id"), F.col("user_id")
+    log = read(spark, sf_dir, "events").select(
+        F.col("event_type").alias("task"),
+        u.cast("string").alias("episode"),
+        F.when(i % 5 == 0, "error").when(i % 5 == 1, "planner").otherwise("warning").alias("kind"),
+        (i % 3 > 0).alias("structured"),
+        (i % 2 == 0).alias("fallback"),
+        F.when(u % 3 == 0, "JSON parsing failed").when(u % 3 == 1, "Non-admissible action").otherwise("LLM call failed").alias("message"),
+        F.when(u % 4 == 0, "in trajectory context").when(u % 4 == 1, "Incomplete/partial").when(u % 4 == 2, "similar words").alias("cause"),
+    )
+    return evaluation.message_rollup(evaluation.messages(log))

@@ -56,3 +56,41 @@ def qids(df: DataFrame, query: str) -> DataFrame:
     """qid of each distinct query, 1-based in sorted order, joined back; the ranks come from the distinct values alone."""
     ids = df.select(query).distinct().withColumn("qid", F.dense_rank().over(Window.orderBy(query)))
     return df.join(ids, query)
+
+
+#: Texts that name a message's type or a warning's cause, in order of priority.
+WARNING_TYPES = (("non-admissible action", "non_admissible_action"),)
+ERROR_TYPES = (("json parsing failed", "json_parsing_failed"), ("llm call failed", "llm_call_failed"))
+CAUSES = (
+    ("trajectory context", "retrieval_trajectory_mismatch"),
+    ("incomplete/partial", "partial_incomplete_action"),
+    ("similar words", "similar_word_confusion"),
+)
+
+
+def _named(column, names, otherwise: str):
+    """The name of the first text that ``column`` holds, in any case."""
+    low = F.lower(F.coalesce(column, F.lit("")))
+    return F.coalesce(*[F.when(low.contains(text), F.lit(name)) for text, name in names], F.lit(otherwise))
+
+
+def messages(log: DataFrame) -> DataFrame:
+    """``log`` (task, episode, kind, structured, fallback, message, cause) as counted messages with type and cause.
+
+    Kinds are warning, error and planner. A structured warning counts only after the last fallback; one that is a plain
+    string always does, as type other and cause not_sure. Null flags count as false.
+    """
+    plain = ~F.coalesce(F.col("structured"), F.lit(False))
+    counted = (F.col("kind") != "warning") | plain | F.coalesce(F.col("fallback"), F.lit(False))
+    kind = F.when(F.col("kind") == "planner", "planner_failed").when(F.col("kind") == "error", _named(F.col("message"), ERROR_TYPES, "other"))
+    kind = kind.otherwise(F.when(plain, "other").otherwise(_named(F.col("message"), WARNING_TYPES, "other")))
+    cause = F.when(F.col("kind") == "warning", F.when(plain, "not_sure").otherwise(_named(F.col("cause"), CAUSES, "not_sure")))
+    return log.filter(counted).select("task", "episode", (F.col("kind") == "warning").alias("warning"), kind.alias("type"), cause.alias("cause"))
+
+
+def message_rollup(counted: DataFrame) -> DataFrame:
+    """Warnings, errors, types and causes of each episode, each task (episode null) and all (both null)."""
+    of_type = {f"type_{name}": F.count_if(~F.col("warning") & (F.col("type") == name)) for _, name in ERROR_TYPES}
+    of_cause = {f"cause_{name}": F.count_if(F.col("cause") == name) for name in [n for _, n in CAUSES] + ["not_sure"]}
+    columns = {"warnings": F.count_if("warning"), "errors": F.count_if(~F.col("warning")), "type_non_admissible_action": F.count_if(F.col("type") == "non_admissible_action"), "type_planner_failed": F.count_if(F.col("type") == "planner_failed")}
+    return counted.rollup("task", "episode").agg(*[c.alias(name) for name, c in (columns | of_type | of_cause).items()])

@@ -455,6 +455,7 @@ for _family in models.FAMILIES:
 
     @query(None, f"learned_rank_{_family}")
     def learned_rank(spark, sf_dir, family=_family):
+        """Fitted on every second query; ranks all, those of the fit too."""
         rows = labelled(spark, sf_dir)
         ranker = models.fit(family, rows.filter("query_id % 200 = 0"), "query_id", "label", RANK_FEATURES)
         return models.rank(ranker, rows, "query_id", "rank").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"), "final_rank")

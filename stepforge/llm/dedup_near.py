@@ -8,9 +8,15 @@
    are sorted deeper, by their next values, so that no sort runs over an unbounded region.
 3. Candidates are confirmed on the full shingle sets, first each text's pairs with its hubs, then the other pairs of
    what is not connected yet, and components follow the confirmed links.
+4. What the forest missed is found by an exact prefix-filter join of texts in different components. A shingle is common
+   when it stands in about ``COMMON`` texts or more (estimated from a sample; any choice gives the same links). A linked
+   pair either shares one of the others within both prefixes, or reaches the threshold by common shingles alone. The
+   first are met in short lists; for the second, texts with one set of common shingles link through their smallest, and
+   these are met over the common shingles in salted blocks, without pairs inside one component.
 
-Candidates grow in proportion to texts times trees. Every text meets, in every tree, its hub and its neighbours, and
-links carry over through them; no group is expanded into all its pairs.
+Forest candidates grow in proportion to texts times trees. The join adds the pairs of different components that share
+prefix shingles; only a crowd of different common sets, each nearly the threshold by itself and not linked, is compared
+pair by pair.
 
 Defined results: a text without words (or null) has no shingles and links with nothing; a text with fewer words than a
 shingle is one shingle of the whole; equal sets always link; a null doc_id keeps its row, with its class's component.
@@ -33,6 +39,12 @@ TREES = 24
 DEPTHS = (6, 9, 12)
 REGION = 256
 NEAR = 2
+COMMON = 256
+#: Beyond so many times COMMON texts, the limit grows with the texts, which bounds the broadcast of common shingles.
+SPREAD = 4000
+SEEN = 8
+BLOCK = 256
+_LAST = np.iinfo(np.int64).max
 
 _RNG = np.random.default_rng(7)
 
@@ -89,6 +101,34 @@ def _shingler(shingle_words: int):
     return shingle
 
 
+def _prefixer(shingle_words: int, percent: int, common):
+    """Each text's prefix among the shingles that are not common, and among its common ones if they may suffice."""
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = common.value
+        for batch in textops.released(batches):
+            for a, b, data, offsets in textops.chunks(batch.column(1)):
+                rows = []
+                for own in textops.shingle_sets(data, offsets, shingle_words):
+                    n, at = len(own), np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                    often = known[at] == own if len(known) else np.zeros(n, bool)
+                    least = -(-percent * n // 100)
+                    keep = min(n, n - least + 1)
+                    other, shared = own[~often], np.sort(ranks[at[often]])
+                    # Flipped, so that signed numbers have the order of the unsigned ones.
+                    head = (other[:keep] ^ np.uint64(1 << 63)).view(np.int64)
+                    end = int(head[-1]) if len(other) >= keep and keep else _LAST
+                    top = shared[: len(shared) - least + 1] if len(shared) >= least else shared[:0]
+                    one, two = (int(textops.mixed(x).sum().view(np.int64)) for x in (own[often] ^ np.uint64(0xA5A5), own[often] + np.uint64(0x1234567)))
+                    rows.append((n, head, n - len(head), end, top, len(shared) - len(top), int(top[-1]) if len(top) else 0, len(shared), one, two))
+                columns = list(zip(*rows))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in columns[i]])]).astype(np.int32)), pa.array(np.concatenate(columns[i]).astype(np.int64))) for i in (1, 4)]
+                numbers = [pa.array(columns[i], pa.int64()) for i in (0, 2, 3, 5, 6, 7, 8, 9)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists, *numbers], ["id", "head", "top", "n", "rest", "end", "top_rest", "top_end", "n_common", "one", "two"])
+
+    return prefix
+
+
 def _candidates(trees_of: DataFrame) -> DataFrame:
     """a < b, hub boolean: for each text its hub and next neighbours in each tree's region."""
     spots = trees_of.groupBy("tree", "region", "next", "last").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
@@ -113,6 +153,81 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.filter(100 * both >= percent * (sizes - both)).select("a", "b")
 
 
+def _common(texts: DataFrame, nodes: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in about COMMON texts or more, sorted, and their ranks from the rarest on."""
+    often = max(COMMON, nodes.count() // SPREAD)
+    some = sized(written(nodes.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(often)) < SEEN).select("doc_id"), "sampled"))
+    counts = texts.join(some, "doc_id", "left_semi").mapInArrow(_shingler(shingle_words), "id long, shingles array<long>")
+    found = counts.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN).toPandas()
+    shingles, n = found["s"].to_numpy(dtype=np.int64).view(np.uint64), found["n"].to_numpy(dtype=np.int64)
+    ranks = np.empty(len(n), dtype=np.int64)
+    ranks[np.lexsort((shingles, n))] = np.arange(len(n))
+    order = np.argsort(shingles)
+    return shingles[order], ranks[order]
+
+
+def _met(lists: DataFrame, percent: int) -> DataFrame:
+    """a < b, c: how many of ``lists`` (left, right: arrays of id, shift to its component and n; same boolean) hold a pair of
+    two components and of sizes that may link."""
+    pairs = lists.select("right", "same", F.explode("left").alias("x"))
+    other = F.filter("right", lambda y: (~F.col("same") | (y["id"] > F.col("x.id"))) & (y["id"] + y["shift"] != F.col("x.id") + F.col("x.shift")) & (100 * F.least(y["n"], F.col("x.n")) >= percent * F.greatest(y["n"], F.col("x.n"))))
+    pairs = pairs.select(F.col("x.id").alias("one"), F.explode(F.transform(other, lambda y: y["id"])).alias("two"))
+    return pairs.groupBy(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+
+
+def _reaching(met: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Of ``met`` those that can still reach the threshold: beyond the earlier prefix end, one text's rest may be shared."""
+    for side in ("a", "b"):
+        met = met.join(facts.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("rest").alias(f"rest{side}"), F.col("end").alias(f"end{side}")), side)
+    rest = F.when(F.col("enda") < F.col("endb"), F.col("resta")).when(F.col("enda") > F.col("endb"), F.col("restb")).otherwise(F.least("resta", "restb"))
+    return met.filter((100 + percent) * (F.col("c") + rest) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _missed(texts: DataFrame, nodes: DataFrame, joined: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """a, b: links of ``nodes`` (doc_id) whose components in ``joined`` differ, enough of them to connect all that are linked."""
+    spark = texts.sparkSession
+    # Spark deletes shuffle files once the driver has collected their plans; the forest's are not read again.
+    spark.sparkContext._jvm.System.gc()
+    common = spark.sparkContext.broadcast(_common(texts, nodes, shingle_words))
+    schema = "id long, head array<long>, top array<long>, n long, rest long, end long, top_rest long, top_end long, n_common long, one long, two long"
+    heads = texts.join(sized(nodes), "doc_id", "left_semi").mapInArrow(_prefixer(shingle_words, percent, common), schema)
+    heads = heads.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = written(heads, "prefixes")
+    again = written(heads.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id"), "repeated")
+    if not again.isEmpty():
+        again = sized(again)
+        heads = heads.join(again, "id", "left_anti").union(heads.join(again, "id", "left_semi").select(*heads.columns).dropDuplicates(["id"]).select(*heads.columns))
+    member = F.struct("id", "shift", "n")
+    # Dealt as plain rows of small numbers, which take less disk than partial lists of one text each.
+    lists = heads.select("id", (F.col("component") - F.col("id")).alias("shift"), "n", F.explode("head").alias("s")).repartition("s").groupBy("s").agg(F.collect_list(member).alias("left"), F.min(F.col("id") + F.col("shift")).alias("low"), F.max(F.col("id") + F.col("shift")).alias("high")).filter("low <> high")
+    pairs = _reaching(_met(lists.select("left", F.col("left").alias("right"), F.lit(True).alias("same")), percent), heads.select("id", "n", "rest", "end"), percent)
+
+    # By common shingles alone: whoever reaches the threshold with any text of its common set does so with the smallest.
+    full = heads.filter(F.size("top") > 0)
+    least = written(full.groupBy("one", "two", "n_common").agg(F.min(F.struct("n", "id")).alias("s")).select("one", "two", "n_common", F.col("s.n").alias("least_n"), F.col("s.id").alias("least")), "common-sets")
+    stars = full.select("id", "n", "one", "two", "n_common").join(least, ["one", "two", "n_common"]).filter("id <> least")
+    stars = stars.filter((100 + percent) * F.col("n_common") >= percent * (F.col("n") + F.col("least_n"))).select(F.least("id", "least").alias("a"), F.greatest("id", "least").alias("b"))
+    firsts = full.join(least.select(F.col("least").alias("id")), "id", "left_semi")
+    large = F.broadcast(firsts.groupBy("component").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > BLOCK))
+    spots = written(firsts.join(large, "component", "left").select("id", "component", (F.col("component") - F.col("id")).alias("shift"), "n", "many", F.explode("top").alias("s")), "common-prefixes")
+    sizes = spots.filter("many is null").groupBy("s").agg(F.count(F.lit(1)).alias("alone"))
+    spots = spots.join(sizes, "s", "left")
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("many", "alone") / BLOCK))
+    blocks = written(spots.groupBy("s", F.when(F.col("many").isNotNull(), F.col("component")).alias("large"), salt.alias("salt")).agg(F.collect_list(member).alias("left")), "blocks")
+    left = blocks.select("s", F.col("large").alias("l"), F.col("salt").alias("p"), "left")
+    right = blocks.select("s", F.col("large").alias("r"), F.col("salt").alias("q"), F.col("left").alias("right"))
+    once = F.expr("(l is null and r is null and p <= q) or (l is null and r is not null) or l < r")
+    both = left.join(right, "s").filter(once).select("left", "right", F.expr("l is null and r is null and p = q").alias("same"))
+    more = _reaching(_met(both, percent), firsts.select("id", "n", F.col("top_rest").alias("rest"), F.col("top_end").alias("end")), percent)
+
+    pairs = written(pairs.union(more).distinct(), "missed")
+    wanted = sized(written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "missed-ids"))
+    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_shingler(shingle_words), "id long, shingles array<long>").dropDuplicates(["id"])
+    parts = {side: joined.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")) for side in ("a", "b")}
+    stars = stars.join(parts["a"], "a", "left").join(parts["b"], "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    return written(_linked(pairs, sets, percent).union(stars), "missed-links")
+
+
 def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text)."""
     texts = texts_of(docs.select("doc_id", "text"))
@@ -131,8 +246,11 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tree
     for side in ("a", "b"):
         rest = rest.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
     rest = rest.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = _linked(rest, sets, percent)
-    joined = components(links.union(more))
+    links = written(links.union(_linked(rest, sets, percent)), "links")
+    joined = components(links)
+    missed = _missed(texts, written(classes.select(F.col("rep.doc_id").alias("doc_id")), "nodes"), joined, shingle_words, percent)
+    if not missed.isEmpty():
+        joined = components(links.union(missed))
     reps = classes.select("one", "two", "n_shingles", F.col("rep.doc_id").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("one", "two", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "one", "two").join(reps, ["one", "two", "n_shingles"], "left")

@@ -157,7 +157,8 @@ def assess(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     _, post = accuracies(patterns, counts)
     table = np.full(3 ** len(NAMES), 0.5)
     table[codes] = post
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.lit(int(counts.sum())) < F.lit(rows * (1 << 30))
+    # By doc_id and text, each such row once: rows with a null or repeated id do not come all at once.
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) * F.lit(int(counts.sum())) < F.lit(rows * (1 << 30))
     places = 3 ** np.arange(len(NAMES))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +167,7 @@ def assess(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
                 pattern = pa.array(((votes(data, offsets) + 1) * places).sum(axis=1))
                 yield from _listed(iter([pa.RecordBatch.from_arrays([pattern, batch.column(1).slice(a, b - a)], ["pattern", "text"])]))
 
-    seen = texts.filter(share).mapInArrow(sampled, "pattern long, bucket array<int>, value array<float>").toArrow().combine_chunks()
+    seen = texts.filter(share).dropDuplicates(["doc_id", "text"]).mapInArrow(sampled, "pattern long, bucket array<int>, value array<float>").toArrow().combine_chunks()
     if seen.num_rows:
         column = lambda name: pa.concat_arrays(seen.column(name).chunks)
         row = np.repeat(np.arange(seen.num_rows), np.diff(column("bucket").offsets.to_numpy()))

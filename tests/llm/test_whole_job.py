@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from stepforge.llm import dedup_near
+from stepforge.llm import dedup_near, quality
 
 
 def shingled(text, k):
@@ -64,3 +64,13 @@ def test_near_groups_finds_links_inside_a_crowd(spark, monkeypatch, kind, k, per
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.component_id for r in dedup_near.near_groups(docs, k, percent).collect()}
     assert got == dict(enumerate(want.tolist()))
+
+
+def test_quality_fit_sample_is_bounded_for_null_ids(spark, monkeypatch):
+    rows = [(None if i % 3 == 0 else i, f"text number {i} has a few words of its own") for i in range(3000)]
+    rows += [(None, "one text again and again")] * 1500
+    seen = []
+    learned = quality._learned
+    monkeypatch.setattr(quality, "_learned", lambda y, *rest: seen.append(len(y)) or learned(y, *rest))
+    assert quality.assess(spark.createDataFrame(rows, "doc_id long, text string"), rows=300).count() == len(rows)
+    assert 100 < seen[0] < 400

@@ -25,10 +25,13 @@ TAG = r"</?[A-Za-z!?][^>]*>"
 
 
 def _decoded(text: Column) -> Column:
-    number = F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,6});"), F.lit(1))
-    code = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")
-    usable = lambda n: ((n.cast("int") >= 32) & (n.cast("int") < 0xD800)) | ((n.cast("int") >= 0xE000) & (n.cast("int") < 0x110000))
-    swapped = F.aggregate(F.array_distinct(number), text, lambda acc, n: F.when(usable(n), F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), code(n))).otherwise(acc))
+    number = F.regexp_extract_all(text, F.lit(r"&#([0-9]+|[xX][0-9A-Fa-f]+);"), F.lit(1))
+    digits = lambda n: F.regexp_replace(n, "^[xX]?0*", "")
+    decimal = lambda n: F.when(n.rlike("^[xX]"), F.when(F.length(digits(n)) <= 6, F.conv(digits(n), 16, 10))).otherwise(F.when(F.length(digits(n)) <= 7, digits(n)))
+    code = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    usable = lambda n: ((n >= 32) & (n < 0xD800)) | ((n >= 0xE000) & (n < 0x110000))
+    found = F.transform(F.array_distinct(number), lambda n: F.struct(n.alias("written"), decimal(n).try_cast("int").alias("value")))
+    swapped = F.aggregate(found, text, lambda acc, n: F.when(usable(n["value"]), F.replace(acc, F.concat(F.lit("&#"), n["written"], F.lit(";")), code(n["value"]))).otherwise(acc))
     text = F.when(F.contains(text, F.lit("&#")), swapped).otherwise(text)
     for name, value in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(value))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from stepforge.llm import dedup_near, quality
+from stepforge.llm import dedup_near, quality, warc
 
 
 def shingled(text, k):
@@ -74,3 +74,10 @@ def test_quality_fit_sample_is_bounded_for_null_ids(spark, monkeypatch):
     monkeypatch.setattr(quality, "_learned", lambda y, *rest: seen.append(len(y)) or learned(y, *rest))
     assert quality.assess(spark.createDataFrame(rows, "doc_id long, text string"), rows=300).count() == len(rows)
     assert 100 < seen[0] < 400
+
+
+def test_warc_decodes_hexadecimal_and_long_references(spark):
+    html = "<p>a&#x27;b&#xE9;c&#X1F600;d&#0000039;e&#1114109;f&#x110000;g&#99999999999999999999;h&#xD800;i&#0;j&#x;k&#x00000000000000000041;l&#233;</p>"
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    text = warc.derive(warc.responses(pages)).filter("record_type = 'conversion'").first().block
+    assert text == "a'béc😀d'e\U0010fffdf&#x110000;g&#99999999999999999999;h&#xD800;i&#0;j&#x;kAlé"

@@ -1,15 +1,18 @@
 """Token ids in binary shards with Elias-Fano document boundaries.
 
 Documents are range-partitioned by doc_id and sorted; each task encodes its texts and cuts its ids into shards of about
-``SHARD_IDS`` ids. A shard is one binary value: a header, the doc_ids, the Elias-Fano code of the documents' ends and
-the ids at the vocabulary's byte width. Shards are rows of a Parquet table in the shared folder, written and read by
-Spark alone, so they can live in any store and a lost executor's shards are simply written again.
+``SHARD_IDS`` ids. A shard is one binary value: a header, the Elias-Fano codes of the doc_ids and of the documents' ends,
+each with the places of every ``SAMPLE``-th one of its high bits, and the ids at the vocabulary's byte width. Offsets and
+doc_ids are read by select on these codes, which unpacks what lies between two samples; no table of 64-bit offsets is
+stored or built for a shard. Shards are rows of a Parquet table in the shared folder, written and read by Spark alone,
+so they can live in any store and a lost executor's shards are simply written again.
 
 A text's ids depend on its pieces only: the pre-tokenizer always starts a piece at a space before a non-space, and
 around a line feed between non-spaces. Cutting there is exact, and each worker encodes every distinct piece once.
 
 Defined results: a null or empty text has the end id alone; null doc_ids come first; repeated ids stand next to each
-other in either order; an empty table gives an empty one; other columns are ignored.
+other in either order; a long text is encoded whole, in spans of whole pieces; an empty table gives an empty one; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ from stepforge.llm.shared import texts_of, written
 END = 2
 SHARD_IDS = 1 << 20
 PIECES = 500_000
-MERGE = 60_000
+SLOT_BITS = 21
 CHUNK = 1 << 20
 JOINED = 256
-MAGIC = 0x31464553
+MAGIC = 0x32464553
+HEADER = 6
 SAMPLE = 256
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -47,56 +51,87 @@ _PRINT[0x21:0x7F] = True
 
 
 class EliasFano:
-    """n non-decreasing integers up to ``top``: low bits packed, high bits in unary, and a sample of the ones' places."""
+    """n non-decreasing integers from 0 to ``top``: low bits packed, high bits in unary, and the place of every SAMPLE-th one."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.cumsum(np.unpackbits(high.view(np.uint8)).reshape(-1, 8).sum(axis=1)) if len(high) else np.zeros(0, int)
-        self.samples = np.searchsorted(ones, np.arange(1, n + 1, SAMPLE)) if n else np.zeros(0, int)
-        self.before = np.concatenate([[0], ones])[self.samples] if n else np.zeros(0, int)
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
-    @classmethod
-    def encode(cls, values: np.ndarray, top: int) -> "EliasFano":
-        n = len(values)
+    @staticmethod
+    def shape(n: int, top: int) -> tuple[int, int, int, int]:
+        """Low bits of a value, bytes of all low bits and of the high bits, and the number of samples."""
         bits = max(0, (top // n).bit_length() - 1) if n else 0
-        low = np.packbits((values[:, None] >> np.arange(bits) & 1).astype(np.uint8).reshape(-1))
-        high = np.zeros(n + (top >> bits) + 1, dtype=np.uint8)
-        high[(values >> bits) + np.arange(n)] = 1
-        return cls(n, bits, low, np.packbits(high))
-
-    def select(self, i: int) -> int:
-        """Value i, from the nearest sampled byte on."""
-        byte, seen = int(self.samples[i // SAMPLE]), int(self.before[i // SAMPLE])
-        while seen + (ones := int(self.high[byte]).bit_count()) <= i:
-            seen, byte = seen + ones, byte + 1
-        place = byte * 8 + int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1]))[i - seen])
-        first = i * self.low_bits
-        bits = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8])[first % 8 : first % 8 + self.low_bits]
-        return (place - i << self.low_bits) + int((bits.astype(np.int64) << np.arange(self.low_bits)).sum())
-
-    def values(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low)[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return (places << self.low_bits) + (bits << np.arange(self.low_bits)).sum(axis=1)
+        return bits, (n * bits + 7) // 8, (n + (top >> bits) + 1 + 7) // 8, -(-n // SAMPLE)
 
+    @classmethod
+    def encode(cls, values: np.ndarray, top: int) -> "EliasFano":
+        n, values = len(values), values.astype(np.uint64)
+        bits, _, size, _ = cls.shape(n, top)
+        low = np.packbits((values[:, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).reshape(-1))
+        high = np.zeros(8 * size, dtype=np.uint8)
+        ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
+        high[ones] = 1
+        return cls(n, bits, low, np.packbits(high), ones[::SAMPLE].astype("<u4"))
 
-def pack(ids: np.ndarray, ends: np.ndarray, doc_ids: np.ndarray, nulls: int, width: int) -> bytes:
-    """A shard's bytes: six 64-bit header numbers, doc_ids, low bits, high bits, ids."""
-    code = EliasFano.encode(ends, len(ids))
-    head = np.array([MAGIC, len(ends), len(ids), code.low_bits, nulls, width], dtype="<i8")
-    return b"".join((head.tobytes(), doc_ids.astype("<i8").tobytes(), code.low.tobytes(), code.high.tobytes(), ids.astype(f"<u{width}").tobytes()))
+    @classmethod
+    def read(cls, shard: bytes, at: int, n: int, top: int) -> tuple["EliasFano", int]:
+        """The code that begins at byte ``at``, and the byte after it."""
+        bits, low, high, samples = cls.shape(n, top)
+        raw = np.frombuffer(shard, np.uint8, low + high, at)
+        return cls(n, bits, raw[:low], raw[low:], np.frombuffer(shard, "<u4", samples, at + low + high)), at + low + high + 4 * samples
+
+    def __bytes__(self) -> bytes:
+        return self.low.tobytes() + self.high.tobytes() + self.samples.astype("<u4").tobytes()
+
+    def select(self, wanted: np.ndarray) -> np.ndarray:
+        """The values at the places ``wanted``; what is unpacked at a time lies between two samples."""
+        wanted = np.asarray(wanted, dtype=np.int64)
+        order = np.argsort(wanted, kind="stable")
+        out, sorted_ = np.empty(len(wanted), dtype=np.int64), wanted[order]
+        blocks, begins = np.unique(sorted_ // SAMPLE, return_index=True)
+        for block, a, b in zip(blocks.tolist(), begins.tolist(), [*begins[1:].tolist(), len(wanted)]):
+            places, first = sorted_[a:b], int(self.samples[block])
+            stop = int(self.samples[block + 1]) if block + 1 < len(self.samples) else 8 * len(self.high) - 1
+            ones = np.flatnonzero(np.unpackbits(self.high[first // 8 : stop // 8 + 1])) + first // 8 * 8
+            high = ones[np.searchsorted(ones, first) :][places - block * SAMPLE] - places
+            bit = places[:, None] * self.low_bits + np.arange(self.low_bits)
+            low = (self.low[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(np.int64) << np.arange(self.low_bits)
+            out[order[a:b]] = (high << self.low_bits) + low.sum(axis=1)
+        return out
 
 
-def unpack(shard: bytes) -> tuple[np.ndarray, int, EliasFano, np.ndarray]:
-    """doc_ids, how many of them (the first) are null, the ends' code and the ids."""
-    magic, docs, count, bits, nulls, width = np.frombuffer(shard, "<i8", 6).tolist()
-    if magic != MAGIC:
-        raise ValueError("not a shard of token ids")
-    at = 48 + 8 * docs
-    low, high = (docs * bits + 7) // 8, (docs + (count >> bits) + 1 + 7) // 8
-    raw = np.frombuffer(shard, np.uint8)
-    code = EliasFano(docs, bits, raw[at : at + low], raw[at + low : at + low + high])
-    return np.frombuffer(shard, "<i8", docs, 48), nulls, code, np.frombuffer(shard, f"<u{width}", count, at + low + high)
+def pack(ids: np.ndarray, ends: np.ndarray, doc_ids: np.ndarray, nulls: int, width: int) -> bytes:
+    """A shard's bytes: six 64-bit header numbers, the codes of the doc_ids (less the first) and of the ends, the ids."""
+    known = doc_ids[nulls:].astype(np.int64)
+    base, top = (int(known[0]), int(known[-1]) - int(known[0])) if len(known) else (0, 0)
+    head = np.array([MAGIC | width << 32, len(ends), len(ids), nulls, base, np.uint64(top).astype(np.int64)], dtype="<i8")
+    codes = bytes(EliasFano.encode((known - np.int64(base)).view(np.uint64), top)), bytes(EliasFano.encode(ends, len(ids)))
+    return b"".join((head.tobytes(), *codes, ids.astype(f"<u{width}").tobytes()))
+
+
+class Shard:
+    """A shard's bytes with its codes in place; nothing is decoded but what is asked for."""
+
+    def __init__(self, data: bytes):
+        magic, self.docs, count, self.nulls, self.base, top = np.frombuffer(data, "<i8", HEADER).tolist()
+        if magic & 0xFFFFFFFF != MAGIC:
+            raise ValueError("not a shard of token ids")
+        self.names, at = EliasFano.read(data, 8 * HEADER, self.docs - self.nulls, top & (1 << 64) - 1)
+        self.ends, at = EliasFano.read(data, at, self.docs, count)
+        self.ids = np.frombuffer(data, f"<u{magic >> 32}", count, at)
+
+    def bounds(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the ids of the documents at the places ``wanted``."""
+        wanted = np.asarray(wanted, dtype=np.int64)
+        before = np.zeros(len(wanted), dtype=np.int64)
+        before[wanted > 0] = self.ends.select(wanted[wanted > 0] - 1)
+        return before, self.ends.select(wanted)
+
+    def doc_ids(self, wanted: np.ndarray) -> pa.Array:
+        """doc_ids of the documents at the places ``wanted``; the first ``nulls`` are null."""
+        wanted = np.asarray(wanted, dtype=np.int64)
+        out, known = np.zeros(len(wanted), dtype=np.int64), wanted >= self.nulls
+        out[known] = self.names.select(wanted[known] - self.nulls) + np.int64(self.base)
+        return pa.array(out, mask=~known)
 
 
 class Encoder:
@@ -115,33 +150,39 @@ class Encoder:
             self.bytes[i] = len(token)
         self.forget()
 
-    def forget(self) -> None:
-        #: Keys of known pieces, sorted, with their slots: the settled ones and the recent ones not merged yet.
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.recent, self.recent_slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    def forget(self, room: int = 0) -> None:
+        #: Keys of known pieces (0 for a free place) at the places of their top bits or after, with the pieces' numbers.
+        self.slot_bits = max(SLOT_BITS, (4 * room).bit_length())
+        self.keys, self.numbers = np.zeros(1 << self.slot_bits, np.uint64), np.zeros(1 << self.slot_bits, np.int32)
         self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.used = self.known = 0
 
-    @staticmethod
-    def _at(keys: np.ndarray, slots: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(wanted), -1, np.int32)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, slots[at], -1)
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.slot_bits)).astype(np.int64)
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 for new ones."""
-        return np.maximum(self._at(self.keys, self.slots, wanted), self._at(self.recent, self.recent_slots, wanted))
-
-    def _add(self, keys: np.ndarray, slots: np.ndarray) -> None:
-        self.recent, self.recent_slots = np.concatenate([self.recent, keys]), np.concatenate([self.recent_slots, slots])
-        if len(self.recent) > MERGE:
-            self.recent, self.recent_slots = np.concatenate([self.keys, self.recent]), np.concatenate([self.slots, self.recent_slots])
-        order = np.argsort(self.recent, kind="stable")
-        self.recent, self.recent_slots = self.recent[order], self.recent_slots[order]
-        if len(self.recent) > MERGE:
-            self.keys, self.slots = self.recent, self.recent_slots
-            self.recent, self.recent_slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        """The number of each key, -1 for new ones."""
+        at = self._place(wanted)
+        held = self.keys[at]
+        out = np.where(held == wanted, self.numbers[at], -1)
+        left = np.flatnonzero((held != wanted) & (held != 0))
+        while len(left):
+            at[left] = at[left] + 1 & len(self.keys) - 1
+            held = self.keys[at[left]]
+            same = held == wanted[left]
+            out[left[same]] = self.numbers[at[left[same]]]
+            left = left[~same & (held != 0)]
+        return out
+
+    def _add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        at = self._place(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] == 0)
+            own = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[own]], self.numbers[at[own]] = keys[own], numbers[own]
+            rest = np.ones(len(keys), dtype=bool)
+            rest[own] = False
+            keys, numbers, at = keys[rest], numbers[rest], at[rest] + 1 & len(self.keys) - 1
 
     def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Encodes new pieces, those that begin with a space many at a time: a piece begins anew at each of them."""
@@ -166,11 +207,29 @@ class Encoder:
         self.known += m
         self._add(keys[order], np.arange(n, n + m, dtype=np.int32))
 
+    def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, one after the other, and how many each has."""
+        keys = textops.span_hashes(data, starts, ends) | np.uint64(1)
+        number = self.find(keys)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            unique, where = np.unique(keys[new], return_index=True)
+            if self.known + len(unique) > PIECES:
+                self.forget(len(keys))
+                unique, where = np.unique(keys, return_index=True)
+                new = np.arange(len(keys))
+            where, raw = new[where], data.tobytes()
+            self.learn(unique, [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])
+            number[new] = self.find(keys[new])
+        length = self.length[number]
+        stop = np.cumsum(length, dtype=np.int64)
+        return self.flat[np.arange(stop[-1]) + np.repeat(self.start[number] - stop + length, length)], length
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` after it, and the number of each text's ids."""
         docs = len(offsets) - 1
         if not len(data):
-            return np.full(docs, end, np.int32), np.ones(docs, np.int64)
+            return np.full(docs, end, np.uint32), np.ones(docs, np.int64)
         head = np.append(_HEAD[data[1:]], False)
         first = np.zeros(len(data) + 1, dtype=bool)
         first[:-1] |= (data == 0x20) & head
@@ -184,23 +243,17 @@ class Encoder:
         first[-1] = False
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(data))
-        unique, where, which = np.unique(textops.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if self.known + len(unique) > PIECES:
-            self.forget()
-        slot = self.find(unique)
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            raw = data.tobytes()
-            self.learn(unique[new], [raw[starts[j] : ends[j]] for j in where[new].tolist()])
-            slot[new] = self.find(unique[new])
-        slot = slot[which]
-        length = self.length[slot]
-        text = np.searchsorted(offsets, starts, side="right") - 1
-        total = int(length.sum())
-        ids = np.full(total + docs, end, np.int32)
-        stop = np.cumsum(length, dtype=np.int64)
-        ids[np.arange(total) + np.repeat(text, length)] = self.flat[np.arange(total) + np.repeat(self.start[slot] - stop + length, length)]
-        return ids, np.bincount(text, length, minlength=docs).astype(np.int64) + 1
+        #: A text beyond CHUNK is worked on in spans of whole pieces.
+        ids, lengths, a = [], [], 0
+        while a < len(starts):
+            b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK, side="right")))
+            low, high = int(starts[a]), int(ends[b - 1])
+            part, length = self._pieces(data[low:high], starts[a:b] - low, ends[a:b] - low)
+            ids.append(part)
+            lengths.append(length)
+            a = b
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(lengths), dtype=np.int64)])[np.searchsorted(starts, offsets)]
+        return np.insert(np.concatenate(ids), upto[1:], np.uint32(end)), np.diff(upto) + 1
 
 
 def _shards(path: str, end: int, shard_ids: int):
@@ -231,15 +284,15 @@ def _shards(path: str, end: int, shard_ids: int):
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in textops.released(batches):
-        for part, seq, shard in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            docs, nulls, code, ids = unpack(shard)
-            ends = code.values()
-            starts = np.concatenate([[0], ends[:-1]])
-            wide = memoryview(ids.astype("<u4"))
-            crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            own = pa.array(docs, mask=np.arange(len(docs)) < nulls)
-            n = len(docs)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), own, pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
+        for part, seq, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            shard = Shard(data)
+            for a in range(0, shard.docs, 1 << 16):
+                wanted = np.arange(a, min(shard.docs, a + (1 << 16)))
+                starts, ends = shard.bounds(wanted)
+                wide = memoryview(shard.ids[starts[0] : ends[-1]].astype("<u4"))
+                crc = [zlib.crc32(wide[i:j]) for i, j in zip((starts - starts[0]).tolist(), (ends - starts[0]).tolist())]
+                n = len(wanted)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), shard.doc_ids(wanted), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -250,7 +303,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end: int = END, shard_ids
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the shards' bytes."""
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
+    parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    #: One row for each writing task: the ids of all tasks before it.
+    of_part = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("of_part"))
+    before = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("of_seq")).join(of_part, "part").select("part", "seq", (F.col("of_part") + F.col("of_seq")).alias("before"))
     opened = shards.select("part", "seq", "shard").mapInArrow(_opened, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return opened.join(before, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -200,7 +200,12 @@ def token_jaccard(spark, sf_dir):
     return ranking.token_overlap(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "item_id", False, 5)
 
 
-@query(None)
+BIGRAMS = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS w FROM benchmark),
+t AS (SELECT doc_id, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS u FROM w), b AS (SELECT item_id, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS u FROM v)"""
+
+
+@query("WITH " + BIGRAMS + OVERLAP)
 def bigram_jaccard(spark, sf_dir):
     return ranking.token_overlap(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "item_id", True, 5)
 
@@ -210,12 +215,15 @@ qt AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_
 n AS (SELECT count(*) AS n FROM documents)"""
 
 
-@query("WITH " + TERMS + """, i AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM dt, n GROUP BY term, n HAVING count(*) <= 0.95 * n),
+TFIDF_SQL = "WITH " + TERMS + """, i AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM dt, n GROUP BY term, n HAVING count(*) <= 0.95 * n),
 d AS (SELECT doc_id, term, tf * idf AS w FROM dt JOIN i USING (term)), q AS (SELECT item_id, term, qf * idf AS w FROM qt JOIN i USING (term)),
 dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM d GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM q GROUP BY 1),
 s AS (SELECT item_id, doc_id, sum(q.w * d.w) AS dot FROM q JOIN d USING (term) GROUP BY 1, 2),
 c AS (SELECT item_id, doc_id, round(dot / (dn.norm * qn.norm), 6) AS score FROM s JOIN dn USING (doc_id) JOIN qn USING (item_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5""")
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5"""
+
+
+@query(TFIDF_SQL)
 def tfidf_topk(spark, sf_dir):
     return ranking.tfidf_topk(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "item_id", 5)
 
@@ -224,20 +232,24 @@ def tfidf_topk(spark, sf_dir):
 def tfidf_vocab(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     n = docs.count()
-    df = ranking.document_frequency(ranking.term_counts(docs, "doc_id"), 0.95, n)
+    df = ranking.document_frequency(docs, 0.95, n)
     return df.withColumn("idf", F.round(F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1, 6))
 
 
-@query("WITH " + TERMS + """, sz AS (SELECT doc_id, sum(tf) AS size FROM dt GROUP BY 1), av AS (SELECT sum(size) / max(n)::DOUBLE AS mean FROM sz, n),
+BM25_SQL = "WITH " + TERMS + """, sz AS (SELECT doc_id, sum(tf) AS size FROM dt GROUP BY 1), av AS (SELECT sum(size) / max(n)::DOUBLE AS mean FROM sz, n),
 ir AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM dt, n GROUP BY term, n), fl AS (SELECT 0.25 * avg(raw) AS low FROM ir),
 i AS (SELECT term, CASE WHEN raw < 0 THEN low ELSE raw END AS idf FROM ir, fl),
 c AS (SELECT item_id, doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))), 6) AS score FROM qt JOIN i USING (term) JOIN dt USING (term) JOIN sz USING (doc_id), av GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5""")
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5"""
+
+
+@query(BM25_SQL)
 def bm25_topk(spark, sf_dir):
     return ranking.bm25_topk(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "item_id", 5)
 
 
-@query(None)
+@query(f"""WITH h AS ({BM25_SQL}), l AS ({TFIDF_SQL}), u AS (SELECT item_id, doc_id, 0 AS part, rank FROM h UNION ALL SELECT item_id, doc_id, 1, rank FROM l),
+m AS (SELECT item_id, doc_id, min(part * 1000 + rank) AS pos FROM u GROUP BY 1, 2) SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY pos, doc_id) AS rank FROM m""")
 def rank_fusion_union(spark, sf_dir):
     return ranking.merged(bm25_topk(spark, sf_dir), tfidf_topk(spark, sf_dir), "item_id", "doc_id")
 
@@ -392,7 +404,13 @@ def difficulty_bands(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") <= 10, "easy").when(F.col("p_size") <= 17, "medium").otherwise("hard").alias("band"))
 
 
-@query(None)
+STEP_BINS = """WITH n AS (SELECT p_size AS v, row_number() OVER (ORDER BY p_size) - 1 AS i, count(*) OVER () AS n FROM part WHERE p_size IS NOT NULL),
+e AS (SELECT DISTINCT v FROM n WHERE i IN (SELECT round_even((n - 1) * q, 0) FROM n, (VALUES (0.1::DOUBLE), (0.25), (0.5), (0.75), (0.9)) AS t(q)))
+SELECT p_partkey, CASE WHEN low IS NULL THEN '<= ' || high WHEN high IS NULL THEN '>= ' || (low + 1) ELSE (low + 1) || '-' || high END AS bin
+FROM (SELECT p_partkey, (SELECT max(v) FROM e WHERE v < p_size) AS low, (SELECT min(v) FROM e WHERE v >= p_size) AS high FROM part) b"""
+
+
+@query(STEP_BINS)
 def step_bins(spark, sf_dir):
     part = read(spark, sf_dir, "part")
     return part.select("p_partkey", splits.bin_label(F.col("p_size"), splits.step_bins(part, "p_size")).alias("bin"))

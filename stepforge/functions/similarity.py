@@ -1,12 +1,19 @@
-"""Similarity of two strings by their longest common subsequence of characters."""
+"""Distances of vectors, and similarity of two strings by their longest common subsequence of characters."""
 
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def l2(left: Column, right: Column) -> Column:
+    """Euclidean distance of two arrays, in doubles; null where one is missing or empty, or their lengths differ."""
+    squares = F.aggregate(F.zip_with(left, right, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    return F.when((F.size(left) > 0) & (F.size(left) == F.size(right)), F.sqrt(squares))
+
+
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence; a row of the table is one integer's bits."""
     places: dict[str, int] = {}

@@ -26,9 +26,11 @@ def is_last(w) -> Column:
     return F.lead(F.lit(1)).over(w).isNull()
 
 
-def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Keep-first dedup by ``keys`` in ``order``."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Keep-first dedup by ``keys`` in ``order``; each task keeps its own first row of a key before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("first"))
+    return first.select(*keys, *[F.col(f"first.{c}") for c in rest])
 
 
 def first_match(df: DataFrame, trajectory: str, index: str, matched: Column) -> DataFrame:

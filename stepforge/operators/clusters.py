@@ -10,17 +10,15 @@ reversed links count once.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepforge.operators.order import shared_dir
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; its folder is the session's, and a new local one only where none is set (tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    """A reliable checkpoint in the shared folder; Spark removes its files with the reference."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepforge.operators.order import numbered
+
 
 def disagreements(runs: DataFrame) -> DataFrame:
     """Score of each simulation: +1 for each opposite outcome if it succeeded, else -1 each; 0 opponents give no row.
@@ -53,8 +55,8 @@ def evaluation(found: DataFrame) -> DataFrame:
 
 
 def qids(df: DataFrame, query: str) -> DataFrame:
-    """qid of each distinct query, 1-based in sorted order, joined back; the ranks come from the distinct values alone."""
-    ids = df.select(query).distinct().withColumn("qid", F.dense_rank().over(Window.orderBy(query)))
+    """qid of each distinct query, 1-based in sorted order, joined back; the distinct values are numbered where they lie."""
+    ids = numbered(df.select(query).distinct(), query).select(query, (F.col("place") + 1).alias("qid"))
     return df.join(ids, query)
 
 

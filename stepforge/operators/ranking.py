@@ -1,48 +1,169 @@
-"""Weighted text search, rank fusion, all-pair points and within-query normalisation."""
+"""Weighted text search, rank fusion, all-pair points and within-query normalisation.
+
+A search sets a stated query set, in blocks of ``BLOCK`` queries, against all documents. A task counts only the units (terms,
+tokens or bigrams) that the block's queries hold, scores its documents as a matrix product and keeps the best k of each
+query, so that neither documents nor pairs are shuffled, however common a term is; a window ranks the kept rows.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.functions import text as tx
 
+BLOCK = 1024
+#: Cells of a task's matrices: documents at once times units of the block, or times its queries.
+CELLS = 2_000_000
+#: Terms of a corpus whose weights may be sent to all tasks: about 40 MB; beyond, they are joined.
+TERMS = 1_000_000
+
 
-def term_counts(df: DataFrame, key: str, column: str = "text") -> DataFrame:
-    return df.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"([a-z0-9]+)"), F.lit(1))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9]+)"), F.lit(1))
 
 
-def document_frequency(terms: DataFrame, max_share: float | None, n: int) -> DataFrame:
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def document_frequency(docs: DataFrame, max_share: float | None = None, n: int = 0, column: str = "text") -> DataFrame:
+    """term, df: in how many documents each term stands; each task adds up its own first."""
+    df = docs.select(F.explode(F.array_distinct(terms(F.col(column)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df if max_share is None else df.filter(F.col("df") <= max_share * n)
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To six decimals, halves away from zero, as SQL rounds."""
+    return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6
+
+
+Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
+
+
+def _searcher(shared, k: int, score: Scorer):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, units, weights, held = shared.value
+        units = pa.array(units, pa.string())
+        step = max(1, CELLS // max(len(units), len(ids)))
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                lists = part.column(1)
+                found = pc.index_in(lists.flatten(), value_set=units).fill_null(-1).to_numpy()
+                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[found >= 0]
+                counts = np.bincount(owner * len(units) + found[found >= 0], minlength=len(lists) * len(units)).reshape(len(lists), len(units)).astype(np.float64)
+                values = score(counts, weights, np.diff(lists.offsets.to_numpy()).astype(np.float64), part.column(2).to_numpy(zero_copy_only=False))
+                met = (counts > 0).astype(np.float32) @ held.astype(np.float32) > 0
+                order = np.where(met, values[0], -np.inf)
+                if len(lists) > k:
+                    met &= order >= np.partition(order, len(lists) - k, axis=0)[len(lists) - k]
+                row, column = np.nonzero(met)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[column]), part.column(0).take(pa.array(row)), *[pa.array(v[row, column]) for v in values]], [f"c{i}" for i in range(2 + len(values))])
+
+    return search
+
+
+def _search(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, score: Scorer, names: list[str], weigh: Callable) -> DataFrame:
+    """query_key, doc_key, ``names`` (the first ranks, ties by doc_key) and rank, of pairs that share a held unit.
+
+    docs: doc_key, units (array), fact (double); queries: query_key, units. From the counts (units by queries) of a block,
+    ``weigh`` gives the weights, and which of them are held."""
+    spark = docs.sparkSession
+    own = queries.select(query_key, "units").filter(F.size("units") > 0)
+    blocks = max(1, -(-own.count() // BLOCK))
+    schema = f"{query_key} long, {doc_key} long, " + ", ".join(f"{name} double" for name in names)
+    found = None
+    for b in range(blocks):
+        rows = own.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        units = sorted({u for r in rows for u in r["units"]})
+        place = {u: i for i, u in enumerate(units)}
+        counts = np.zeros((len(units), len(rows)))
+        for j, r in enumerate(rows):
+            for u, c in Counter(r["units"]).items():
+                counts[place[u], j] = c
+        weights, held = weigh(units, counts)
+        kept = held.any(axis=1)
+        shared = spark.sparkContext.broadcast((np.array([r[query_key] for r in rows], dtype=np.int64), [u for u, ok in zip(units, kept) if ok], weights[kept], held[kept]))
+        part = docs.select(F.col(doc_key).cast("long"), "units", F.col("fact").cast("double")).mapInArrow(_searcher(shared, k, score), schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    return topk(found, query_key, [F.desc(names[0]), doc_key], k)
+
+
+def _weights(df: DataFrame, units: list[str], weight: Column) -> np.ndarray:
+    """The weight of each unit, nan where ``df`` has none."""
+    spark = df.sparkSession
+    wanted = spark.createDataFrame([(u,) for u in units], "term string")
+    found = {r["term"]: r["w"] for r in df.join(F.broadcast(wanted), "term").select("term", weight.alias("w")).collect()}
+    return np.array([found.get(u, np.nan) for u in units])
+
+
 def tfidf_topk(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int) -> DataFrame:
     """Cosine of smoothed TF-IDF vectors (idf = ln((1 + n) / (1 + df)) + 1, terms in more than 95 % of documents left out)."""
     n = docs.count()
-    terms = term_counts(docs, doc_key)
-    idf = document_frequency(terms, 0.95, n).withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1)
-    weigh = lambda t: t.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    d, q = weigh(terms), weigh(term_counts(queries, query_key))
-    norm = lambda t, key, name: t.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dot = q.select("term", query_key, F.col("w").alias("qw")).join(d.select("term", doc_key, "w"), "term").groupBy(query_key, doc_key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    scored = dot.join(norm(d, doc_key, "dn"), doc_key).join(norm(q, query_key, "qn"), query_key).withColumn("score", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 6))
-    return topk(scored, query_key, [F.desc("score"), doc_key], k).select(query_key, doc_key, "score", "rank")
+    weight = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1
+    df = document_frequency(docs, 0.95, n).persist()
+    size = df.count()
+    own = docs.select(F.col(doc_key).cast("long").alias(doc_key), terms(F.col("text")).alias("units"))
+    if size <= TERMS:
+        table = df.select("term", weight.alias("w")).toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast((table.column("term").combine_chunks(), table.column("w").to_numpy()))
+
+        def normed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, idf = shared.value
+            for batch in batches:
+                lists = batch.column(1)
+                found = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy()
+                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[found >= 0]
+                cells, tf = np.unique(owner * max(1, len(idf)) + found[found >= 0], return_counts=True)
+                squares = (tf * idf[cells % max(1, len(idf))]) ** 2 if len(cells) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.sqrt(np.bincount(cells // max(1, len(idf)), squares, minlength=len(lists))))], [doc_key, "units", "fact"])
+
+        own = own.mapInArrow(normed, f"{doc_key} long, units array<string>, fact double")
+    else:
+        tf = own.select(doc_key, F.explode("units").alias("term")).groupBy(doc_key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        norms = tf.join(df.hint("merge"), "term").groupBy(doc_key).agg(F.sqrt(F.sum((F.col("tf") * weight) ** 2)).alias("fact"))
+        own = own.join(norms, doc_key)
+
+    def score(counts, weights, _, norm):
+        return (_rounded(counts @ weights / np.maximum(norm, 1e-300)[:, None]),)
+
+    def weigh(units, counts):
+        idf = _weights(df, units, weight)[:, None]
+        held, idf = (counts > 0) & ~np.isnan(idf), np.nan_to_num(idf)
+        return counts * idf * idf / np.maximum(np.sqrt(((counts * idf) ** 2).sum(axis=0)), 1e-300), held
+
+    out = _search(own, queries.select(query_key, terms(F.col("text")).alias("units")), doc_key, query_key, k, score, ["score"], weigh)
+    df.unpersist()
+    return out.select(query_key, doc_key, "score", "rank")
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25; a negative idf is raised to epsilon times the mean idf. Every query term counts as often as it occurs."""
-    n = docs.count()
-    terms = term_counts(docs, doc_key)
-    sizes = terms.groupBy(doc_key).agg(F.sum("tf").alias("size"))
-    mean = sizes.agg(F.sum("size") / n).first()[0] or 1.0
-    idf = document_frequency(terms, None, n).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = epsilon * (idf.agg(F.avg("raw")).first()[0] or 0.0)
-    idf = idf.select("term", F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw")).alias("idf"))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
-    q = term_counts(queries, query_key).withColumnRenamed("tf", "qf").join(idf, "term")
-    scored = q.join(terms, "term").join(sizes, doc_key).groupBy(query_key, doc_key).agg(F.round(F.sum(part), 6).alias("score"))
-    return topk(scored, query_key, [F.desc("score"), doc_key], k).select(query_key, doc_key, "score", "rank")
+    own = docs.select(doc_key, terms(F.col("text")).alias("units"), F.lit(0.0).alias("fact"))
+    n, total = own.agg(F.count(F.lit(1)), F.sum(F.size("units"))).first()
+    mean = (total or 0) / n if n and total else 1.0
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    df = document_frequency(docs).persist()
+    floor = epsilon * (df.agg(F.avg(raw)).first()[0] or 0.0)
+
+    def score(counts, weights, size, _):
+        part = counts * (k1 + 1) / (counts + (k1 * (1 - b + b * size / mean))[:, None])
+        return (_rounded(part @ weights),)
+
+    def weigh(units, counts):
+        idf = _weights(df, units, F.when(raw < 0, F.lit(floor)).otherwise(raw))[:, None]
+        return counts * np.nan_to_num(idf), (counts > 0) & ~np.isnan(idf)
+
+    out = _search(own, queries.select(query_key, terms(F.col("text")).alias("units")), doc_key, query_key, k, score, ["score"], weigh)
+    df.unpersist()
+    return out.select(query_key, doc_key, "score", "rank")
 
 
 def topk(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
@@ -50,13 +171,15 @@ def topk(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
 
 
 def token_overlap(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, bigrams: bool, k: int) -> DataFrame:
-    """Token or bigram Jaccard, and the share of the query found, by an inverted join of distinct tokens."""
+    """query_key, doc_key, jaccard, overlap (the share of the query found) and rank, over distinct tokens or bigrams."""
     unit = (lambda c: F.array_distinct(tx.bigrams(tx.tokens(c)))) if bigrams else (lambda c: F.array_distinct(tx.tokens(c)))
-    d = docs.select(doc_key, unit(F.col("text")).alias("u")).withColumn("dn", F.size("u"))
-    q = queries.select(query_key, unit(F.col("text")).alias("u")).withColumn("qn", F.size("u"))
-    met = q.select(query_key, "qn", F.explode("u").alias("u")).join(d.select(doc_key, "dn", F.explode("u").alias("u")), "u").groupBy(query_key, doc_key, "qn", "dn").agg(F.count(F.lit(1)).alias("both"))
-    scored = met.select(query_key, doc_key, F.round(F.col("both") / (F.col("qn") + F.col("dn") - F.col("both")), 6).alias("jaccard"), F.round(F.col("both") / F.col("qn"), 6).alias("overlap"))
-    return topk(scored, query_key, [F.desc("jaccard"), doc_key], k)
+
+    def score(counts, weights, size, _):
+        both, of_query = counts @ weights, weights.sum(axis=0)
+        return _rounded(both / np.maximum(of_query + size[:, None] - both, 1)), _rounded(both / np.maximum(of_query, 1))
+
+    own = docs.select(doc_key, unit(F.col("text")).alias("units"), F.lit(0.0).alias("fact"))
+    return _search(own, queries.select(query_key, unit(F.col("text")).alias("units")), doc_key, query_key, k, score, ["jaccard", "overlap"], lambda units, counts: (counts, counts > 0))
 
 
 def merged(head: DataFrame, tail: DataFrame, group: str, key: str) -> DataFrame:

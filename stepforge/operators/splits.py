@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepforge.operators.order import numbered
+
 
 def hamilton(strata: DataFrame, key: str, total: int) -> DataFrame:
     """Largest-remainder quotas of ``total`` over strata (key, cap); leftovers by fraction, cap and key, all descending."""
@@ -16,19 +18,70 @@ def hamilton(strata: DataFrame, key: str, total: int) -> DataFrame:
     return out.withColumn("left", left).withColumn("turn", turn).select(key, "cap", (F.col("floor") + (F.col("turn") <= F.col("left")).cast("long")).alias("quota"))
 
 
+def nested_quotas(counts: DataFrame, levels: list[str], total: int) -> DataFrame:
+    """Largest-remainder quotas shared level by level: ``counts`` (levels and cap) with the quota of each innermost group.
+
+    A level's groups share their parent's quota by size; ties go to the larger and then the later group. Counts are a row
+    for each innermost group."""
+    inner = counts.select(*levels, "cap")
+    quotas = inner.agg(F.sum("cap").alias("all")).select(F.least(F.lit(total), F.col("all")).alias("quota"))
+    for depth in range(1, len(levels) + 1):
+        parent, own = levels[: depth - 1], levels[:depth]
+        sizes = inner.groupBy(*own).agg(F.sum("cap").alias("cap"))
+        sizes = sizes.join(quotas, parent) if parent else sizes.withColumn("quota", F.lit(quotas.first()[0]))
+        w = Window.partitionBy(*parent)
+        raw = F.col("quota") * F.col("cap") / F.sum("cap").over(w)
+        sizes = sizes.withColumn("raw", raw).withColumn("low", F.floor("raw")).withColumn("fraction", F.round(F.col("raw") - F.col("low"), 9))
+        turn = F.row_number().over(w.orderBy(F.desc("fraction"), F.desc("cap"), F.desc(levels[depth - 1])))
+        spare = F.col("quota") - F.sum("low").over(w)
+        quotas = sizes.withColumn("got", F.col("low") + (turn <= spare).cast("long")).select(*own, F.col("got").alias("quota"))
+    return quotas
+
+
+def proportional(counts: DataFrame, key: str, share: float) -> DataFrame:
+    """key, cap, quota: max(1, floor(share * cap)) of each stratum."""
+    return counts.select(key, "cap", F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("cap"))).cast("long").alias("quota"))
+
+
+def held_out(df: DataFrame, group: str, id_: str, seed: str, limit: int) -> DataFrame:
+    """``df`` with part: ``validation`` for the first ``limit`` ids of each group in the order of a seeded digest, else ``test``."""
+    order = F.md5(F.concat(F.lit(seed), F.col(id_).cast("string")))
+    first = firsts(df.select(group, id_), [group], [order, id_], limit).select(id_, F.lit("validation").alias("part"))
+    return df.join(first, id_, "left").withColumn("part", F.coalesce("part", F.lit("test")))
+
+
+def shifts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """attribute, tvd: half the sum of absolute differences of the two distributions of each of ``keys``; 0 if either is empty."""
+    each = lambda d, side: d.select(F.explode(F.array(*[F.struct(F.lit(k).alias("attribute"), F.col(k).cast("string").alias("value")) for k in keys])).alias("e")).select("e.*", F.lit(side).alias("side"))
+    counts = each(left, 0).unionByName(each(right, 1)).groupBy("attribute", "value").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    sums = counts.groupBy("attribute").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    gap = F.abs(F.col("a") / F.col("all_a") - F.col("b") / F.col("all_b"))
+    empty = (F.max("all_a") == 0) | (F.max("all_b") == 0)
+    both = counts.join(F.broadcast(sums), "attribute")  # a row for each key
+    return both.filter("all_a > 0 and all_b > 0").groupBy("attribute").agg(F.when(empty, 0.0).otherwise(F.round(F.sum(gap) / 2, 6)).alias("tvd")).unionByName(sums.filter("all_a = 0 or all_b = 0").select("attribute", F.lit(0.0).alias("tvd")))
+
+
+def firsts(df: DataFrame, groups: list[str], order: list, limit: int) -> DataFrame:
+    """``df`` with pick, the first ``limit`` rows of each group. The limit is a number, so each task keeps its own first
+    rows of a group before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return df.withColumn("pick", rank).filter(F.col("pick") <= limit)
+
+
 def stratified(df: DataFrame, key: str, id_: str, quotas: DataFrame, seed: str) -> DataFrame:
     """Rows of each stratum up to its quota, in the order of a seeded digest of the id."""
+    most = quotas.agg(F.max("quota")).first()[0] or 0
     order = F.md5(F.concat(F.lit(seed), F.col(id_).cast("string")))
-    ranked = df.withColumn("pick", F.row_number().over(Window.partitionBy(key).orderBy(order, id_)))
-    return ranked.join(quotas.select(key, "quota"), key).filter(F.col("pick") <= F.col("quota"))
+    return firsts(df, [key], [order, id_], int(most)).join(quotas.select(key, "quota"), key).filter(F.col("pick") <= F.col("quota"))
 
 
 def rare_first(df: DataFrame, combo: str, intent: str, id_: str, quota: int) -> DataFrame:
     """Round-robin over the intents of a combo, rare intents first, one id a round, ``quota`` ids a combo."""
     counts = df.groupBy(intent).agg(F.count(F.lit(1)).alias("in_all"))
     local = df.groupBy(combo, intent).agg(F.count(F.lit(1)).alias("in_combo"))
-    rounds = df.withColumn("round", F.row_number().over(Window.partitionBy(combo, intent).orderBy(id_))).join(counts, intent).join(local, [combo, intent])
-    return rounds.withColumn("pick", F.row_number().over(Window.partitionBy(combo).orderBy("round", "in_all", "in_combo", intent))).filter(F.col("pick") <= quota)
+    # No combo takes more than quota ids of one intent.
+    rounds = firsts(df, [combo, intent], [id_], quota).withColumnRenamed("pick", "round").join(counts, intent).join(local, [combo, intent])
+    return firsts(rounds, [combo], ["round", "in_all", "in_combo", intent], quota)
 
 
 def total_variation(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -41,17 +94,19 @@ def total_variation(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def step_bins(df: DataFrame, column: str, shares=(0.1, 0.25, 0.5, 0.75, 0.9)) -> list:
-    """Strictly rising edges at the round((n - 1) q)-th values; from value counts, not from a sort of all rows."""
+    """Strictly rising edges at the round((n - 1) q)-th values, from one count of each value, in one collect of the edges."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(column)))
-    n = df.filter(F.col(column).isNotNull()).count()
-    wanted = [round((n - 1) * q) for q in shares] if n else []
-    edges: list = []
-    for i in wanted:
-        edge = upto.filter(F.col("upto") > i).agg(F.min(column)).first()[0]
-        if not edges or edge > edges[-1]:
-            edges.append(edge)
-    return edges
+    placed = numbered(counts, column)
+    # Prefix sums in two levels: runs of the order, values of a run.
+    placed = placed.withColumn("run", F.floor(F.col("place") / 4096))
+    runs = placed.groupBy("run").agg(F.sum("n").alias("of_run"))
+    earlier = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("run", F.coalesce(F.sum("of_run").over(earlier), F.lit(0)).alias("before"), F.sum("of_run").over(Window.partitionBy()).alias("all"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("run").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    spans = placed.join(runs, "run").withColumn("upto", upto)
+    wanted = F.array(*[F.bround((F.col("all") - 1) * F.lit(q), 0).cast("long") for q in shares])
+    held = F.exists(wanted, lambda i: (i < F.col("upto")) & (i >= F.col("upto") - F.col("n")))
+    return [r[0] for r in spans.filter(held).select(column).orderBy(column).collect()]
 
 
 def bin_label(column: Column, edges: list) -> Column:

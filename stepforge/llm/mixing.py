@@ -6,11 +6,14 @@ times its source's words and the excess is shared again by weight. Within a sour
 document of the target; the expected copies are prefix-summed along that order, one random offset (seeded by the
 source's name) is added, and a document is emitted once for each integer boundary its interval crosses.
 
-The prefix sum is a rank in three levels (sizes of a source, id blocks of a size, rows of a block), so that no window
-holds more than one block's rows, one size's blocks or one source's sizes, however large a source is.
+As all documents of a source are expected equally often, the prefix sum is the document's place in its source times that
+number. Places come from one range partitioning of all rows by source, size and doc_id, and one number for each source
+in each partition, so a source of any size is spread over many tasks.
 
 Defined results: a null or empty text has size 0 and is taken 0 words; null sources are one source, the last; a null
-doc_id sorts before the others of its size; repeated rows are rows of their own; other columns are ignored or kept.
+doc_id sorts before the others of its size; rows that repeat a doc_id are rows of their own, in the order of their texts'
+hashes; a long text counts whole; an empty table gives an empty one. ``mix`` reads doc_id, text and source and ignores
+other columns; ``emitted`` gives all columns back as they came, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,27 +21,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepforge.llm.shared import numbered, sized, written
+
 CEILING = 3
-BLOCK_IDS = 4096
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target of each source of ``sizes`` (source, size): one small row for each source.
+    """source, source_size, target of each source of ``sizes`` (source, size), written.
 
-    The shares are a water level: every source gets ``least(weight * level, cap)``, and the level that spends all words
-    is the largest of the levels that leave the first k sources (by cap over weight) at their caps.
+    The shares are a water level: every source gets ``least(weight * level, cap)``. The level that spends all words rises
+    from the one without caps, each time by what the sources at their caps leave, until no other source reaches its cap.
     """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    weighed = sources.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
-    by_cap = Window.orderBy(CEILING * F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    above = by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    below = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum(CEILING * F.col("source_size")).over(below), F.lit(0))) / F.sum("weight").over(above)
-    levels = weighed.withColumn("level", level)
-    return levels.select("source", "source_size", F.least(F.col("weight") * F.max("level").over(whole), (CEILING * F.col("source_size")).cast("double")).alias("target"))
+    weighed = written(numbered(sources, F.col("source").asc_nulls_last()).select("source", "source_size", (F.col("place") % 3 + 1).alias("weight")), "sources")
+    cap, level, capped = CEILING * F.col("source_size"), 0.0, -1
+    while True:
+        full = cap <= F.col("weight") * F.lit(level)
+        row = weighed.agg(F.sum("source_size"), F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if row[3] == capped:
+            break
+        capped, level = row[3], ((row[0] or 0) - (row[1] or 0)) / row[2] if row[2] else level
+    return weighed.select("source", "source_size", F.least(F.col("weight") * F.lit(level), cap.cast("double")).alias("target"))
 
 
 def offset(source):
@@ -47,31 +52,38 @@ def offset(source):
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with size, source_size, target, copies and taken; documents of 0 copies are kept too."""
+def _placed(docs: DataFrame, whole: bool) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every row, with ``row`` (all columns of ``docs``) if ``whole``."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    own = docs.select(*row, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
+    if not whole:
+        own = written(own, "sizes")  # so that texts are read once
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
-    own = docs.withColumn("_z", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_s", key).withColumn("_k", F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS), F.lit(-(1 << 62))))
-    blocks = own.groupBy("_s", "_z", "_k").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("_source"))
-    rows_before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = blocks.groupBy("_s", "_z").agg(F.sum("n").alias("n"), F.first("_source").alias("_source"))
-    shares = targets(sizes.select(F.col("_source").alias("source"), (F.col("_z") * F.col("n")).alias("size"))).withColumn("_s", key).drop("source")
-    sizes = sizes.withColumn("of_source", F.coalesce(F.sum("n").over(rows_before("_s", F.col("_z").desc())), F.lit(0)))
-    sizes = sizes.join(shares, "_s").select("_s", "_z", "of_source", "source_size", "target")
-    blocks = blocks.withColumn("of_size", F.coalesce(F.sum("n").over(rows_before("_s", "_z", "_k")), F.lit(0)))
-    before = blocks.join(sizes, ["_s", "_z"]).select("_s", "_z", "_k", (F.col("of_source") + F.col("of_size")).alias("_before"), "source_size", "target")
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    ranked = own.select(*keep, "_s", "_z", "_k").withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_z", "_k").orderBy(F.col("doc_id").asc_nulls_first())))
-    placed = ranked.join(before, ["_s", "_z", "_k"])
+    # Rows equal in all else differ in the last key, so they too are dealt to many tasks; which is which makes no difference.
+    own = own.withColumn("key", key).withColumn("dealt", F.monotonically_increasing_id())
+    order = [F.col("key"), F.col("size").desc(), F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("dealt")]
+    ordered = own.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie", "dealt").withColumn("at", F.monotonically_increasing_id())
+    ordered = written(ordered, "ordered").withColumn("part", F.shiftright("at", 33))
+    spans = written(ordered.groupBy("key", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words"), F.first("source").alias("source")), "spans")
+    shares = targets(spans.select("source", F.col("words").alias("size"))).withColumn("key", key).drop("source")
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("key", "part", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("shift")).join(shares, "key")
+    placed = ordered.join(sized(written(spans, "shifts")), ["key", "part"])
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
-    at = F.col("_before") + F.col("_rank")
-    copies = F.floor(at * rate + offset(F.col("source"))) - F.floor((at - 1) * rate + offset(F.col("source")))
-    return placed.select(*keep, F.col("_z").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("_z")).alias("taken"))
+    at = F.col("at") + F.col("shift")
+    copies = F.floor((at + 1) * rate + offset(F.col("source"))) - F.floor(at * rate + offset(F.col("source")))
+    return placed.select(*["row"] * whole, "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken of every row of ``docs`` (doc_id, text, source); 0 copies too."""
+    return _placed(docs, False)
 
 
 def emitted(docs: DataFrame) -> DataFrame:
-    """The mixed documents themselves, one row for each copy, with the columns of ``docs``."""
-    mixed = mix(docs).filter("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mixed documents themselves, one row for each copy, with the columns of ``docs`` as they are."""
+    chosen = _placed(docs, True).filter("copies > 0")
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 ORACLE_SQL = f"""

@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepforge.operators.order import discarded, numbered, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; set to a new local one only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, with its lineage cut."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "discarded", "keyed", "numbered", "shared_dir", "sized", "table", "texts_of", "without", "written"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,9 +37,24 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not among ``ids`` (doc_id); rows with a null doc_id stay."""
-    return docs.join(sized(written(ids.select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
+#: Where the keys of rows without a doc_id begin: after all doc_ids in use.
+UNNAMED = 1 << 62
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs``, a table read from Parquet, with a last column, under a free name, of each row's key: its doc_id, or a number
+    from ``UNNAMED`` on that no other row has. Such a table has the same parts whenever it is read, so keys agree."""
+    name = "key"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    return docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.lit(UNNAMED) + F.monotonically_increasing_id()))
+
+
+def without(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``rows`` (made by ``keyed``) whose key is not among ``found`` (doc_id), with their own columns alone."""
+    key = rows.columns[-1]
+    gone = sized(written(found.select(F.col("doc_id").alias(key)).distinct(), "dropped"))
+    return rows.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns[:-1]])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

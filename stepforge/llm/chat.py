@@ -4,52 +4,70 @@ For every participant of a dialogue (each distinct speaker but the system), the
 as the assistant and all others as named users; the mask marks the assistant's contents (and their end marks), which
 are the only trained characters of that rendering. A rendering is one string with the spans of its mask.
 
-Dialogues are cut into parts of ``PART_TURNS`` turn numbers, each rendered by itself for every participant of the whole
-dialogue, so no group is collected without a bound; ordinary dialogues are one part. All steps are DataFrame operations.
+A rendering that is longer than ``part_chars`` comes in several rows: its parts, of whole turns, make the rendering when
+they are joined in order, and each part's spans count from its own start. So no group is collected beyond that bound and
+one turn more, however long a dialogue is. Turns are put in order by a range partitioning of all rows and placed by
+prefix sums in two levels (runs of ``RUN`` rows, rows of a run), so a dialogue that holds a third of all turns is spread
+over many tasks. All steps are DataFrame operations.
 
 Defined results: turns sort by number (null first), then speaker and text; a null speaker is ``unknown``; a null text is
 empty; repeated rows are turns of their own; a null conversation is one conversation; a dialogue with only system turns
-has no participant and no rendering; ``<|`` in contents is written with a zero-width space between its two characters,
-so that contents never make marks.
+has no participant and no rendering; an empty table gives no rendering; other columns, whatever their names, are
+ignored. ``<|`` in contents and names, and ``|>`` and line feeds in names, are written apart (a zero-width space between
+the two characters, a space), so that neither ever makes a mark.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PART_TURNS = 1024
+from stepforge.llm.shared import written
+
+PART_CHARS = 1 << 20
+RUN = 1024
 SYSTEM = "system"
 HEAD_ASSISTANT = "<|assistant|>\n"
 HEAD_SYSTEM = "<|system|>\n"
 END = "<|end|>\n"
 
 
-def rotate(turns: DataFrame) -> DataFrame:
+def _apart(text: Column, mark: str) -> Column:
+    return F.replace(text, F.lit(mark), F.lit("​".join(mark)))
+
+
+def rotate(turns: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """conv_id, part, speaker, n_turns, rendered, mask (array of start, length in characters)."""
-    clean = turns.select(
-        "conv_id",
-        F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(0)).alias("part"),
-        "turn",
-        F.coalesce("role", F.lit("unknown")).alias("role"),
-        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<​|")).alias("text"),
-    )
+    role = F.coalesce("role", F.lit("unknown"))
+    clean = turns.select("conv_id", "turn", role.alias("role"), _apart(F.coalesce("text", F.lit("")), "<|").alias("text"))
+    name = F.replace(_apart(_apart(F.col("role"), "<|"), "|>"), F.lit("\n"), F.lit(" "))
     mine = F.lit(HEAD_ASSISTANT)
-    other = F.when(F.col("role") == SYSTEM, F.lit(HEAD_SYSTEM)).otherwise(F.concat(F.lit("<|user name="), F.col("role"), F.lit("|>\n")))
-    clean = clean.withColumn("size", F.length("text") + len(END))
+    other = F.when(F.col("role") == SYSTEM, F.lit(HEAD_SYSTEM)).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
+    clean = clean.withColumn("conv", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null"))).withColumn("other", other)
+    clean = clean.withColumn("size", (F.length("other") + F.length("text") + len(END)).cast("long"))
+    # Equal rows differ in the last key alone, so they too are dealt to many tasks; which is which makes no difference.
+    order = ["conv_id", "turn", "role", "text", "dealt"]
+    dealt = clean.withColumn("dealt", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("dealt")
+    placed = written(dealt.withColumn("at", F.monotonically_increasing_id()).withColumn("run", F.floor(F.col("at") / RUN)), "turns")
+
+    before = Window.partitionBy("conv").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy("conv", "run").agg(F.sum("size").alias("chars")).withColumn("before_run", F.coalesce(F.sum("chars").over(before), F.lit(0)))
+    runs = written(runs.select("conv", "run", "before_run"), "runs")
+    inside = Window.partitionBy("conv", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.join(runs, ["conv", "run"]).withColumn("before", F.col("before_run") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.withColumn("part", F.floor(F.col("before") / part_chars))
+
     #: A turn's contents begin, in its own speaker's rendering, after all turns before it, of which those of that speaker
     #: have the assistant's head. Both windows and the grouping use one partitioning.
-    placed = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
-    own = Window.partitionBy("conv_id", "part", "role").orderBy("turn", "text", "before")
-    clean = clean.withColumn("before", F.coalesce(F.sum(F.length(other) + F.col("size")).over(placed.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    start = F.col("before") + (F.row_number().over(own) - 1) * (F.length(mine) - F.length(other)) + F.length(mine)
-    clean = clean.withColumn("start", start.cast("int"))
-    turn = F.struct("turn", "role", "text", "start", "size", other.alias("other"))
-    parts = clean.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    speakers = turns.select(F.col("conv_id").alias("in_conv"), F.coalesce("role", F.lit("unknown")).alias("speaker")).filter(F.col("speaker") != SYSTEM).distinct()
-    rows = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("in_conv")))
+    of_part = Window.partitionBy("conv", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("conv", "part", "role").orderBy("at")
+    start = F.coalesce(F.sum("size").over(of_part), F.lit(0)) + (F.row_number().over(own) - 1) * (F.length(mine) - F.length("other")) + F.length(mine)
+    placed = placed.withColumn("start", start.cast("int")).withColumn("length", (F.length("text") + len(END)).cast("int"))
+    parts = placed.groupBy("conv", "part").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("at", "role", "text", "start", "length", "other"))).alias("turns"))
+    speakers = clean.select("conv", F.col("role").alias("speaker")).filter(F.col("speaker") != SYSTEM).distinct()
+    rows = written(parts, "parts").join(written(speakers, "speakers"), "conv")
     rendered = F.array_join(F.transform("turns", lambda x: F.concat(F.when(x.role == F.col("speaker"), mine).otherwise(x.other), x.text, F.lit(END))), "")
-    mask = F.transform(F.filter("turns", lambda x: x.role == F.col("speaker")), lambda x: F.struct(x.start.alias("start"), x["size"].alias("length")))
+    mask = F.transform(F.filter("turns", lambda x: x.role == F.col("speaker")), lambda x: F.struct(x.start.alias("start"), x["length"].alias("length")))
     return rows.select("conv_id", "part", "speaker", F.size("turns").alias("n_turns"), rendered.alias("rendered"), mask.alias("mask"))
 
 
@@ -69,17 +87,17 @@ def digests(rendered: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-WITH t AS (SELECT conv_id, CASE WHEN turn IS NULL THEN 0 ELSE floor(turn / {PART_TURNS}) END::BIGINT AS part, turn, coalesce(role, 'unknown') AS role,
-                  replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS text FROM conversations),
+h AS (SELECT *, CASE WHEN role = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || replace(replace(replace(role, '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>'), chr(10), ' ') || '|>' || chr(10) END AS other,
+             text || '<|end|>' || chr(10) AS body FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS at FROM h),
+b AS (SELECT *, coalesce(sum(length(other) + length(body)) OVER (PARTITION BY conv_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {PART_CHARS} AS part FROM o),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-r AS (SELECT t.conv_id, t.part, s.speaker, t.turn, t.role, t.text,
-             CASE WHEN t.role = s.speaker THEN '<|assistant|>' || chr(10) WHEN t.role = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || t.role || '|>' || chr(10) END AS head,
-             t.text || '<|end|>' || chr(10) AS body
-      FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-p AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM r)
+r AS (SELECT b.*, s.speaker, CASE WHEN b.role = s.speaker THEN '<|assistant|>' || chr(10) ELSE other END AS head FROM b JOIN s ON b.conv_id IS NOT DISTINCT FROM s.conv_id),
+p AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM r)
 SELECT conv_id, part, speaker, count(*) AS n_turns, sum(length(head) + length(body))::BIGINT AS n_chars,
        coalesce(sum(CASE WHEN role = speaker THEN length(body) END), 0)::BIGINT AS trained_chars,
-       coalesce(string_agg(CASE WHEN role = speaker THEN start::BIGINT::VARCHAR || ':' || length(body)::VARCHAR END, ',' ORDER BY turn NULLS FIRST, role, text), '') AS mask_spans,
-       sha256(string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text)) AS rendered_sha256
+       coalesce(string_agg(CASE WHEN role = speaker THEN start::BIGINT::VARCHAR || ':' || length(body)::VARCHAR END, ',' ORDER BY at), '') AS mask_spans,
+       sha256(string_agg(head || body, '' ORDER BY at)) AS rendered_sha256
 FROM p GROUP BY conv_id, part, speaker
 """

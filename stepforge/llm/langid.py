@@ -31,6 +31,9 @@ CELLS = 4_000_000
 ORDER = 3
 UNKNOWN = "und"
 PAD = 10
+#: Bytes of evidence that a score counts at most: the gap between languages, a byte, is taken so many times.
+EVIDENCE = 64
+PREDICTED = ["lang_pred", "score", "bits_per_byte"]
 
 
 def held_out():
@@ -148,31 +151,55 @@ def fit(docs: DataFrame) -> Model | None:
     return Model(langs, rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), rows["gram"].to_numpy(), rows["n"].to_numpy())
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """``docs`` with a last column that tells whether the text holds a letter, under a name that is free."""
+    name = "letters"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    return texts_of(docs).withColumn(name, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+
+
+def _judged(frozen: Model | None, batch: pa.RecordBatch, place: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """A chunk of the batch (without its last column, the letters) with lang_pred, score and bits_per_byte."""
+    letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
+    for a, b, data, offsets in textops.chunks(batch.column(place)):
+        size = np.diff(offsets)
+        if frozen is None:
+            best, prob, rate, names = np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a), np.array([UNKNOWN], dtype=object)
+        else:
+            bits = frozen.lengths(data, offsets)
+            best = bits.argmin(axis=1)
+            gap = (bits - bits.min(axis=1, keepdims=True)) / np.maximum(size, 1)[:, None] * np.minimum(size, EVIDENCE)[:, None]
+            prob = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
+            rate, names = bits.min(axis=1) / np.maximum(size, 1), np.array(frozen.langs, dtype=object)
+        ok = letters[a:b] & (frozen is not None)
+        part = batch.slice(a, b - a)
+        yield pa.RecordBatch.from_arrays(part.columns[:-1], names=batch.schema.names[:-1]), np.where(ok, names[best], UNKNOWN), np.where(ok, prob, 0.0), rate
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with lang_pred, score and bits_per_byte (of the predicted language); only the text is looked at."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
-    docs = texts_of(docs.select(*kept))
-    place = kept.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """``docs`` with lang_pred, score and bits_per_byte (of the predicted language); only the text is looked at.
+
+    Columns of ``docs`` that have these names already are replaced."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in PREDICTED])
+    place, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frozen = shared.value
         for batch in textops.released(batches):
-            letters = batch.column(len(kept)).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, data, offsets in textops.chunks(batch.column(place)):
-                size = np.diff(offsets)
-                if frozen is None:
-                    best, prob, rate, names = np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a), np.array([UNKNOWN], dtype=object)
-                else:
-                    bits = frozen.lengths(data, offsets)
-                    best = bits.argmin(axis=1)
-                    gap = (bits - bits.min(axis=1, keepdims=True)) / np.maximum(size, 1)[:, None] * np.minimum(size, 64)[:, None]
-                    prob = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
-                    rate, names = bits.min(axis=1) / np.maximum(size, 1), np.array(frozen.langs, dtype=object)
-                ok = letters[a:b] & (frozen is not None)
-                pred = np.where(ok, names[best], UNKNOWN)
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred, pa.string()), pa.array(np.where(ok, prob, 0.0)), pa.array(rate)], [*kept, "lang_pred", "score", "bits_per_byte"])
+            for part, pred, prob, rate in _judged(shared.value, batch, place):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(prob), pa.array(rate)], [*part.schema.names, *PREDICTED])
 
     schema = docs.schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
-    return docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(score, schema)
+    return _marked(docs).mapInArrow(score, schema)
+
+
+def recognised(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is known with a score of ``least`` or more."""
+    place, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textops.released(batches):
+            for part, pred, prob, _ in _judged(shared.value, batch, place):
+                yield part.filter(pa.array((pred != UNKNOWN) & (prob >= least)))
+
+    return _marked(docs).mapInArrow(keep, docs.schema)

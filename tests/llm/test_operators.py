@@ -45,7 +45,7 @@ def fold(t):
 
 
 def test_exact_groups(spark, docs, texts):
-    got = dedup_exact.exact_groups(docs, block_chars=16).toPandas()
+    got = dedup_exact.exact_groups(docs, block_chars=200).toPandas()
     assert len(got) == len(texts) + 1
     groups = {}
     for r in docs.collect():
@@ -60,6 +60,20 @@ def test_exact_groups(spark, docs, texts):
     assert dedup_exact.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_names_do_not_depend_on_partitions_and_hash_collisions_are_told_apart(spark, docs, monkeypatch):
+    blocks = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("block")).filter("doc_id is not null")
+    want = {r.doc_id: r.block for r in blocks.collect()}
+    names = []
+    for parts in (1, 3, 11):
+        names.append({r.doc_id: r.name for r in dedup_exact._block_names(blocks.repartition(parts, "doc_id")).collect()})
+    assert names[0] == names[1] == names[2] and set(names[0].values()) == set(range(len(set(want.values()))))
+    groups = dedup_exact.exact_groups(docs, block_chars=200).groupBy("keep_id", "group_size").count().collect()
+    monkeypatch.setattr(dedup_exact, "_hashed", lambda *values: F.pmod(F.xxhash64(*values), F.lit(3)))
+    again = {r.doc_id: r.name for r in dedup_exact._block_names(blocks).collect()}
+    assert len(set(zip(again.values(), want.values()))) == len(set(want.values())) == len(set(again.values()))
+    assert sorted(map(str, dedup_exact.exact_groups(docs, block_chars=200).groupBy("keep_id", "group_size").count().collect())) == sorted(map(str, groups))
+
+
 def shingles(t, k):
     w = WORD.findall(fold(t))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)]) if w else frozenset()
@@ -87,7 +101,7 @@ def test_near_groups(docs, k, percent):
 
 
 def test_mix(spark, docs):
-    got = mixing.mix(docs.drop("size")).toPandas()
+    got = mixing.mix(docs).toPandas()
     assert got.taken.sum() == (got.copies * got["size"]).sum() and (got.taken <= 3 * got["size"]).all()
     for _, g in got.groupby("source", dropna=False):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max()
@@ -150,10 +164,37 @@ def test_elias_fano():
     for n, top in ((1, 0), (5, 3), (1000, 10**6), (700, 700)):
         values = np.sort(rng.integers(0, top + 1, n))
         code = tokens.EliasFano.encode(values, top)
-        assert (code.values() == values).all() and all(code.select(i) == values[i] for i in range(0, n, 7))
+        code, end = tokens.EliasFano.read(b"xyz" + bytes(code), 3, n, top)
+        wanted = rng.permutation(n)[: n // 2 + 1]
+        assert end == 3 + len(bytes(code)) and (code.select(np.arange(n)) == values).all() and (code.select(wanted) == values[wanted]).all()
         assert len(code.low) + len(code.high) <= n * (2 + max(0, np.log2(max(1, top / n)))) / 8 + 4
 
 
+def test_shard_offsets_come_from_select():
+    sizes, ids = np.array([1, 3, 1, 700, 2]), np.arange(707)
+    for names, nulls in (([0, 0, -(1 << 62), 5, 1 << 62], 2), ([0, 0, 0, 0, 0], 5), ([-(1 << 63), -5, -5, 0, (1 << 63) - 1], 0)):
+        shard = tokens.Shard(tokens.pack(ids, np.cumsum(sizes), np.array(names), nulls, 2))
+        starts, ends = shard.bounds(np.array([4, 0, 3]))
+        assert starts.tolist() == [705, 0, 5] and ends.tolist() == [707, 1, 705] and (shard.ids == ids).all()
+        assert shard.doc_ids(np.arange(5)).to_pylist() == [None] * nulls + names[nulls:]
+
+
+def test_long_texts_are_encoded_whole(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    texts = [words(rng, 4000), "", "x" * 3000, "é " * 900, words(rng, 10)]
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    monkeypatch.setattr(tokens, "CHUNK", 256)
+    monkeypatch.setattr(tokens, "PIECES", 100)
+    encoder = tokens.Encoder(tokenizer_path())
+    ids, sizes = encoder.encode(np.frombuffer(data, np.uint8), offsets, 2)
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(4)
     items = [words(rng, n) for n in (8, 20, 30, 30, 5, 4, 3)] + [None, ""]
@@ -200,16 +241,41 @@ def test_quality(spark, docs):
     assert np.allclose(rates[1], (0.95, 0.9, 0.85, 0.8), atol=0.06) and np.allclose(1 - rates[0], (0.95, 0.9, 0.85, 0.8), atol=0.1)
 
 
-def test_chat(spark):
-    schema = "conv_id long, turn long, role string, text string, mask string"
-    rows = [(1, 0, "system", "be kind", "m"), (1, 1, "ann", "hi <|x|>", "m"), (1, 2, "bob", None, "m"), (1, 3, None, "who", "m"), (1, 3, "ann", "é", "m"), (2, 0, "system", "alone", "m"), (None, None, "cy", "t", "m"), (1, 2000, "ann", "late", "m"), (1, 1, "ann", "hi <|x|>", "m")]
-    got = chat.rotate(spark.createDataFrame(rows, schema)).collect()
-    assert {(r.conv_id, r.part, r.speaker) for r in got} == {(1, p, s) for p in (0, 1) for s in ("ann", "bob", "unknown")} | {(None, 0, "cy")}
-    for r in got:
-        marked = [r.rendered[m.start : m.start + m.length] for m in r["mask"]]
-        assert all(x.endswith("<|end|>\n") for x in marked) and r.rendered.count("<|assistant|>\n") == len(marked)
-        if r.part == 0 and r.speaker == "ann":
-            assert [x[:-8] for x in marked] == ["hi <​|x|>", "hi <​|x|>", "é"] and "<|user name=bob|>\n<|end|>" in r.rendered
+def chat_by_hand(rows, part_chars=None):
+    """(conv, speaker) -> rendering and the contents marked, in order."""
+    zwsp, out = "\u200b", {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted(((t if t is not None else -1, r or "unknown", x or "") for c, t, r, x, *_ in rows if c == conv))
+        for speaker in {r for _, r, _ in turns} - {"system"}:
+            text, marked = "", []
+            for _, role, words_ in turns:
+                name = role.replace("<|", f"<{zwsp}|").replace("|>", f"|{zwsp}>").replace("\n", " ")
+                body = words_.replace("<|", f"<{zwsp}|") + "<|end|>\n"
+                text += ("<|assistant|>\n" if role == speaker else "<|system|>\n" if role == "system" else f"<|user name={name}|>\n") + body
+                marked += [body] * (role == speaker)
+            out[conv, speaker] = text, marked
+    return out
+
+
+@pytest.mark.parametrize("part_chars", [chat.PART_CHARS, 60, 1000])
+def test_chat(spark, monkeypatch, part_chars):
+    monkeypatch.setattr(chat, "RUN", 16)
+    schema = "conv_id long, turn long, role string, text string, mask string, part long, at long, size string, other string, conv string"
+    rest = ("m", 7, 8, "s", "o", "c")
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|x|>"), (1, 2, "bob", None), (1, 3, None, "who"), (1, 3, "ann", "é"), (2, 0, "system", "alone"), (None, None, "cy", "t"), (1, 2000, "ann", "late"), (1, 1, "ann", "hi <|x|>")]
+    rows += [(3, None, f"r{i % 3}", f"null turn {i % 50}") for i in range(5000)] + [(4, i, "a|>\n<|assistant|>\nevil" if i % 2 else "bo", "x" * i) for i in range(40)]
+    rows += [(5, i, ("user", "assistant", "guest")[i % 3], "x" * (i % 7)) for i in range(300)]
+    got = chat.rotate(spark.createDataFrame([r + rest for r in rows], schema).repartition(3), part_chars).collect()
+    want = chat_by_hand(rows)
+    whole = {}
+    for r in sorted(got, key=lambda r: r["part"]):
+        marked = [r["rendered"][m["start"] : m["start"] + m["length"]] for m in r["mask"]]
+        assert all(r["rendered"][: m["start"]].endswith("<|assistant|>\n") for m in r["mask"]) and r["rendered"].count("<|assistant|>\n") == len(marked)
+        text, before = whole.get((r["conv_id"], r["speaker"]), ("", []))
+        whole[r["conv_id"], r["speaker"]] = text + r["rendered"], before + marked
+        assert len(r["rendered"]) <= part_chars + 200
+    assert whole == want
+    assert len(got) == len(want) if part_chars == chat.PART_CHARS else len(got) > len(want)
     assert chat.digests(chat.rotate(spark.createDataFrame([], schema))).count() == 0
 
 
@@ -229,16 +295,58 @@ def test_warc(spark):
         head, _, rest = r.record.partition("\r\n\r\n")
         size = int(re.search(r"Content-Length: (\d+)", head)[1])
         assert rest.encode()[:size].decode() == r.block and rest.encode()[size:] == b"\r\n\r\n"
+        assert "WARC-Payload-Digest: " + r.payload_digest in head
     assert warc.derive(warc.responses(spark.createDataFrame([], schema))).count() == 0
 
 
-def test_chat_spans_of_long_and_tied_dialogues(spark):
-    schema = "conv_id long, turn long, role string, text string"
-    rows = [(1, i, ("user", "assistant", "guest")[i % 3], "x" * (i % 7)) for i in range(300)]
-    rows += [(None, 0, "user", "same")] * 3 + [(None, 0, "guest", None), (None, None, None, "first")]
-    got = chat.rotate(spark.createDataFrame(rows, schema)).collect()
-    assert sorted((r["conv_id"] or 0, r["speaker"], r["n_turns"]) for r in got) == [(0, "guest", 5), (0, "unknown", 5), (0, "user", 5), (1, "assistant", 300), (1, "guest", 300), (1, "user", 300)]
-    for r in got:
-        own = sorted((x[1] if x[1] is not None else -1, x[3] or "") for x in rows if x[0] == r["conv_id"] and (x[2] or "unknown") == r["speaker"])
-        assert [r["rendered"][m["start"] : m["start"] + m["length"]] for m in r["mask"]] == [text + "<|end|>\n" for _, text in own]
-        assert all(r["rendered"][: m["start"]].endswith("<|assistant|>\n") for m in r["mask"])
+def test_warc_of_awkward_pages(spark, tmp_path):
+    schema = "page_id long, url string, html string, text string, size string, refers_to string"
+    pages = [
+        (1, "http://a/\r\nInjected: yes", '<p>a</p><script>var a="</style>"; secret()</script><STYLE>no</STYLE >b'),
+        (2, "u", "one"), (2, "u", "two"), (2, "u", "two"),
+        (3, "open", "x <!-- never <b>shown</b> <script>left <p>open"),
+        (4, "long", "<!-- <script> < " * 20000 + "<p>end</p>" + "word " * 100000),
+        (5, "tags", "<br-foo>no break<br/>break<title>first</title><title>second</title>&#38;lt; &amp;lt; &bogus; &#x;"),
+        (6, "fold", "a\r\n\r\nWARC/1.1\r\nb"),
+    ]
+    made = warc.derive(warc.responses(spark.createDataFrame([p + ("t", "s", "r") for p in pages], schema)))
+    got = {(r.page_id, r.block) for r in made.filter("record_type = 'conversion'").collect()}
+    assert (1, "a\nb") in got and {(2, "one"), (2, "two")} <= got
+    assert (3, "x shown left\nopen") in got
+    assert next(b for i, b in got if i == 4).endswith("end\n" + "word " * 99999 + "word")
+    assert (5, "no break\nbreak\nfirst\nsecond\n&lt; &lt; &bogus; &#x;") in got
+    assert made.filter("page_id = 2").select("record_id").distinct().count() == 4
+    assert all("\r\nInjected" not in r.record.split("\r\n\r\n")[0] for r in made.collect())
+    warc.write_records(made, str(tmp_path / "out"))
+    kinds = "".join(p.read_bytes().decode() for p in (tmp_path / "out").glob("part-*"))
+    assert kinds.count("WARC-Type: conversion\r\n") == len(pages) and kinds.endswith("\r\n\r\n")
+
+
+def test_warc_files_are_read_back(spark, tmp_path):
+    def record(kind, uri, block, more=""):
+        return f"WARC/1.0\r\nContent-Type: application/http\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{uri}>\r\nWARC-Date: d\r\nWARC-Target-URI: {uri}\r\nContent-Length: {len(block.encode()) + len(more)}\r\n\r\n{block}\r\n\r\n"
+
+    http = "HTTP/1.1 200 OK\r\nServer: s"
+    blocks = [("response", "a", f"{http}\r\n\r\n<p>one</p>\r\n\r\nmore"), ("request", "a", "GET /\r\n\r\n"), ("response", "b", f"{http}\r\n\r\nné WARC/1.0"), ("response", "c", f"{http}\r\n\r\n")]
+    (tmp_path / "x.warc").write_bytes("".join(record(*b) for b in blocks).encode() + record("response", "d", f"{http}\r\n\r\ncut", "?????").encode())
+    got = {r.target_uri: r for r in warc.read_responses(spark, str(tmp_path / "x.warc")).collect()}
+    assert {u: (r.payload, r.whole) for u, r in got.items() if u != "d"} == {"a": ("<p>one</p>\r\n\r\nmore", True), "b": ("né WARC/1.0", True), "c": ("", True)}
+    assert not got["d"].whole and all(r.http_headers == http for r in got.values())
+    meta = warc.derive(warc.read_responses(spark, str(tmp_path / "x.warc"))).filter("target_uri = 'a' and record_type = 'metadata'").first()
+    assert meta.refers_to == "<urn:a>" and "source-http: Server: s\r\n" in meta.block
+
+
+def test_warc_text_equals_plain_steps():
+    """The walk over the markup against regular expressions, a step after the other."""
+    rng = random.Random(9)
+    bits = ["<p>", "</p>", "<b class='x'>", "<br/>", "a", " b ", "\n", "\t", "<!-- c -->", "<script>s</script>", "<style>", "</style>", "&amp;", "&#233;", "< ", ">", "<li>", "<?x?>", "<!doctype html>", "é"]
+    blocks = "|".join(sorted(warc.BLOCKS))
+    for _ in range(3000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randrange(30)))
+        text = re.sub("[\t\r\n\f]", " ", html)
+        text = re.sub(r"(?is)<!--.*?-->|<(script|style|noscript|template)(?=[\s/>])[^>]*>.*?</\1\s*>", " ", text)
+        text = re.sub(rf"(?i)</?({blocks})(?=[\s/>])[^>]*>", "\n", text)
+        text = re.sub(r"</?[A-Za-z][^>]*>|<[!?][^>]*>", "", text).replace("&#233;", "é").replace("&amp;", "&")
+        text = re.sub(" ?\n[ \n]*", "\n", re.sub(" {2,}", " ", text)).strip(" \n")
+        if "<!--" not in text and not re.search("<(script|style)", html.replace("<script>s</script>", "")):
+            assert warc.visible(html)[0] == text

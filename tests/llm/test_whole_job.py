@@ -66,6 +66,26 @@ def test_near_groups_finds_links_inside_a_crowd(spark, monkeypatch, kind, k, per
     assert got == dict(enumerate(want.tolist()))
 
 
+@pytest.mark.parametrize("cell_texts", [1024, 40])
+def test_near_groups_joins_a_crowd_that_only_a_few_texts_link(spark, monkeypatch, cell_texts):
+    """Texts below the threshold of each other, each linked to the three with fewer changes alone."""
+    monkeypatch.setattr(dedup_near, "COMMON", 64)
+    monkeypatch.setattr(dedup_near, "CELL_TEXTS", cell_texts)
+    rng = random.Random(5)
+    texts = []
+    for kind, changes in [("e", 10)] * 200 + [("h", 6)] * 3:
+        words = [f"b{i}" for i in range(600)]
+        for i in rng.sample(range(600), changes):
+            words[i] = f"{kind}{len(texts)}x{i}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    want = linked_groups(texts, 3, 85)
+    assert len(set(want.tolist())) < 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in dedup_near.near_groups(docs, 3, 85).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_quality_fit_sample_is_bounded_for_null_ids(spark, monkeypatch):
     rows = [(None if i % 3 == 0 else i, f"text number {i} has a few words of its own") for i in range(3000)]
     rows += [(None, "one text again and again")] * 1500

@@ -2,15 +2,19 @@
 
 For each learned language a variable-order tree of byte contexts (orders 0 to 3) holds counts of the next byte, and
 escape method C gives the probability of falling to the next shorter context, with the symbols already seen excluded.
-The statistics are frozen after the fit, so that the code length of a byte depends on its longest known context alone;
-all nodes' code lengths are then one table, and a text is scored by exact sums of table entries over all its bytes.
+The statistics are frozen after the fit, so that the code length of a byte depends on its longest known context alone,
+and a text is scored by exact sums over all its bytes. Each language keeps its own tables of what its contexts have seen
+(``Tree``), so its model and its orders are the same however many languages there are.
 
-The fit uses a sample of labelled rows bounded by ``FIT_DOCS`` texts a language (expected, chosen by a hash of doc_id),
-``LANGUAGES`` languages and ``CELLS`` table entries, so the model that is broadcast has a fixed bound. Bytes are read
-after lower-casing A-Z.
+The fit uses a sample of labelled rows bounded by ``FIT_DOCS`` texts a language (expected, chosen by a hash of doc_id), the
+``LANGUAGES`` languages with the most rows and the ``GRAMS`` most frequent 4-byte sequences of each, so the model that is
+broadcast has a fixed bound: under 2 MB a language. Bytes are read after lower-casing A-Z. The score is the weight of the
+best language when each byte's gap between languages counts for at most ``EVIDENCE`` bytes of text.
 
 Defined results: a null text and a text without a letter give ``und`` with score 0; so do all texts when nothing could
-be learned; a null doc_id is never learned from and counts as not held out; repeated rows are scored alike.
+be learned; a null doc_id is never learned from and counts as not held out; repeated rows are scored alike; a long text is
+scored whole; an empty table gives an empty one. ``identify`` adds its three columns in place of columns of those names;
+``recognised`` gives rows back as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.llm import textops
@@ -27,7 +31,7 @@ from stepforge.llm.shared import texts_of
 
 FIT_DOCS = 800
 LANGUAGES = 200
-CELLS = 4_000_000
+GRAMS = 1 << 16
 ORDER = 3
 UNKNOWN = "und"
 PAD = 10
@@ -49,6 +53,14 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at
 
 
+def _grams(x: np.ndarray) -> np.ndarray:
+    """Each byte with the ORDER bytes before it, as one number."""
+    out = np.zeros(max(0, len(x) - ORDER), dtype=np.int64)
+    for i in range(ORDER + 1):
+        out = out << 8 | x[i : len(out) + i]
+    return out
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in textops.released(batches):
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
@@ -58,81 +70,74 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 grams = []
                 for i in mine:
                     x, _ = _codes(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
-                    x = x.astype(np.uint32)
-                    grams.append(x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:])
+                    grams.append(_grams(x))
                 keys, counts = np.unique(np.concatenate(grams), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
 
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    unique, where = np.unique(keys, return_inverse=True)
+    return unique, np.bincount(where, counts, minlength=len(unique))
+
+
+def _held(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted number stands in a sorted table, and whether it does."""
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at, table[at] == wanted
+
+
+class Tree:
+    """The byte contexts of one language, as sorted tables of each order: code lengths in bits of the (context, byte) pairs
+    seen, and of the escape of each context known. A pair's number is its bytes, the oldest first."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        pairs, n = _sums(grams & 0xFF, counts)
+        p = np.full(256, len(n) / (n.sum() + len(n)) / max(1, 256 - len(n)))
+        p[pairs] = n / (n.sum() + len(n) * (len(n) < 256))
+        self.root, self.orders = -np.log2(p), []
+        for order in range(1, ORDER + 1):
+            pairs, n = _sums(grams & (1 << 8 * (order + 1)) - 1, counts)
+            contexts, first = np.unique(pairs >> 8, return_index=True)
+            total, distinct = np.add.reduceat(n, first), np.diff(np.append(first, len(pairs)))
+            #: Method C: distinct / (total + distinct) escapes, to the bytes that the context has not seen.
+            unseen = 1 - np.add.reduceat(np.exp2(-self.bits(pairs)), first)
+            escape = np.where(unseen > 1e-9, distinct, 0)
+            bits = np.log2(np.repeat(total + escape, distinct)) - np.log2(n)
+            leave = np.log2(total + escape) - np.log2(np.maximum(escape, 1e-300)) + np.log2(np.maximum(unseen, 1e-300))
+            self.orders.append((pairs.astype(np.uint32), bits.astype(np.float32), contexts.astype(np.uint32), leave.astype(np.float32)))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each gram after the bytes before it."""
+        out, left = np.zeros(len(grams)), np.arange(len(grams))
+        for order in range(len(self.orders), 0, -1):
+            pairs, bits, contexts, leave = self.orders[order - 1]
+            own = (grams[left] & (1 << 8 * (order + 1)) - 1).astype(np.uint32)
+            at, seen = _held(pairs, own)
+            out[left[seen]] += bits[at[seen]]
+            left, own = left[~seen], own[~seen]
+            at, known = _held(contexts, own >> np.uint32(8))
+            out[left[known]] += leave[at[known]]
+        out[left] += self.root[grams[left] & 0xFF]
+        return out
+
+
 class Model:
-    """Code lengths in bits: ``bits[language, node * symbols + symbol]``, with the tables that lead to a node."""
+    """A tree of each language; what one holds does not depend on how many there are."""
 
     def __init__(self, langs: list[str], lang: np.ndarray, grams: np.ndarray, counts: np.ndarray):
         self.langs = langs
-        a, b, c, d = (grams >> 24 & 255, grams >> 16 & 255, grams >> 8 & 255, grams & 255)
-        seen = np.unique(np.concatenate([a, b, c, d]))
-        self.symbol = np.zeros(256, dtype=np.int64)
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        s = self.symbols = len(seen) + 1
-        a, b, c, d = (self.symbol[x] for x in (a, b, c, d))
-        room = max(0, CELLS // (s * max(1, len(langs))) - s - 1)
-        two, of_two = np.unique(b * s + c, return_inverse=True)
-        weight = np.bincount(of_two, counts)
-        two = np.sort(two[np.argsort(-weight, kind="stable")[: room // 3]])
-        three, of_three = np.unique((a * s + b) * s + c, return_inverse=True)
-        weight = np.bincount(of_three, counts)
-        three = three[np.argsort(-weight, kind="stable")[: room - len(two)]]
-        three = np.sort(three[np.isin(three // s, two) & np.isin(three % (s * s), two)])
-        #: Nodes: 0 to s-1 for contexts of one symbol, then those of two, then those of three.
-        n2, n3 = s + len(two), s + len(two) + len(three)
-        self.two = np.tile(np.arange(s), s)
-        self.two[two] = np.arange(s, n2)
-        last_two = np.concatenate([np.arange(s) + 0, two % s])
-        self.three = np.empty((n2, s), dtype=np.int32)
-        self.three[:s] = self.two.reshape(s, s)
-        self.three[s:] = self.two.reshape(s, s)[last_two[s:]]
-        self.three[np.searchsorted(two, three // s) + s, three % s] = np.arange(n2, n3)
-        self.three = self.three.reshape(-1)
-        self.two = self.two.astype(np.int32)
-        self.bits = np.empty((len(langs), n3 * s), dtype=np.float32)
-        for i in range(len(langs)):
-            own = lang == i
-            x, y, z, w, n = a[own], b[own], c[own], d[own], counts[own].astype(float)
-            root = self._refine(np.bincount(w, n, minlength=s)[None], np.full((1, s), 1 / s))
-            one = self._refine(np.bincount(z * s + w, n, minlength=s * s).reshape(s, s), np.repeat(root, s, axis=0))
-            at = np.searchsorted(two, y * s + z)
-            ok = (at < len(two)) & (two[np.minimum(at, max(0, len(two) - 1))] == y * s + z) if len(two) else np.zeros(len(y), bool)
-            pair = self._refine(np.bincount(at[ok] * s + w[ok], n[ok], minlength=len(two) * s).reshape(-1, s), one[two % s])
-            key = (x * s + y) * s + z
-            at = np.searchsorted(three, key)
-            ok = (at < len(three)) & (three[np.minimum(at, max(0, len(three) - 1))] == key) if len(three) else np.zeros(len(y), bool)
-            triple = self._refine(np.bincount(at[ok] * s + w[ok], n[ok], minlength=len(three) * s).reshape(-1, s), pair[np.searchsorted(two, three % (s * s))] if len(three) else np.zeros((0, s)))
-            self.bits[i] = -np.log2(np.concatenate([one, pair, triple])).reshape(-1)
-
-    @staticmethod
-    def _refine(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Method C: distinct / (total + distinct) escapes, to the shorter context's unseen symbols."""
-        total, distinct = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-        unseen = np.where(counts > 0, 0.0, shorter)
-        left = unseen.sum(axis=1, keepdims=True)
-        escape = np.where(left > 0, distinct, 0)
-        lower = np.divide(unseen, left, out=np.zeros_like(unseen), where=left > 0)
-        return np.where(total > 0, (counts + escape * lower) / np.maximum(total + escape, 1), shorter)
+        self.trees = [Tree(grams[lang == i], counts[lang == i].astype(float)) for i in range(len(langs))]
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits of each text under each language."""
-        s = self.symbols
+        """Bits of each text under each language, from the code lengths of the chunk's distinct grams."""
         x, at = _codes(data, offsets)
-        x = self.symbol[x].astype(np.int32)
-        if len(x) <= ORDER:
-            return np.zeros((len(offsets) - 1, len(self.langs)))
-        node = self.two[x[:-2] * s + x[1:-1]]
-        node = self.three[node[:-1] * s + x[2:-1]]
-        cell = node * s + x[3:]
-        out = np.empty((len(at), len(self.langs)))
+        out = np.zeros((len(at), len(self.langs)))
+        if not len(data):
+            return out
+        grams, place = np.unique(_grams(x), return_inverse=True)
         first, last = at - ORDER, at - ORDER + np.diff(offsets)
-        for i in range(len(self.langs)):
-            sums = np.concatenate([[0.0], np.cumsum(self.bits[i][cell], dtype=np.float64)])
+        for i, tree in enumerate(self.trees):
+            sums = np.concatenate([[0.0], np.cumsum(tree.bits(grams)[place])])
             out[:, i] = sums[last] - sums[first]
         return out
 
@@ -143,12 +148,14 @@ def fit(docs: DataFrame) -> Model | None:
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     share = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("n") < F.lit(FIT_DOCS * (1 << 30)))
     sample = known.join(F.broadcast(counts), "lang").filter(share).select("lang", "text")
-    rows = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    grams = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    rows = grams.withColumn("rank", F.row_number().over(most)).filter(F.col("rank") <= GRAMS).drop("rank").toPandas()
     if not len(rows):
         return None
     rows = rows.sort_values(["lang", "gram"])
     langs = sorted(rows["lang"].unique())
-    return Model(langs, rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), rows["gram"].to_numpy(), rows["n"].to_numpy())
+    return Model(langs, rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), rows["gram"].to_numpy(dtype=np.int64), rows["n"].to_numpy())
 
 
 def _marked(docs: DataFrame) -> DataFrame:

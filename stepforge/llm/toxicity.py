@@ -1,13 +1,14 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios (NB-SVM).
 
-Features are the distinct byte n-grams (lengths ``GRAMS``) of a whole lower-cased text, hashed to ``BUCKETS``. Each
+Features are the distinct character n-grams (lengths ``GRAMS``) of a whole text with A-Z lower-cased, hashed to ``BUCKETS``. Each
 feature's value is its log-count ratio between the classes, and a logistic loss with L2 weights them. The ratios, the
 ``FEATURES`` buckets that tell the classes apart best (by chi-square) and the weights come from at most about
 ``FIT_ROWS`` labelled rows, chosen by a hash of doc_id; the model therefore has a fixed size.
 
 Defined results: a null or empty text gets the score of a text without features; without rows of both classes all
 scores are 0; labels that are null or whose doc_id is null are not learned from; of several labels of a document the
-largest holds; a null doc_id counts as not held out.
+largest holds; a null doc_id counts as not held out; repeated rows are scored alike; a long text is scored whole; an empty
+table gives an empty one; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from stepforge.llm import textops
 from stepforge.llm.shared import texts_of
 
 GRAMS = (4, 5, 6)
-BUCKETS = 1 << 20
+BUCKET_BITS = 20
+BUCKETS = 1 << BUCKET_BITS
 FEATURES = 2048
 FIT_ROWS = 12_000
 THRESHOLD = 0.7
@@ -34,30 +36,23 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _buckets(data: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of each n-gram of bytes, by its first place."""
-    x = data.astype(np.uint64)
-    out = x[: len(x) - n + 1].copy()
-    for i in range(1, n):
-        out |= x[i : len(x) - n + 1 + i] << np.uint64(8 * i)
-    out |= np.uint64(n << 56)
-    return (out * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 20)).astype(np.int64)
-
-
 def _present(data: np.ndarray, offsets: np.ndarray, index: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) pairs of a chunk, sorted; features are buckets, or the places in ``index``."""
-    data, n, found = textops.LOWER[data], len(offsets) - 1, []
+    data, found = textops.LOWER[data], []
+    #: First bytes of characters, and one place more for the end.
+    heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     for k in GRAMS:
-        if len(data) < k:
+        if len(heads) <= k:
             continue
-        buckets = _buckets(data, k)
+        begin, end = heads[:-k], heads[k:]
+        buckets = (textops.span_hashes(data, begin, end) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
         if index is not None:
             buckets = index[buckets]
             at = np.flatnonzero(buckets >= 0)
         else:
             at = np.arange(len(buckets))
-        text = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + k <= offsets[text + 1]
+        text = np.searchsorted(offsets, begin[at], side="right") - 1
+        inside = end[at] <= offsets[text + 1]
         found.append(text[inside] * BUCKETS + buckets[at[inside]])
     pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs // BUCKETS, pairs % BUCKETS

@@ -9,12 +9,17 @@ Windows are laid only where they can reach the similarity: a window that holds f
 item's shingles cannot, and this count follows from the positions of the item's shingles in the document alone. What is
 skipped this way is lossless, and the work follows the number of such positions, not documents times items.
 
+The multi-index finds every item within the radius, without a miss; a window that is as similar as asked but has a
+fingerprint farther off would be dropped. ``RADIUS`` is set so wide that this does not happen: of windows at the threshold,
+fingerprints differ in about 13 of 64 bits (tests count them, and compare all windows by brute force).
+
 The items are a stated query set: they are read in blocks of at most ``ITEM_WORDS`` words (one scan of the documents a
 block), so what is sent to the tasks has a fixed bound.
 
 Defined results: null or empty texts and items match nothing; an item of fewer than five words is one shingle and
 matches where its words stand in a row; a document shorter than an item is one window; null ids stay null; repeated
-rows are matched alike; other columns are ignored.
+rows are matched alike; a long text is searched whole; an empty table on either side gives an empty result; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -3,11 +3,12 @@
 Overlapping heuristics vote good (1), bad (0) or abstain (-1) on every text. Expectation-maximisation over the counts of
 vote patterns estimates each heuristic's accuracy for good and bad texts and the share of good ones, without any true
 label; the posterior of a pattern is the weak label of its texts. A linear scorer over hashed n-grams of character
-classes is then trained on the posteriors of a sample of about ``FIT_ROWS`` texts (chosen by a hash of doc_id), and
-scores every whole text. At most ``3 ** heuristics`` patterns reach the driver, whatever the input.
+classes is then trained on the posteriors of a sample of about ``FIT_ROWS`` texts (chosen by a hash of doc_id and text, each
+such row once), and scores every whole text. At most ``3 ** heuristics`` patterns reach the driver, whatever the input.
 
 Defined results: a null text counts as empty; texts without words get the pattern's posterior and the scorer's bias;
-an empty table gives an empty result; repeated rows are scored alike; a null doc_id keeps its row.
+an empty table gives an empty result; repeated rows are scored alike; a null doc_id keeps its row; a long text is judged
+whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -126,8 +126,63 @@ def test_language(spark, docs):
             assert odd[r.doc_id].lang_pred == "und"
     assert langid.fit(known.limit(0)) is None
     assert {r.lang_pred for r in langid.identify(known.limit(3), None).collect()} == {"und"}
-    total = 2.0 ** -model.bits.reshape(len(model.langs), -1, model.symbols).astype(float)
-    assert np.allclose(total.sum(axis=2), 1, atol=1e-3)
+    for tree in model.trees:
+        for context in (0x0A0A0A, 0x626361, 0x7A7A7A, 0xC3A920, 0x20616A):
+            assert np.exp2(-tree.bits((context << 8) + np.arange(256))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_language_code_lengths_equal_a_plain_count():
+    """Prediction by partial matching with dictionaries, a byte at a time."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcé ") for _ in range(rng.randrange(1, 60))) for _ in range(12)]
+    padded = [b"\n\n\n" + t.encode() for t in texts]
+    seen = {}
+    for t in padded:
+        for i in range(3, len(t)):
+            for k in range(4):
+                table = seen.setdefault(t[i - k : i], {})
+                table[t[i]] = table.get(t[i], 0) + 1
+
+    def p(context, byte):
+        table = seen.get(context)
+        if table is None:
+            return p(context[1:], byte)
+        total, distinct = sum(table.values()), len(table)
+        shorter = (lambda b: 1 / 256) if not context else (lambda b: p(context[1:], b))
+        unseen = 1 - sum(shorter(b) for b in table)
+        if byte in table:
+            return table[byte] / (total + distinct)
+        return distinct / (total + distinct) * shorter(byte) / unseen
+
+    grams, counts = np.unique(np.concatenate([langid._grams(np.frombuffer(t, np.uint8)) for t in padded]), return_counts=True)
+    model = langid.Model(["x"], np.zeros(len(grams), int), grams, counts)
+    asked = [*texts[:4], "abc zz", "", "é\n\xff", "cab " * 50]
+    data = "".join(asked).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in asked])])
+    got = model.lengths(np.frombuffer(data, np.uint8), offsets)[:, 0]
+    for t, bits in zip(asked, got):
+        t = b"\n\n\n" + t.encode()
+        assert bits == pytest.approx(-sum(np.log2(p(t[i - 3 : i], t[i])) for i in range(3, len(t))), rel=1e-4)
+
+
+def test_language_of_many_languages(spark):
+    """Each of 120 languages differs from all others only in which pairs of letters follow each other."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnop"
+    follow = [{c: rng.sample(letters, 4) for c in letters} for _ in range(120)]
+
+    def text(language):
+        c, out = rng.choice(letters), []
+        for _ in range(240):
+            c = rng.choice(follow[language][c])
+            out.append(c if rng.random() > 0.15 else " ")
+        return "".join(out)
+
+    rows = [(i, text(i % 120), f"l{i % 120:03}") for i in range(2400)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(known)
+    got = langid.identify(known, model).filter(langid.held_out()).collect()
+    assert len(model.langs) == 120 and sum(r.lang_pred == r.lang for r in got) > 0.97 * len(got)
 
 
 def test_toxicity(spark, docs):
@@ -142,6 +197,27 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, None).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_scores_equal_plain_sums(spark, docs):
+    """Scores from sets of character n-grams, a text at a time."""
+    from stepforge.llm import textops
+
+    rng = random.Random(2)
+    rows = [(i, words(rng, 30, "abcdeé") + (" zzfoul" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.drop("toxic"), table.select("doc_id", "toxic"))
+    asked = table.select("doc_id", "text").union(docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text")).filter("doc_id is not null")
+    got = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+    for r in asked.collect():
+        text = fold(r.text)
+        features = set()
+        for gram in {text[i : i + k] for k in toxicity.GRAMS for i in range(len(text) - k + 1)}:
+            raw = np.frombuffer(gram.encode(), np.uint8)
+            bucket = int(textops.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0] >> np.uint64(64 - toxicity.BUCKET_BITS))
+            features |= {int(model["index"][bucket])} - {-1}
+        z = sum(float(model["weight"][f]) for f in features) + model["bias"]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), rel=1e-6)
+
+
 @pytest.mark.parametrize("shard", [50, 1 << 21])
 def test_tokens(spark, docs, shard):
     from tokenizers import Tokenizer
@@ -226,6 +302,49 @@ def test_decontamination(spark, docs):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_windows_at_the_threshold_are_within_the_radius():
+    rng = np.random.default_rng(3)
+    far = []
+    for _ in range(400):
+        n = int(rng.integers(8, 40))
+        grams = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        changed = grams.copy()
+        away = n // 9  # 8 of 10 shared at least
+        changed[:away] = rng.integers(0, 1 << 63, away, dtype=np.uint64)
+        a, b = (decontam._fingerprint(decontam._signs(g).sum(axis=0)) for g in (grams, changed))
+        far.append(int(np.bitwise_count(a ^ b)))
+    assert max(far) <= decontam.RADIUS and np.mean(far) < 16
+    items = decontam.Items([1, 2], ["a b c d e f g h", "q r s t u v w x"])
+    close = items.prints[:1] ^ np.uint64((1 << decontam.RADIUS) - 1)
+    assert [(i, rows.tolist()) for i, rows in items.within(close, 8) if len(rows)] == [(0, [0])]
+    beyond = items.prints[:1] ^ np.uint64((1 << decontam.RADIUS + 1) - 1)
+    assert not [i for i, rows in items.within(beyond, 8) if i == 0 and len(rows)]
+
+
+def test_quality_scores_equal_plain_sums(spark, docs, monkeypatch):
+    """The scorer from hashed n-grams of character classes, a text at a time."""
+    models = []
+    learned = quality._learned
+    monkeypatch.setattr(quality, "_learned", lambda *x: models.append(learned(*x)) or models[-1])
+    rng = random.Random(6)
+    rows = [(1000 + i, (words(rng, 30).upper() if i % 6 == 0 else words(rng, 30).capitalize() + ".")) for i in range(200)]
+    asked = docs.select("doc_id", "text").filter("doc_id is not null").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc_id, r.pattern): r.score for r in quality.assess(asked).collect()}
+    weights, bias = models[0]
+    scores = sorted(got.values())
+    want = []
+    for r in asked.dropDuplicates(["doc_id"]).collect():
+        kinds, counts = [int(quality._CLASS[b]) for b in (r.text or "").encode()], {}
+        for k in (3, 5):
+            for i in range(len(kinds) - k + 1):
+                code = int("".join(map(str, kinds[i : i + k])))
+                bucket = ((code + 100_003 * k) * 2654435761 >> 7) % quality.BUCKETS
+                counts[bucket] = counts.get(bucket, 0) + 1
+        size = np.sqrt(max(sum(counts.values()), 1e-9))
+        want.append(1 / (1 + np.exp(-np.clip(sum(weights[b] * np.sqrt(c) / size for b, c in counts.items()) + bias, -40, 40))))
+    assert np.allclose(sorted(want), scores, atol=1e-4)
+
+
 def test_quality(spark, docs):
     rng = random.Random(6)
     good = lambda: ". ".join(words(rng, 12).capitalize() for _ in range(4)) + "."

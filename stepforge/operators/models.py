@@ -1,8 +1,9 @@
 """Learned rankers over candidate lists, fitted and applied by Spark's own learners.
 
-Families: ``svm`` (linear, on differences within a query), ``ffn`` (pointwise network) and ``boosted`` (pointwise trees).
-A difference is taken between a row and the mean of its query's rows of the other label, so training rows grow with the
-candidates and not with their pairs.
+Families: ``svm`` (linear, on differences within a query), ``ffn`` (pointwise network), ``boosted`` (pointwise trees) and
+``listnet`` (linear, cross-entropy of the top-one probabilities of each query's list). A difference is taken between a row
+and the mean of its query's rows of the other label, so training rows grow with the candidates and not with their pairs. A
+list's gradient is a sum that Spark adds up over all queries, one job a round.
 
 Defined results: missing or non-numeric features count as 0; labels above 0 are relevant; where the rows have one label
 only (or there are none) every score is 0; equal scores keep the retrieved order.
@@ -13,15 +14,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, LinearSVC, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
+from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FAMILIES = ("svm", "ffn", "boosted")
+FAMILIES = ("svm", "ffn", "boosted", "listnet")
 LAYERS = [128, 64, 32, 16]
 SEED = 17
+ROUNDS, RATE = 30, 1.0
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,24 @@ def _differences(scaled: DataFrame, query: str, count: int) -> DataFrame:
     return VectorAssembler(inputCols=[f"_d{i}" for i in range(count)], outputCol="_x").transform(diffs)
 
 
+def _listwise(scaled: DataFrame, query: str, count: int) -> list[float]:
+    """Weights of a linear score whose softmax over a query's list is nearest to the softmax of its labels."""
+    own = Window.partitionBy(query)
+    lists = scaled.select(query, vector_to_array("_x").alias("_a"), "_y").repartition(query)
+    lists = lists.withColumn("_m", F.max("_y").over(own)).withColumn("_e", F.exp(F.col("_y") - F.col("_m")))
+    lists = lists.withColumn("_t", F.col("_e") / F.sum("_e").over(own)).select(query, "_a", "_t").persist()
+    queries = lists.select(query).distinct().count()
+    weights = [0.0] * count
+    for _ in range(ROUNDS):
+        score = sum((F.col("_a")[i] * w for i, w in enumerate(weights)), F.lit(0.0))
+        rows = lists.withColumn("_z", score).withColumn("_top", F.max("_z").over(own)).withColumn("_e", F.exp(F.col("_z") - F.col("_top")))
+        rows = rows.withColumn("_p", F.col("_e") / F.sum("_e").over(own))
+        slope = rows.agg(*[F.sum((F.col("_p") - F.col("_t")) * F.col("_a")[i]) for i in range(count)]).first()
+        weights = [w - RATE * (g or 0.0) / max(1, queries) for w, g in zip(weights, slope)]
+    lists.unpersist()
+    return weights
+
+
 def fit(family: str, rows: DataFrame, query: str, label: str, features: list[str]) -> Ranker:
     if family not in FAMILIES:
         raise ValueError(f"unknown ranker family {family!r}")
@@ -60,6 +80,8 @@ def fit(family: str, rows: DataFrame, query: str, label: str, features: list[str
         return Ranker(family, names)
     scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(plain)
     scaled = scaler.transform(plain)
+    if family == "listnet":
+        return Ranker(family, names, scaler, _listwise(scaled, query, len(names)))
     shared = {"featuresCol": "_x", "labelCol": "_y", "predictionCol": "_p"}
     if family == "svm":
         scaled = _differences(scaled, query, len(names))
@@ -80,6 +102,40 @@ def rank(ranker: Ranker, rows: DataFrame, query: str, retrieved: str) -> DataFra
     if ranker.model is None:
         scored = rows.select(*keep, F.lit(0.0).alias("score"))
     else:
-        scored = ranker.model.transform(ranker.scaler.transform(_plain(rows, ranker.features)))
+        scaled = ranker.scaler.transform(_plain(rows, ranker.features))
+        if ranker.family == "listnet":
+            value = sum((vector_to_array("_x")[i] * w for i, w in enumerate(ranker.model)), F.lit(0.0))
+            scored = scaled.select(*keep, value.alias("score"))
+            return _placed(scored, query, retrieved)
+        scored = ranker.model.transform(scaled)
         scored = scored.select(*keep, vector_to_array("_r" if ranker.family == "svm" else "_q")[1].alias("score"))
+    return _placed(scored, query, retrieved)
+
+
+def _placed(scored: DataFrame, query: str, retrieved: str) -> DataFrame:
     return scored.withColumn("final_rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), F.col(retrieved))))
+
+
+MODELS = {"svm": LinearSVCModel, "ffn": MultilayerPerceptronClassificationModel, "boosted": GBTClassificationModel}
+
+
+def save(ranker: Ranker, spark: SparkSession, path: str) -> None:
+    """The ranker in a folder of its own: what it is as one JSON line, its scaler and its model as Spark keeps them."""
+    weights = ranker.model if ranker.family == "listnet" else None
+    row = (ranker.family, list(ranker.features), ranker.model is not None, weights)
+    spark.createDataFrame([row], "family string, features array<string>, fitted boolean, weights array<double>").coalesce(1).write.json(f"{path}/about")
+    if ranker.model is not None:
+        ranker.scaler.write().save(f"{path}/scaler")
+        if weights is None:
+            ranker.model.write().save(f"{path}/model")
+
+
+def load(spark: SparkSession, path: str, count: int | None = None) -> Ranker:
+    """The ranker kept in a folder; raises if it reads another number of features than ``count``."""
+    about = spark.read.schema("family string, features array<string>, fitted boolean, weights array<double>").json(f"{path}/about").first()
+    if count is not None and count != len(about["features"]):
+        raise ValueError(f"the ranker reads {len(about['features'])} features, not {count}")
+    if not about["fitted"]:
+        return Ranker(about["family"], tuple(about["features"]))
+    model = about["weights"] if about["family"] == "listnet" else MODELS[about["family"]].load(f"{path}/model")
+    return Ranker(about["family"], tuple(about["features"]), StandardScalerModel.load(f"{path}/scaler"), model)

@@ -33,7 +33,7 @@ def test_ivf_all_cells_is_exact_and_empty(spark):
 
 
 @pytest.mark.parametrize("family", models.FAMILIES)
-def test_rankers_put_relevant_first(spark, family):
+def test_rankers_put_relevant_first(spark, tmp_path, family):
     rng = random.Random(3)
     data = [(q, d, d + 1, float(rng.random() + (0.8 if (y := d % 4 == 3) else 0.0)), None if d == 0 else "7", int(y)) for q in range(40) for d in range(8)]
     rows = spark.createDataFrame(data, "q int, d int, rank int, f double, g string, label int")
@@ -45,6 +45,11 @@ def test_rankers_put_relevant_first(spark, family):
     assert all(r.final_rank == r["rank"] and r.score == 0 for r in flat.collect())
     with pytest.raises(ValueError):
         models.rank(ranker, rows.drop("g"), "q", "rank")
+    models.save(ranker, spark, str(tmp_path / family))
+    again = models.rank(models.load(spark, str(tmp_path / family), 2), rows.filter("q >= 30"), "q", "rank").collect()
+    assert sorted((r.q, r.d, r.final_rank, round(r.score, 9)) for r in again) == sorted((r.q, r.d, r.final_rank, round(r.score, 9)) for r in ranked)
+    with pytest.raises(ValueError):
+        models.load(spark, str(tmp_path / family), 3)
 
 
 def _lcs(a: str, b: str) -> int:

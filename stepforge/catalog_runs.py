@@ -250,6 +250,13 @@ def score_progression(spark, sf_dir):
     return out.select("user_id", "event_type", F.array_join(F.transform("s", lambda x: F.round(x["value"], 2).cast("string")), " ").alias("scores"), F.round(F.try_element_at("s", F.lit(-1))["value"] - F.try_element_at("s", F.lit(1))["value"], 4).alias("gain"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) || ' ' AS text FROM documents), b AS (SELECT item_id, ' ' || trim(regexp_replace(lower(text), '[ \t\n\r\f\x0B]+', ' ', 'g')) || ' ' AS item FROM benchmark WHERE trim(text) <> '')
+SELECT doc_id, item_id FROM d JOIN b ON contains(d.text, item)""")
+def leakage_items(spark, sf_dir):
+    """Benchmark items that stand word by word in a document."""
+    return runs.containing(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+
+
 # ---- sets and samples --------------------------------------------------------------------------------------------
 
 

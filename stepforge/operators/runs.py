@@ -87,6 +87,23 @@ def first_match(rows: DataFrame, table: DataFrame, keys: list[str], order: list[
     return rows.join(first.select(*keys, *[F.col(f"first.{c}").alias(c) for c in wanted]), keys, "left")
 
 
+def containing(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, words: int = 5) -> DataFrame:
+    """doc_key, item_key: the documents whose lower-cased words hold all words of an item in a row.
+
+    Documents and items meet on the item's first words, so only rows that begin alike are compared. Items without words are
+    in no document."""
+    split = lambda: F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    whole = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    asked = items.select(item_key, split().alias("w")).filter(F.size("w") > 0).select(item_key, F.least(F.size("w"), F.lit(words)).alias("k"), F.array_join(F.slice("w", 1, words), " ").alias("head"), whole(F.col("w")).alias("item"))
+    sizes = [r["k"] for r in asked.select("k").distinct().collect()]  # at most ``words`` numbers
+    own = docs.select(doc_key, split().alias("w"))
+    heads = [F.expr(f"transform(sequence(1, greatest(size(w) - {k} + 1, 1)), i -> array_join(slice(w, i, {k}), ' '))") for k in sizes]
+    if not sizes:
+        return own.select(doc_key, F.lit(None).cast(dict(items.dtypes)[item_key]).alias(item_key)).limit(0)
+    met = own.select(doc_key, whole(F.col("w")).alias("text"), F.explode(F.array_distinct(F.concat(*heads))).alias("head")).join(asked, "head")
+    return met.filter(F.contains(F.col("text"), F.col("item"))).select(doc_key, item_key)
+
+
 def stage_merge(reranked: DataFrame, rest: DataFrame, group: str, key: str) -> DataFrame:
     """group, key, rank of the reranked prefix and then the others, each key where it is first seen (both with rank)."""
     both = reranked.select(group, key, F.lit(0).alias("part"), "rank").unionByName(rest.select(group, key, F.lit(1).alias("part"), "rank"))

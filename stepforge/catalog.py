@@ -289,6 +289,12 @@ def allpair_winrate(spark, sf_dir):
     return ranking.win_rates(points(spark, sf_dir), "query_id", "vec_id")
 
 
+@query(CANDIDATES + """, o AS (SELECT a.query_id, a.vec_id, a.rank, count(b.vec_id) AS ahead FROM c a LEFT JOIN c b ON a.query_id = b.query_id AND b.vec_id % 7 < a.vec_id % 7 GROUP BY 1, 2, 3),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ahead, rank) AS place FROM o) SELECT query_id, vec_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN place <= 5 THEN place ELSE 5 + rank END) AS final_rank FROM t""")
+def comparison_topk(spark, sf_dir):
+    return ranking.comparison_topk(candidates(spark, sf_dir), "query_id", "vec_id", F.expr("l.vec_id % 7 < r.vec_id % 7"), 5).select("query_id", "vec_id", "rank", "final_rank")
+
+
 @query("SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY l_orderkey) AS qid FROM lineitem")
 def qid_assign(spark, sf_dir):
     return evaluation.qids(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey")

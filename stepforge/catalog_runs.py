@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepforge.catalog import query, read
+from stepforge.functions.documents import find_key
 from stepforge.functions import text as tx
 from stepforge.operators import chunks, runs, splits
 
@@ -85,6 +86,14 @@ def json_props(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"), F.length("props").cast("long").alias("chars"))
 
 
+@query("SELECT event_id, event_id % 3 < 2 AS found, CASE WHEN event_id % 3 = 0 THEN regexp_extract(props, '\"k\": *(\\d+)', 1) END AS value FROM events")
+def json_search(spark, sf_dir):
+    """A key at any depth: in nested lists, with an explicit null, and not at all."""
+    i = F.col("event_id")
+    made = F.when(i % 3 == 0, F.concat(F.lit('{"a": 1, "b": [{"c": {}}, '), "props", F.lit(', {"k": 0}]}'))).when(i % 3 == 1, '{"x": {"k": null}, "y": {"k": 1}}').otherwise('{"a": [1, "k"]}')
+    return read(spark, sf_dir, "events").select("event_id", find_key(made, "k").alias("f")).select("event_id", "f.found", "f.value")
+
+
 # ---- filters over runs -------------------------------------------------------------------------------------------
 
 EPISODE = "e AS (SELECT event_type AS task, user_id, arg_max(value, (ts, event_id)) AS last, bool_or(event_id % 50 = 0) AS flagged, count(*) AS n FROM events GROUP BY 1, 2)"
@@ -325,6 +334,13 @@ def band_split(spark, sf_dir):
     return splits.held_out(read(spark, sf_dir, "part").select("p_partkey", band.alias("band")), "band", "p_partkey", "s2", 100)
 
 
+@query("SELECT conv_id, string_agg(DISTINCT role, ',' ORDER BY role) FILTER (role <> last OR last <> 'user') AS left_over FROM (SELECT *, last_value(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM conversations) GROUP BY 1")
+def unrepeated_actions(spark, sf_dir):
+    spoken = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_set("role")).alias("roles"), F.max_by("role", "turn").alias("last"))
+    rest = F.array_join(runs.unrepeated(F.col("roles"), F.array(F.lit("user")), F.col("last")), ",")
+    return spoken.select("conv_id", F.nullif(rest, F.lit("")).alias("left_over"))
+
+
 # ---- ranks, answers and causes -----------------------------------------------------------------------------------
 
 

@@ -208,6 +208,22 @@ def all_pair_points(candidates: DataFrame, group: str, key: str, better: Column,
     return pairs.groupBy(F.col(f"l.{group}").alias(group), F.col(f"l.{key}").alias(key)).agg(F.sum(F.when(tied, 0.5).when(better, 1.0).otherwise(0.0)).alias("points"), (F.count(F.lit(1)) + 1).alias("n"))
 
 
+def comparison_topk(candidates: DataFrame, group: str, key: str, better: Column, k: int) -> DataFrame:
+    """``candidates`` (with rank) with final_rank: the k that fewest others are better than, by their retrieved rank where as
+    many are, and then the rest as retrieved.
+
+    ``better`` compares columns l.* with r.* of a bounded list. For an order without contradictions this is what sorts that
+    ask for one comparison at a time end with; equal candidates keep their retrieved order."""
+    l, r = candidates.alias("l"), candidates.alias("r")
+    beaten = l.join(r, (F.col(f"l.{group}") == F.col(f"r.{group}")) & (F.col(f"l.{key}") != F.col(f"r.{key}")) & better)
+    beaten = beaten.groupBy(F.col(f"r.{group}").alias(group), F.col(f"r.{key}").alias(key)).agg(F.count(F.lit(1)).alias("over"))
+    placed = candidates.join(beaten, [group, key], "left").withColumn("over", F.coalesce("over", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("over", "rank"))
+    placed = placed.withColumn("place", place)
+    order = Window.partitionBy(group).orderBy(F.when(F.col("place") <= k, F.col("place")).otherwise(k + F.col("rank")))
+    return placed.withColumn("final_rank", F.row_number().over(order)).drop("over", "place")
+
+
 def win_rates(points: DataFrame, group: str, key: str) -> DataFrame:
     w = Window.partitionBy(group)
     raw = F.when(F.col("n") <= 1, 0.5).otherwise(F.col("points") / (F.col("n") - 1))

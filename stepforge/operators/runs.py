@@ -19,6 +19,11 @@ def last_succeeded(steps: Column) -> Column:
     return F.coalesce(last["done"] & (last["success"] == 1), F.lit(False))
 
 
+def unrepeated(actions: Column, once: Column, last: Column) -> Column:
+    """``actions`` without the last action taken, if it is one of those that may not follow themselves."""
+    return F.filter(actions, lambda a: ~F.coalesce((a == last) & F.array_contains(once, a), F.lit(False)))
+
+
 def succeeded(environment: Column, score: Column) -> Column:
     """Environment A succeeds at exactly 1, any other at 1 or more."""
     return F.coalesce(F.when(environment == "A", score == 1).otherwise(score >= 1), F.lit(False))

@@ -60,12 +60,12 @@ def path_names(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", tx.variation_id(path, "json_2.1.1").alias("variation"), tx.split_tag(where).alias("tag"), tx.step_limit(i % 50, limit).alias("max_steps"))
 
 
-@query("""SELECT p_partkey, regexp_replace(regexp_replace(p_brand, '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') AS agent, CASE WHEN p_partkey % 3 = 0 THEN p_size END::BIGINT AS whole, CASE WHEN p_partkey % 3 = 1 THEN p_size + 0.5 END::DOUBLE AS number, CASE WHEN p_partkey % 3 = 2 THEN p_name END AS word FROM part""")
+@query("""SELECT p_partkey, regexp_replace(regexp_replace(p_brand, '[^A-Za-z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') AS agent, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE -1 END::BIGINT AS whole, CASE WHEN p_partkey % 3 = 1 THEN p_size + 0.5 END::DOUBLE AS number, CASE WHEN p_partkey % 3 = 2 THEN p_name END AS word FROM part""")
 def tagged_scalars(spark, sf_dir):
     i = F.col("p_partkey")
     stored = F.when(i % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit(".0"))).when(i % 3 == 1, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5"))).otherwise(F.col("p_name"))
     whole, number, word = tx.tagged_scalar(stored)
-    return read(spark, sf_dir, "part").select("p_partkey", tx.sanitised(F.col("p_brand")).alias("agent"), whole.alias("whole"), number.alias("number"), word.alias("word"))
+    return read(spark, sf_dir, "part").select("p_partkey", tx.sanitised(F.col("p_brand")).alias("agent"), F.coalesce(whole, F.lit(-1)).cast("long").alias("whole"), number.alias("number"), word.alias("word"))
 
 
 @query("SELECT conv_id, string_agg('Step ' || (turn + 1) || ': ' || role || ' ' || text, chr(10) ORDER BY turn) AS prompt FROM conversations WHERE turn < 3 GROUP BY 1")
@@ -235,9 +235,10 @@ def aligned_turns(spark, sf_dir) -> DataFrame:
     return runs.aligned(v.filter("conv_id % 2 = 1"), v.filter("conv_id % 3 > 0"), ["role", "signature"], "task", "variation", "conv_id", "turn")
 
 
-@query("WITH " + ALIGN + " SELECT conv_id, turn, status, mode, picked // 100000 AS picked_document, picked % 100000 AS picked_place FROM f")
+@query("WITH " + ALIGN + " SELECT conv_id, turn, status, mode, coalesce(picked // 100000, -1) AS picked_document, coalesce(picked % 100000, -1) AS picked_place FROM f")
 def align_cascade(spark, sf_dir):
-    return aligned_turns(spark, sf_dir).select("conv_id", "turn", "status", "mode", "picked_document", "picked_place")
+    picked = [F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("picked_document", "picked_place")]
+    return aligned_turns(spark, sf_dir).select("conv_id", "turn", "status", "mode", *picked)
 
 
 @query("WITH " + ALIGN + ", g AS (SELECT status, mode, count(*) AS n FROM f GROUP BY 1, 2) SELECT status, mode, n, round(sum(CASE WHEN status <> 'missing' THEN n ELSE 0 END) OVER () / (sum(n) OVER ())::DOUBLE, 6) AS match_rate FROM g")
@@ -245,11 +246,12 @@ def alignment_counts(spark, sf_dir):
     return runs.status_counts(aligned_turns(spark, sf_dir))
 
 
-@query("WITH r AS (SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY 1) SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN r ON c_custkey = o_custkey")
+@query("WITH r AS (SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice FROM orders GROUP BY 1) SELECT c_custkey, coalesce(o_orderkey, -1) AS o_orderkey, o_totalprice FROM customer LEFT JOIN r ON c_custkey = o_custkey")
 def run_lookup(spark, sf_dir):
     asked = read(spark, sf_dir, "customer").select("c_custkey")
     orders = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    return runs.first_match(asked, orders, ["c_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_totalprice"])
+    found = runs.first_match(asked, orders, ["c_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_totalprice"])
+    return found.withColumn("o_orderkey", F.coalesce("o_orderkey", F.lit(-1).cast("long")))
 
 
 @query("SELECT user_id, event_type, string_agg(round(value, 2)::VARCHAR, ' ' ORDER BY ts, event_id) AS scores, round(arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)), 4) AS gain FROM events WHERE event_id % 10 = 0 GROUP BY 1, 2")

@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def rows(df: pd.DataFrame) -> list:
-    text = lambda v: "null" if v is None or v is pd.NaT or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    text = lambda v: "null" if pd.api.types.is_scalar(v) and pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v)
     return sorted(tuple(text(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 

@@ -7,8 +7,7 @@
    values, and a text also meets the hub of its region, at a depth that follows the region (the shortest prefix that
    ``REGION`` texts at most share, of those that a task holds at once) and at a fixed ``SHALLOW`` depth. A region's hub
    has the signature that most of its texts have.
-3. Candidates are confirmed on the full shingle sets, first each text's pairs with its hubs, then the other pairs of
-   what is not connected yet, and components follow the confirmed links.
+3. Candidates are confirmed on the full shingle sets, and components follow the confirmed links.
 4. What the forest missed is found by an exact prefix-filter join of texts in different components. A shingle is common
    when it stands in about ``COMMON`` texts or more (estimated from a sample; any choice gives the same links). A linked
    pair either shares one of the others within both prefixes, or reaches the threshold by common shingles alone. The
@@ -47,7 +46,7 @@ COMMON = 256
 SPREAD = 4000
 SEEN = 8
 #: Texts and common shingles of a block of a crowd, and shingles that are counted at once.
-CELL_TEXTS, CELL_SHINGLES, COLUMNS = 1024, 1 << 20, 2048
+CELL_TEXTS, CELL_SHINGLES, COLUMNS = 512, 1 << 19, 1024
 _LAST = np.iinfo(np.int64).max
 
 _RNG = np.random.default_rng(7)
@@ -97,7 +96,7 @@ def _shared_values(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (a, b, hub) of a sorted part of the orders (tree, first, second, id).
+    """Candidates (a, b) of a sorted part of the orders (tree, first, second, id).
 
     Each row meets the next one, if they share LEAST values; the hub of its region of SHALLOW values; and the hub of the
     region at its own depth, the shortest shared prefix that REGION rows at most (of a batch) have. A hub is a row of the
@@ -112,7 +111,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared[0] = 0 if last is None else shared[0]
         first, ids, pairs = shared[0], rows[:, 3], []
         near = np.flatnonzero(shared >= LEAST)
-        pairs.append((np.concatenate([before[:, 3], ids[:-1]])[near], ids[near], False))
+        pairs.append((np.concatenate([before[:, 3], ids[:-1]])[near], ids[near]))
         shared[0] = 0
         runs = {d: np.cumsum(shared < d) - 1 for d in range(LEAST, VALUES + 1)}
         sizes = {d: np.bincount(run) for d, run in runs.items()}
@@ -124,16 +123,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.flatnonzero((depth == d) | (d == SHALLOW))
             order = np.lexsort((np.arange(len(rows)), -equal, runs[d]))
             hubs = order[np.searchsorted(runs[d][order], np.arange(runs[d][-1] + 1))]
-            pairs.append((ids[hubs[runs[d][own]]], ids[own], True))
+            pairs.append((ids[hubs[runs[d][own]]], ids[own]))
             if d == SHALLOW:
                 if first >= SHALLOW:
-                    pairs.append((np.array([hub]), ids[hubs[:1]], True))
+                    pairs.append((np.array([hub]), ids[hubs[:1]]))
                 hub = hub if first >= SHALLOW and runs[d][-1] == 0 else ids[hubs[-1]]
         last = rows[-1:]
         a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-        flag = np.concatenate([np.full(len(p[0]), p[2]) for p in pairs])
         some = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[some]), pa.array(np.maximum(a, b)[some]), pa.array(flag[some])], ["a", "b", "hub"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[some]), pa.array(np.maximum(a, b)[some])], ["a", "b"])
 
 
 def _shingler(shingle_words: int):
@@ -178,10 +176,9 @@ def _prefixer(shingle_words: int, percent: int, common):
 
 
 def _candidates(orders: DataFrame) -> DataFrame:
-    """a < b, hub boolean: neighbours and hubs in each of the sorted signature orders (tree, first, second, id)."""
+    """a < b: neighbours and hubs in each of the sorted signature orders (tree, first, second, id)."""
     keys = ["tree", "first", "second", "id"]
-    found = orders.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_neighbours, "a long, b long, hub boolean")
-    return found.groupBy("a", "b").agg(F.max("hub").alias("hub"))
+    return orders.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_neighbours, "a long, b long").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,22 +222,25 @@ def _reaching(met: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 
 
 def _crowds(firsts: DataFrame) -> DataFrame:
-    """crowd, component, id, n, common: texts that share a shingle of ``top`` are in one crowd; crowds of one component go.
+    """crowd, component, id, n, common: texts that share a shingle of ``top`` that stands in several components are in one
+    crowd; texts without one are in none, as nothing outside their component can link with them by common shingles alone.
 
     Crowds are components of shingles, linked where they follow each other in a text's ``top``; only these links, which are
     few where many texts have them, are shuffled."""
-    after = F.arrays_zip(F.slice("top", 1, F.size("top") - 1).alias("a"), F.slice("top", 2, F.size("top") - 1).alias("b"))
-    shingles = components(firsts.filter(F.size("top") > 1).select(F.explode(after).alias("x")).select("x.a", "x.b").distinct())
-    named = firsts.withColumn("node", F.col("top")[0]).join(shingles.withColumnRenamed("component", "crowd"), "node", "left")
-    named = named.select(F.coalesce("crowd", "node").alias("crowd"), "component", "id", "n", "common")
-    several = named.groupBy("crowd").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("crowd")
-    return named.join(several, "crowd", "left_semi")
+    spots = firsts.select("id", "component", F.explode("top").alias("s"))
+    live = spots.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("s")
+    kept = spots.join(sized(written(live, "live")), "s", "left_semi").groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("live"))
+    firsts = written(firsts.drop("top").join(kept, "id"), "live-texts")
+    after = F.arrays_zip(F.slice("live", 1, F.size("live") - 1).alias("a"), F.slice("live", 2, F.size("live") - 1).alias("b"))
+    shingles = components(firsts.filter(F.size("live") > 1).select(F.explode(after).alias("x")).select("x.a", "x.b").distinct())
+    named = firsts.withColumn("node", F.col("live")[0]).join(shingles.withColumnRenamed("component", "crowd"), "node", "left")
+    return named.select(F.coalesce("crowd", "node").alias("crowd"), "component", "id", "n", "common")
 
 
 def _cell(percent: int):
     def cell(rows: pa.Table) -> pa.Table:
         """Components of a cell's texts that links join, as a spanning tree of each group of them."""
-        sizes = rows.column("n").to_numpy().astype(np.float64)
+        sizes = rows.column("n").to_numpy()
         names, own = np.unique(rows.column("component").to_numpy(), return_inverse=True)
         if len(names) == 1:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -255,9 +255,10 @@ def _cell(percent: int):
             part = np.zeros((len(sizes), COLUMNS), dtype=np.float32)
             part[text[low:high], column[low:high] - a] = 1
             both += part @ part.T
-        left, right = np.nonzero((100 + percent) * both >= percent * (sizes[:, None] + sizes[None]))
         joined = np.zeros((len(names), len(names)), dtype=bool)
-        joined[own[left], own[right]] = True
+        for i in range(0, len(sizes), 64):
+            left, right = np.nonzero((100 + percent) * both[i : i + 64].astype(np.int64) >= percent * (sizes[i : i + 64, None] + sizes[None]))
+            joined[own[i + left], own[right]] = True
         seen, edges = np.zeros(len(names), dtype=bool), []
         for start in range(len(names)):
             reached = [] if seen[start] else [start]
@@ -271,7 +272,12 @@ def _cell(percent: int):
         a, b = (np.array([e[i] for e in edges], dtype=np.int64) for i in (0, 1))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return cell
+    def released(rows: pa.Table) -> pa.Table:
+        found = cell(rows)
+        textops.release()
+        return found
+
+    return released
 
 
 def _bridges(crowds: DataFrame, percent: int) -> DataFrame:
@@ -341,14 +347,8 @@ def near_groups(docs: DataFrame, shingle_words: int = 5, percent: int = 80, tree
     pairs = written(_candidates(classes.select(F.col("rep").alias("id"), F.explode(order).alias("o")).select("o.*", "id")), "candidates")
     paired = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
     sets = written(texts.join(sized(paired), "doc_id", "left_semi").mapInArrow(_shingler(shingle_words), "id long, one long, shingles array<long>").dropDuplicates(["id", "one"]), "shingles")
-    to_hubs = written(_linked(pairs.filter("hub"), sets, percent), "links")
-    joined = components(to_hubs)
-    rest = pairs.filter("not hub")
-    for side in ("a", "b"):
-        rest = rest.join(joined.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-    rest = rest.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    links = written(to_hubs.union(_linked(rest, sets, percent)), "links")
-    discarded(pairs, paired, sets, to_hubs)
+    links = written(_linked(pairs, sets, percent), "links")
+    discarded(pairs, paired, sets)
     joined = components(links)
     missed = _missed(texts, classes.select(F.col("rep").alias("doc_id")), joined, shingle_words, percent)
     if not missed.isEmpty():

@@ -7,13 +7,7 @@ from pyspark.sql import functions as F
 
 from stepforge.operators.order import discarded, numbered, shared_dir, written
 
-__all__ = ["cut", "discarded", "keyed", "numbered", "shared_dir", "sized", "table", "texts_of", "without", "written"]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a small table inside a loop; Spark removes its files with the reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["discarded", "keyed", "numbered", "shared_dir", "sized", "table", "texts_of", "without", "written"]
 
 
 #: Texts in an Arrow batch where the session has Spark's default of 10,000: texts are long, and a task holds whole batches.

@@ -35,6 +35,7 @@ GRAMS = 1 << 16
 ORDER = 3
 UNKNOWN = "und"
 PAD = 10
+CHUNK = 1 << 18
 #: Bytes of evidence that a score counts at most: the gap between languages, a byte, is taken so many times.
 EVIDENCE = 64
 PREDICTED = ["lang_pred", "score", "bits_per_byte"]
@@ -55,9 +56,10 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _grams(x: np.ndarray) -> np.ndarray:
     """Each byte with the ORDER bytes before it, as one number."""
-    out = np.zeros(max(0, len(x) - ORDER), dtype=np.int64)
+    out = np.zeros(max(0, len(x) - ORDER), dtype=np.uint32)
     for i in range(ORDER + 1):
-        out = out << 8 | x[i : len(out) + i]
+        out <<= np.uint32(8)
+        out |= x[i : len(out) + i]
     return out
 
 
@@ -169,7 +171,7 @@ def _marked(docs: DataFrame) -> DataFrame:
 def _judged(frozen: Model | None, batch: pa.RecordBatch, place: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """A chunk of the batch (without its last column, the letters) with lang_pred, score and bits_per_byte."""
     letters = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
-    for a, b, data, offsets in textops.chunks(batch.column(place)):
+    for a, b, data, offsets in textops.chunks(batch.column(place), CHUNK):
         size = np.diff(offsets)
         if frozen is None:
             best, prob, rate, names = np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a), np.array([UNKNOWN], dtype=object)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepforge.llm import chat, decontam, dedup_exact, dedup_near, langid, mixing, quality, tokens, toxicity, warc
+from stepforge.llm import chat, decontam, dedup_exact, dedup_near, langid, manifest, mixing, quality, tokens, toxicity, warc
 from stepforge.llm.shared import table
 
 
@@ -58,6 +58,10 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op13_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,10 +80,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_perspective_rotation,
         op9_block_naming,
         op10_weak_label_quality,
+        op13_bitmap_manifest,
         pipeline,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_systematic_mix": mixing.ORACLE_SQL, "op8_perspective_rotation": chat.ORACLE_SQL, "op9_block_naming": dedup_exact.ORACLE_SQL}
+    return {"op1_systematic_mix": mixing.ORACLE_SQL, "op8_perspective_rotation": chat.ORACLE_SQL, "op9_block_naming": dedup_exact.ORACLE_SQL, "op13_bitmap_manifest": manifest.ORACLE_SQL}

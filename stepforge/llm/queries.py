@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepforge.llm import chat, decontam, dedup_exact, dedup_near, langid, manifest, mixing, quality, tokens, toxicity, warc
+from stepforge.llm import chat, decontam, dedup_exact, dedup_near, langid, manifest, mixing, phrases, quality, tokens, toxicity, warc
 from stepforge.llm.shared import table
 
 
@@ -58,6 +58,10 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_perspective_rotation,
         op9_block_naming,
         op10_weak_label_quality,
+        op12_phrase_automata,
         op13_bitmap_manifest,
         pipeline,
     )
@@ -87,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_systematic_mix": mixing.ORACLE_SQL, "op8_perspective_rotation": chat.ORACLE_SQL, "op9_block_naming": dedup_exact.ORACLE_SQL, "op13_bitmap_manifest": manifest.ORACLE_SQL}
+    return {"op1_systematic_mix": mixing.ORACLE_SQL, "op8_perspective_rotation": chat.ORACLE_SQL, "op9_block_naming": dedup_exact.ORACLE_SQL, "op12_phrase_automata": phrases.ORACLE_SQL, "op13_bitmap_manifest": manifest.ORACLE_SQL}

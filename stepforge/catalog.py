@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stepforge.functions import similarity
 from stepforge.functions import text as tx
-from stepforge.operators import chunks, clusters, evaluation, ivf, models, ranking, retrieval, splits
+from stepforge.operators import boosting, chunks, clusters, evaluation, ivf, models, ranking, retrieval, splits
 from stepforge.streaming import push
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -485,6 +485,18 @@ for _family in models.FAMILIES:
         return models.rank(ranker, rows, "query_id", "rank").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"), "final_rank")
 
 
+@query(None)
+def learned_rank_heldout(spark, sf_dir):
+    """Mean NDCG at 10 of each family on the queries that were not fitted on, and of the retrieved order."""
+    rows = labelled(spark, sf_dir).persist()
+    fitted, held = rows.filter("query_id % 200 = 0"), rows.filter("query_id % 200 <> 0")
+    found = boosting.ndcg(held, "query_id", "label", "rank").select(F.lit("retrieved").alias("family"), "ndcg")
+    for family in models.FAMILIES:
+        ranked = models.rank(models.fit(family, fitted, "query_id", "label", RANK_FEATURES), held, "query_id", "rank")
+        found = found.unionByName(boosting.ndcg(ranked, "query_id", "label", "final_rank").select(F.lit(family).alias("family"), "ndcg"))
+    return found.groupBy("family").agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("ndcg"), 6).alias("ndcg"))
+
+
 @query(None)
 def turn_similarity(spark, sf_dir):
     """Each turn of a conversation against the one before."""

@@ -1,7 +1,8 @@
 """Learned rankers over candidate lists, fitted and applied by Spark's own learners.
 
-Families: ``svm`` (linear, on differences within a query), ``ffn`` (pointwise network), ``boosted`` (pointwise trees) and
-``listnet`` (linear, cross-entropy of the top-one probabilities of each query's list). A difference is taken between a row
+Families: ``svm`` (linear, on differences within a query), ``ffn`` (pointwise network), ``boosted`` (pointwise trees),
+``listnet`` (linear, cross-entropy of the top-one probabilities of each query's list) and ``lambdamart`` (trees on the pairs
+of each list, weighted by what swapping them changes of its NDCG; its labels are grades). A difference is taken between a row
 and the mean of its query's rows of the other label, so training rows grow with the candidates and not with their pairs. A
 list's gradient is a sum that Spark adds up over all queries, one job a round.
 
@@ -11,16 +12,23 @@ only (or there are none) every score is 0; equal scores keep the retrieved order
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pandas as pd
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from stepforge.operators import boosting
 
-FAMILIES = ("svm", "ffn", "boosted", "listnet")
+FAMILIES = ("svm", "ffn", "boosted", "listnet", "lambdamart")
 LAYERS = [128, 64, 32, 16]
 SEED = 17
 ROUNDS, RATE = 30, 1.0
@@ -78,6 +86,10 @@ def fit(family: str, rows: DataFrame, query: str, label: str, features: list[str
     low, high = plain.agg(F.min("_y"), F.max("_y")).first()
     if low == high:
         return Ranker(family, names)
+    if family == "lambdamart":
+        graded = plain.withColumn("_g", F.greatest(F.coalesce(F.col(label).cast("double"), F.lit(0.0)), F.lit(0.0)))
+        columns = [f"_f{i}" for i in range(len(names))]
+        return Ranker(family, names, None, boosting.lambdamart(graded, query, "_g", columns, columns))
     scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True).fit(plain)
     scaled = scaler.transform(plain)
     if family == "listnet":
@@ -101,6 +113,9 @@ def rank(ranker: Ranker, rows: DataFrame, query: str, retrieved: str) -> DataFra
     keep = [c for c in rows.columns if c not in ("score", "final_rank")]
     if ranker.model is None:
         scored = rows.select(*keep, F.lit(0.0).alias("score"))
+    elif ranker.family == "lambdamart":
+        plain = _plain(rows, ranker.features)
+        return _placed(plain.select(*keep, _of_trees(ranker.model)(F.array(*[f"_f{i}" for i in range(len(ranker.features))])).alias("score")), query, retrieved)
     else:
         scaled = ranker.scaler.transform(_plain(rows, ranker.features))
         if ranker.family == "listnet":
@@ -112,19 +127,29 @@ def rank(ranker: Ranker, rows: DataFrame, query: str, retrieved: str) -> DataFra
     return _placed(scored, query, retrieved)
 
 
+def _of_trees(model: boosting.Boosted):
+    @F.pandas_udf(DoubleType())
+    def score(values: pd.Series) -> pd.Series:
+        return pd.Series(model.score(model.bins(np.stack(values.to_numpy()).astype(float))) if len(values) else [], dtype="float64")
+
+    return score
+
+
 def _placed(scored: DataFrame, query: str, retrieved: str) -> DataFrame:
     return scored.withColumn("final_rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), F.col(retrieved))))
 
 
+ABOUT = "family string, features array<string>, fitted boolean, weights array<double>, trees string"
 MODELS = {"svm": LinearSVCModel, "ffn": MultilayerPerceptronClassificationModel, "boosted": GBTClassificationModel}
 
 
 def save(ranker: Ranker, spark: SparkSession, path: str) -> None:
     """The ranker in a folder of its own: what it is as one JSON line, its scaler and its model as Spark keeps them."""
     weights = ranker.model if ranker.family == "listnet" else None
-    row = (ranker.family, list(ranker.features), ranker.model is not None, weights)
-    spark.createDataFrame([row], "family string, features array<string>, fitted boolean, weights array<double>").coalesce(1).write.json(f"{path}/about")
-    if ranker.model is not None:
+    trees = json.dumps(ranker.model.plain()) if ranker.family == "lambdamart" and ranker.model is not None else None
+    row = (ranker.family, list(ranker.features), ranker.model is not None, weights, trees)
+    spark.createDataFrame([row], ABOUT).coalesce(1).write.json(f"{path}/about")
+    if ranker.model is not None and trees is None:
         ranker.scaler.write().save(f"{path}/scaler")
         if weights is None:
             ranker.model.write().save(f"{path}/model")
@@ -132,10 +157,12 @@ def save(ranker: Ranker, spark: SparkSession, path: str) -> None:
 
 def load(spark: SparkSession, path: str, count: int | None = None) -> Ranker:
     """The ranker kept in a folder; raises if it reads another number of features than ``count``."""
-    about = spark.read.schema("family string, features array<string>, fitted boolean, weights array<double>").json(f"{path}/about").first()
+    about = spark.read.schema(ABOUT).json(f"{path}/about").first()
     if count is not None and count != len(about["features"]):
         raise ValueError(f"the ranker reads {len(about['features'])} features, not {count}")
     if not about["fitted"]:
         return Ranker(about["family"], tuple(about["features"]))
+    if about["family"] == "lambdamart":
+        return Ranker(about["family"], tuple(about["features"]), None, boosting.Boosted.of(json.loads(about["trees"])))
     model = about["weights"] if about["family"] == "listnet" else MODELS[about["family"]].load(f"{path}/model")
     return Ranker(about["family"], tuple(about["features"]), StandardScalerModel.load(f"{path}/scaler"), model)

@@ -2,9 +2,9 @@
 
 Phrases of one word, then two, three and four are counted, each in one pass over all texts. A task takes a shard of a few
 megabytes, sorts its distinct phrases and builds from them, in that order, a count transducer: an acyclic automaton whose
-paths spell (lang, words) and whose last arcs weigh how often. States with equal futures, weights included, are one. The
-sorted paths are cut into prefix ranges, a transducer for each, and the transducers that all shards have for a range are
-united: equal paths add their weights, and paths below ``LEAST`` go. A phrase of k words is looked for only where both
+paths spell (lang, words) and whose last arcs weigh how often. The sorted paths are cut into prefix ranges, a transducer for
+each, and the transducers that all shards have for a range are united: equal paths add their weights, paths below ``LEAST``
+go, and states of the union with equal futures, weights included, are one. A phrase of k words is looked for only where both
 phrases of k - 1 words in it are frequent, since no phrase is more frequent than its parts. Tasks know those from a bit table
 of fixed size (``FILTER_BITS``); a false one costs work, never a count. The parts of candidates are looked up by composing
 all distinct parts of a range with its transducers, and the answers are joined back.
@@ -48,6 +48,41 @@ _GAP = _BREAK.copy()
 _GAP[[0x20, 0x09]] = True
 
 
+def _bytes(labels: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of labels, and their bytes one after the other."""
+    labels = labels.cast(pa.large_binary())
+    if not len(labels):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    offsets = np.frombuffer(labels.buffers()[1], np.int64)[labels.offset : labels.offset + len(labels) + 1]
+    data = np.frombuffer(labels.buffers()[2], np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+    return np.diff(offsets), data[offsets[0] : offsets[-1]]
+
+
+def _ranked(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, list[tuple[np.ndarray, int, int]]]:
+    """A number for each row of ``columns`` (each below its size), in the order of the rows, and how to spell it again."""
+    key, room, steps = columns[0].astype(np.int64), sizes[0], []
+    for column, size in zip(columns[1:], sizes[1:]):
+        if room * size >= 1 << 62:
+            known, key = np.unique(key, return_inverse=True)
+            steps.append((known, len(known), 0))
+            room = len(known)
+        key, room = key * size + column, room * size
+        steps.append((None, 0, size))
+    return key, steps
+
+
+def _spelt(key: np.ndarray, steps: list) -> np.ndarray:
+    """The rows of numbers that ``_ranked`` gave."""
+    columns = []
+    for known, _, size in reversed(steps):
+        if known is None:
+            key, column = np.divmod(key, size)
+            columns.append(column)
+        else:
+            key = known[key]
+    return np.stack([key, *columns[::-1]], axis=1)
+
+
 class Transducer:
     """Paths of ``depth`` labels with a weight each. Of each depth: where the arcs of a state begin, their labels (places in
     ``labels``, ascending within a state) and the states they lead to; the weights are those of the last arcs."""
@@ -56,10 +91,11 @@ class Transducer:
         self.labels, self.levels, self.weights = labels, levels, weights
 
     @classmethod
-    def build(cls, labels: pa.Array, paths: np.ndarray, weights: np.ndarray) -> "Transducer":
-        """From distinct ``paths`` (rows of places in ``labels``) in ascending order."""
-        used, paths = np.unique(paths, return_inverse=True)
-        paths = paths.reshape(len(weights), -1)
+    def build(cls, labels: pa.Array, paths: np.ndarray, weights: np.ndarray, minimal: bool = True) -> "Transducer":
+        """From distinct ``paths`` (rows of places in ``labels``) in ascending order; not ``minimal``, states stay apart."""
+        known = np.zeros(len(labels), dtype=bool)
+        known[paths] = True
+        used, paths = np.flatnonzero(known), (np.cumsum(known) - 1)[paths]
         n, depth = paths.shape
         new = np.ones((n, depth + 1), dtype=bool)  # whether a row leaves the node of the row before at each depth
         new[1:, 0] = False
@@ -69,13 +105,17 @@ class Transducer:
             rows = np.flatnonzero(new[:, d + 1])
             arcs = np.stack([paths[rows, d], target, weight if d == depth - 1 else np.zeros(len(rows), np.int64)], axis=1).astype(np.int64)
             begins = np.append(np.flatnonzero(new[rows, d]), len(rows))
+            if not minimal:
+                target = np.arange(len(begins) - 1)
+                levels.append((begins, arcs[:, 0].astype(np.int32), arcs[:, 1].astype(np.int32)))
+                continue
             # States whose arcs are the same bytes are one state.
             futures = pa.Array.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer((begins * 24).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(arcs))])
             kinds = futures.dictionary_encode()
             target = kinds.indices.to_numpy().astype(np.int64)
-            kept = kinds.dictionary.cast(pa.large_binary())
-            own = np.frombuffer(b"".join(kept.to_pylist()), np.int64).reshape(-1, 3)
-            first = np.concatenate([[0], np.cumsum(pc.binary_length(kept).to_numpy() // 24)]).astype(np.int64)
+            size, raw = _bytes(kinds.dictionary)
+            own = np.frombuffer(raw.tobytes(), np.int64).reshape(-1, 3)
+            first = np.concatenate([[0], np.cumsum(size // 24)]).astype(np.int64)
             levels.append((first, own[:, 0].astype(np.int32), own[:, 1].astype(np.int32)))
             if d == depth - 1:
                 weights = own[:, 2]
@@ -104,9 +144,9 @@ class Transducer:
         return np.where(known, self.weights[arc], 0)
 
     def __bytes__(self) -> bytes:
-        labels = self.labels.cast(pa.large_binary())
+        size, text = _bytes(self.labels)
         small = lambda x: x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
-        return pickle.dumps((b"".join(labels.to_pylist()), small(pc.binary_length(labels).to_numpy()), [tuple(map(small, level)) for level in self.levels], small(self.weights)), protocol=5)
+        return pickle.dumps((text.tobytes(), small(size), [tuple(map(small, level)) for level in self.levels], small(self.weights)), protocol=5)
 
     @classmethod
     def read(cls, data: bytes) -> "Transducer":
@@ -126,14 +166,13 @@ class Transducer:
             rows.append(pc.index_in(p.labels, value_set=labels).to_numpy().astype(np.int64)[paths])
             weights.append(weight)
         paths, weights = np.concatenate(rows), np.concatenate(weights)
-        key = np.zeros(len(paths), np.int64)
-        for d in range(paths.shape[1]):
-            key = np.unique(key * len(labels) + paths[:, d], return_inverse=True)[1]
-        first = np.unique(key, return_index=True)[1]
-        sums = np.zeros(len(first), np.int64)
-        np.add.at(sums, key, weights)
+        key, steps = _ranked(list(paths.T), [len(labels)] * paths.shape[1])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sums = np.add.reduceat(weights[order], first)
         kept = sums >= least
-        return cls.build(labels, paths[first[kept]], sums[kept]) if kept.any() else None
+        return cls.build(labels, _spelt(key[first[kept]], steps), sums[kept]) if kept.any() else None
 
 
 def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,11 +244,9 @@ class Shard:
         at = self.places(k, frequent)
         low = len(self.langs)
         columns = [self.lang[at], *[self.word[at + j] + low + 1 for j in range(k)]]
-        size, key = low + 1 + len(self.words), np.zeros(len(at), np.int64)
-        for column in columns:
-            key = np.unique(key * size + column, return_inverse=True)[1]
-        _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        paths = np.stack([c[first] for c in columns], axis=1) if len(at) else np.zeros((0, k + 1), np.int64)
+        key, steps = _ranked(columns, [low, *[low + 1 + len(self.words)] * k])
+        key, counts = np.unique(key, return_counts=True)
+        paths = _spelt(key, steps)
         if k == 1 and len(at):
             langs, words = np.unique(self.lang, return_counts=True)
             paths, counts = np.concatenate([np.stack([langs, np.full(len(langs), low)], axis=1), paths]), np.concatenate([words, counts])
@@ -219,9 +256,8 @@ class Shard:
 
 
 def _hashed(labels: pa.Array) -> np.ndarray:
-    labels = labels.cast(pa.large_binary())
-    data = np.frombuffer(b"".join(labels.to_pylist()), np.uint8)
-    ends = np.cumsum(pc.binary_length(labels).to_numpy(), dtype=np.int64)
+    sizes, data = _bytes(labels)
+    ends = np.cumsum(sizes, dtype=np.int64)
     return textops.span_hashes(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(labels) else np.zeros(0, np.uint64)
 
 
@@ -268,7 +304,7 @@ def _counter(k: int, bounds, frequent):
             path = lambda i: tuple(labels[j].as_py() for j in paths[i].tolist())
             cuts = [0, *[bisect_left(range(len(paths)), bound, key=path) for bound in bounds.value], len(paths)]
             full = [i for i in range(len(cuts) - 1) if cuts[i] < cuts[i + 1]]
-            parts = [bytes(Transducer.build(labels, paths[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]])) for i in full]
+            parts = [bytes(Transducer.build(labels, paths[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]], minimal=False)) for i in full]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(parts, pa.binary())], ["range", "part"])
 
     return count

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepforge.llm import chat, decontam, dedup_exact, dedup_near, langid, manifest, mixing, phrases, quality, tokens, toxicity, warc
+from stepforge.llm import chat, decontam, dedup_exact, dedup_near, langid, manifest, mixing, phrases, pii, quality, tokens, toxicity, warc
 from stepforge.llm.shared import table
 
 
@@ -58,6 +58,11 @@ def op10_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op11_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.find(docs, pii.fit(docs)))
+
+
 def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_perspective_rotation,
         op9_block_naming,
         op10_weak_label_quality,
+        op11_boosted_pii,
         op12_phrase_automata,
         op13_bitmap_manifest,
         pipeline,

@@ -90,14 +90,14 @@ ORACLE_SQL = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') AS text FROM conversations),
 h AS (SELECT *, CASE WHEN role = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || replace(replace(replace(role, '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>'), chr(10), ' ') || '|>' || chr(10) END AS other,
              text || '<|end|>' || chr(10) AS body FROM t),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS at FROM h),
-b AS (SELECT *, coalesce(sum(length(other) + length(body)) OVER (PARTITION BY conv_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {PART_CHARS} AS part FROM o),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM h),
+b AS (SELECT *, coalesce(sum(length(other) + length(body)) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {PART_CHARS} AS part FROM o),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
 r AS (SELECT b.*, s.speaker, CASE WHEN b.role = s.speaker THEN '<|assistant|>' || chr(10) ELSE other END AS head FROM b JOIN s ON b.conv_id IS NOT DISTINCT FROM s.conv_id),
-p AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM r)
+p AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM r)
 SELECT conv_id, part, speaker, count(*) AS n_turns, sum(length(head) + length(body))::BIGINT AS n_chars,
        coalesce(sum(CASE WHEN role = speaker THEN length(body) END), 0)::BIGINT AS trained_chars,
-       coalesce(string_agg(CASE WHEN role = speaker THEN start::BIGINT::VARCHAR || ':' || length(body)::VARCHAR END, ',' ORDER BY at), '') AS mask_spans,
-       sha256(string_agg(head || body, '' ORDER BY at)) AS rendered_sha256
+       coalesce(string_agg(CASE WHEN role = speaker THEN start::BIGINT::VARCHAR || ':' || length(body)::VARCHAR END, ',' ORDER BY pos), '') AS mask_spans,
+       sha256(string_agg(head || body, '' ORDER BY pos)) AS rendered_sha256
 FROM p GROUP BY conv_id, part, speaker
 """

@@ -6,7 +6,7 @@ The statistics are frozen after the fit, so that the code length of a byte depen
 and a text is scored by exact sums over all its bytes. Each language keeps its own tables of what its contexts have seen
 (``Tree``), so its model and its orders are the same however many languages there are.
 
-The fit uses a sample of labelled rows bounded by ``FIT_DOCS`` texts a language (expected, chosen by a hash of doc_id), the
+The fit uses a sample of labelled rows bounded by ``FIT_DOCS`` texts a language (expected, chosen by a hash of doc_id and text, each such row once), the
 ``LANGUAGES`` languages with the most rows and the ``GRAMS`` most frequent 4-byte sequences of each, so the model that is
 broadcast has a fixed bound: under 2 MB a language. Bytes are read after lower-casing A-Z. The score is the weight of the
 best language when each byte's gap between languages counts for at most ``EVIDENCE`` bytes of text.
@@ -148,8 +148,9 @@ def fit(docs: DataFrame) -> Model | None:
     """The frozen model of the labelled rows of ``docs`` that are not held out; None if there are none."""
     known = texts_of(docs).select("doc_id", "lang", "text").filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    share = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("n") < F.lit(FIT_DOCS * (1 << 30)))
-    sample = known.join(F.broadcast(counts), "lang").filter(share).select("lang", "text")
+    # By doc_id and text, each such row once: rows with a repeated id do not come all at once.
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) * F.col("n") < F.lit(FIT_DOCS * (1 << 30))
+    sample = known.join(F.broadcast(counts), "lang").filter(share).dropDuplicates(["lang", "doc_id", "text"]).select("lang", "text")
     grams = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     most = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = grams.withColumn("rank", F.row_number().over(most)).filter(F.col("rank") <= GRAMS).drop("rank").toPandas()

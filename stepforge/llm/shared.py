@@ -36,12 +36,13 @@ UNNAMED = 1 << 62
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs``, a table read from Parquet, with a last column, under a free name, of each row's key: its doc_id, or a number
-    from ``UNNAMED`` on that no other row has. Such a table has the same parts whenever it is read, so keys agree."""
+    """``docs`` with a last column, under a free name, of each row's key: its doc_id, or a number from ``UNNAMED`` on that no
+    other row has. Rows without a doc_id are written once with their keys, so keys agree however often they are read."""
     name = "key"
     while name in [c.lower() for c in docs.columns]:
         name += "_"
-    return docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.lit(UNNAMED) + F.monotonically_increasing_id()))
+    named = docs.filter("doc_id is not null").withColumn(name, F.col("doc_id").cast("long"))
+    return named.unionAll(written(docs.filter("doc_id is null").withColumn(name, F.lit(UNNAMED) + F.monotonically_increasing_id()), "unnamed"))
 
 
 def without(rows: DataFrame, found: DataFrame) -> DataFrame:

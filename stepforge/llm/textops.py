@@ -105,13 +105,39 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal bytes wherever they stand."""
+def span_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, spans that overlap too. Unlike spans can be made that share it: for buckets of
+    features, which bear that, and never to tell texts apart."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * _powers(len(data) + 1, _BASE)[: len(data)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * _powers(len(data) + 1, _INVERSE)[starts] + (ends - starts).astype(np.uint64))
 
 
+_PLACES = [mixed(np.arange(1, CHUNK, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)]
+
+
+def _places(n: int) -> np.ndarray:
+    """A random odd number for each place in a span."""
+    if n <= len(_PLACES[0]):
+        return _PLACES[0]
+    return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the spans, which come in order and do not overlap: a sum of products of two random numbers,
+    the byte's and that of its place in the span, so that no structure of the bytes makes unlike spans meet."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    before = np.cumsum(size) - size
+    total = int(before[-1] + size[-1])
+    place = np.arange(total) - np.repeat(before, size)
+    bytes_ = data[starts[0] : ends[-1]] if total == ends[-1] - starts[0] else data[place + np.repeat(starts, size)]
+    sums = np.zeros(total + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[bytes_] * _places(int(size.max()))[place], out=sums[1:])
+    return mixed(sums[before + size] - sums[before] + size.astype(np.uint64) * np.uint64(_BASE))
+
+
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of every k hashes in a row, as ``len(hashes) - k + 1`` values, across texts too."""
     if len(hashes) < k:

@@ -155,7 +155,9 @@ class Encoder:
         self.slot_bits = max(SLOT_BITS, (4 * room).bit_length())
         self.keys, self.numbers = np.zeros(1 << self.slot_bits, np.uint64), np.zeros(1 << self.slot_bits, np.int32)
         self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.used = self.known = 0
+        #: The bytes of known pieces: what makes a found piece the same is its bytes, not its key.
+        self.text, self.text_at, self.text_size = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.used = self.known = self.text_used = 0
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - self.slot_bits)).astype(np.int64)
@@ -197,7 +199,14 @@ class Encoder:
         length = np.diff(ends, prepend=0)
         n, m = self.known, len(order)
         while len(self.start) < n + m:
-            self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
+            self.start, self.length, self.text_at, self.text_size = (np.concatenate([x, x]) for x in (self.start, self.length, self.text_at, self.text_size))
+        own = np.frombuffer(b"".join(pieces[i] for i in order), np.uint8)
+        while len(self.text) < self.text_used + len(own):
+            self.text = np.concatenate([self.text, self.text])
+        sizes = np.array([len(pieces[i]) for i in order])
+        self.text[self.text_used : self.text_used + len(own)] = own
+        self.text_at[n : n + m], self.text_size[n : n + m] = self.text_used + np.cumsum(sizes) - sizes, sizes
+        self.text_used += len(own)
         while len(self.flat) < self.used + len(flat):
             self.flat = np.concatenate([self.flat, self.flat])
         self.flat[self.used : self.used + len(flat)] = flat
@@ -210,20 +219,43 @@ class Encoder:
     def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, one after the other, and how many each has."""
         keys = textops.span_hashes(data, starts, ends) | np.uint64(1)
+        number = np.zeros(len(keys), np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            # Pieces whose key another piece has take the next key of theirs.
+            number[left] = self._numbers(data, starts[left], ends[left], keys[left], len(left) == len(keys))
+            left = left[~self._same(data, starts[left], ends[left], number[left])]
+            keys[left] = textops.mixed(keys[left] + np.uint64(2)) | np.uint64(1)
+        length = self.length[number]
+        stop = np.cumsum(length, dtype=np.int64)
+        return self.flat[np.arange(stop[-1]) + np.repeat(self.start[number] - stop + length, length)], length
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether the pieces' bytes are those of the known pieces."""
+        size = ends - starts
+        same = self.text_size[number] == size
+        size = np.where(same, size, 0)
+        before = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(before, size)
+        unlike = data[place + np.repeat(starts, size)] != self.text[place + np.repeat(self.text_at[number], size)]
+        bad = np.flatnonzero(unlike)
+        same[np.searchsorted(before + size, bad, side="right")] = False
+        return same
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, may_forget: bool) -> np.ndarray:
+        """The numbers of the pieces' keys; new ones are encoded."""
         number = self.find(keys)
         new = np.flatnonzero(number < 0)
         if len(new):
             unique, where = np.unique(keys[new], return_index=True)
-            if self.known + len(unique) > PIECES:
+            if may_forget and self.known + len(unique) > PIECES:
                 self.forget(len(keys))
                 unique, where = np.unique(keys, return_index=True)
                 new = np.arange(len(keys))
             where, raw = new[where], data.tobytes()
             self.learn(unique, [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])
             number[new] = self.find(keys[new])
-        length = self.length[number]
-        stop = np.cumsum(length, dtype=np.int64)
-        return self.flat[np.arange(stop[-1]) + np.repeat(self.start[number] - stop + length, length)], length
+        return number
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` after it, and the number of each text's ids."""
@@ -297,7 +329,9 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
     """part, seq, n_ids, shard: the written shards, in ascending (part, seq) and doc_id."""
-    ordered = texts_of(docs).select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows of one doc_id, or of none, differ in the last key, so they too are dealt to many tasks.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("dealt")]
+    ordered = texts_of(docs).select("doc_id", "text").withColumn("dealt", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("dealt")
     return written(ordered.mapInArrow(_shards(tokenizer_path, end, shard_ids), "part int, seq int, n_ids long, shard binary"), "token-shards")
 
 

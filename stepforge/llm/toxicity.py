@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepforge.llm import textops
-from stepforge.llm.shared import texts_of
+from stepforge.llm.shared import discarded, texts_of, written
 
 GRAMS = (4, 5, 6)
 BUCKET_BITS = 20
@@ -45,7 +45,7 @@ def _present(data: np.ndarray, offsets: np.ndarray, index: np.ndarray | None) ->
         if len(heads) <= k:
             continue
         begin, end = heads[:-k], heads[k:]
-        buckets = (textops.span_hashes(data, begin, end) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        buckets = (textops.span_buckets(data, begin, end) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
         if index is not None:
             buckets = index[buckets]
             at = np.flatnonzero(buckets >= 0)
@@ -89,11 +89,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict | None
     spark = docs.sparkSession
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     usable = marks.filter(~held_out())
-    n = usable.count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.lit(n) < F.lit(rows * (1 << 30))
-    sample = texts_of(docs).select("doc_id", "text").join(usable.filter(share), "doc_id").select("label", "text").repartition(spark.sparkContext.defaultParallelism * 2)
+    n = docs.select("doc_id").join(usable, "doc_id").count()
+    # By doc_id and text, each such row once: rows with a repeated id do not come all at once.
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) * F.lit(n) < F.lit(rows * (1 << 30))
+    chosen = texts_of(docs).select("doc_id", "text").filter(share).join(usable, "doc_id").dropDuplicates(["doc_id", "text"])
+    sample = written(chosen.select("label", "text").repartition(spark.sparkContext.defaultParallelism * 2), "toxicity-sample")
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
+        discarded(sample)
         return None
     P, Q = totals[1], totals[0]
     tally = sample.mapInArrow(_tallied, "bucket long, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
@@ -104,6 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict | None
     index = np.full(BUCKETS, -1, dtype=np.int64)
     index[best["bucket"].to_numpy()] = np.arange(len(best))
     seen = sample.mapInArrow(_listed(spark.sparkContext.broadcast(index.astype(np.int16))), "label int, features array<int>").toArrow()
+    discarded(sample)
     y = seen.column("label").to_numpy().astype(float)
     lists = seen.column("features").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists

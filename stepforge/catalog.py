@@ -7,6 +7,7 @@ row whose id is divisible by 100 as a query, or every benchmark item, against al
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from stepforge.functions import similarity
 from stepforge.functions import text as tx
-from stepforge.operators import boosting, chunks, clusters, evaluation, ivf, models, ranking, retrieval, splits
+from stepforge.operators import boosting, chunks, clusters, evaluation, ivf, models, pq, ranking, retrieval, splits
+from stepforge.operators.order import shared_dir
 from stepforge.streaming import push
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -464,6 +466,14 @@ def ivf_topk(spark, sf_dir):
     return rounded(ivf.search(ivf.index(m, centroids), m.filter("vec_id % 100 = 0"), centroids))
 
 
+@query(None)
+def pq_topk(spark, sf_dir):
+    m = memory(spark, sf_dir)
+    path = f"{shared_dir(spark)}/pq-{uuid.uuid4().hex}"
+    pq.build(m, pq.fit(m), path)
+    return rounded(pq.search(pq.opened(spark, path), m.filter("vec_id % 100 = 0")))
+
+
 RANK_FEATURES = ["distance", "rank", "same_variation", "gap"]
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stepforge.functions import similarity
 from stepforge.functions import text as tx
-from stepforge.operators import boosting, chunks, clusters, evaluation, ivf, models, pq, ranking, retrieval, splits
+from stepforge.operators import boosting, chunks, clusters, evaluation, ivf, models, pq, ranking, retrieval, splits, text_clusters
 from stepforge.operators.order import shared_dir
 from stepforge.streaming import push
 
@@ -514,6 +514,23 @@ def turn_similarity(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", before.alias("before")).select("conv_id", "turn", "role", F.round(similarity.sequence_ratio("before", "text"), 6).alias("ratio"))
 
 
+@query(None)
+def state_matches(spark, sf_dir):
+    """Each turn as a state, against the first turn of its conversation as the target."""
+    v = read(spark, sf_dir, "conversations")
+    target = chunks.first_of(v.select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn", "role", "text"]).select("conv_id", F.col("text").alias("target"), F.col("role").alias("target_url"))
+    both = v.join(target, "conv_id")
+    matched = similarity.state_match(F.col("text"), F.col("target"), F.lit(""), F.lit(""))
+    return both.select("conv_id", "turn", "role", F.round(similarity.state_similarity(F.col("text"), F.col("target")), 6).alias("similarity"), matched.alias("matched"))
+
+
+@query(None)
+def text_leaders(spark, sf_dir):
+    """The texts of all turns under their leaders at a similarity of 0.99, element ids left out."""
+    v = read(spark, sf_dir, "conversations")
+    return text_clusters.text_leaders(v.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), tx.without_ids(F.col("text")).alias("text")))
+
+
 @query(None)
 def leader_clusters(spark, sf_dir):
     """Vectors under the queries that lead them: links are the top ten of each query."""

@@ -17,7 +17,7 @@ from stepforge.functions import similarity
 from stepforge.functions import text as tx
 from stepforge.operators import boosting, chunks, clusters, evaluation, ivf, models, pq, ranking, retrieval, splits, text_clusters
 from stepforge.operators.order import shared_dir
-from stepforge.streaming import push
+from stepforge.streaming import push, triggers, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -449,6 +449,30 @@ def windowed_events(spark, sf_dir):
     return push.windowed_counts(read(spark, sf_dir, "events")).select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""WITH s AS (SELECT event_type, value, unnest([time_bucket(INTERVAL 30 minutes, ts), time_bucket(INTERVAL 30 minutes, ts) - INTERVAL 30 minutes]) AS start FROM events)
+SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY 1, 2""")
+def sliding_windows(spark, sf_dir):
+    return windows.sliding(read(spark, sf_dir, "events"), "1 hour", "30 minutes").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 hours THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT min(ts) AS start, max(ts) + INTERVAL 6 hours AS "end", user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session""")
+def session_windows(spark, sf_dir):
+    return windows.sessions(read(spark, sf_dir, "events"), "6 hours").withColumn("total", F.round("total", 4))
+
+
+@query("""WITH f AS (SELECT conv_id, min_by(text, turn) AS text FROM conversations GROUP BY 1)
+SELECT v.conv_id::VARCHAR AS trajectory, min(v.turn) AS step FROM conversations v JOIN f ON f.conv_id = v.conv_id + 1 WHERE v.role = 'assistant' GROUP BY 1""")
+def state_triggers(spark, sf_dir):
+    """Each conversation's first assistant turn: its target is told by the url, here the role."""
+    v = read(spark, sf_dir, "conversations")
+    targets = chunks.first_of(v.select("conv_id", "turn", "text"), ["conv_id"], ["turn", "text"])
+    targets = targets.select((F.col("conv_id") - 1).cast("string").alias("trajectory"), F.lit("no such page").alias("target_observation"), F.lit("assistant").alias("target_url"))
+    steps = v.select(F.col("conv_id").cast("string").alias("trajectory"), F.col("turn").alias("step"), F.col("text").alias("observation"), F.col("role").alias("url"))
+    return triggers.first_triggers(steps, targets)
+
+
 @query("SELECT t.conv_id, t.turn, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS status FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY role, md5(text)) AS n FROM conversations) t")
 def chunk_align(spark, sf_dir):
     v = read(spark, sf_dir, "conversations").withColumn("signature", F.md5("text"))

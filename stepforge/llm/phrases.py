@@ -38,7 +38,7 @@ WITHIN = 80
 SCALE = 2_000_000
 SHARD = 4 << 20
 #: Bytes of text for each prefix range, and the most ranges.
-RANGE_BYTES, RANGES = 4 << 20, 1 << 16
+RANGE_BYTES, RANGES = 8 << 20, 1 << 16
 SAMPLE_DOCS, SAMPLE_PATHS = 2000, 32
 FILTER_BITS = 26
 
@@ -58,6 +58,15 @@ def _bytes(labels: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(offsets), data[offsets[0] : offsets[-1]]
 
 
+def _sorted(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values in ascending order, and the place of each value among them."""
+    coded = values.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return coded.dictionary.take(order), place[coded.indices.to_numpy()] if len(values) else np.zeros(0, np.int64)
+
+
 def _ranked(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, list[tuple[np.ndarray, int, int]]]:
     """A number for each row of ``columns`` (each below its size), in the order of the rows, and how to spell it again."""
     key, room, steps = columns[0].astype(np.int64), sizes[0], []
@@ -158,16 +167,16 @@ class Transducer:
     @classmethod
     def united(cls, parts: list["Transducer"], least: int) -> "Transducer | None":
         """The union of all paths, with the sums of their weights, without those below ``least``."""
-        labels = pa.chunked_array([p.labels for p in parts]).combine_chunks().unique()
-        labels = labels.take(pc.sort_indices(labels))
-        rows, weights = [], []
+        labels, place = _sorted(pa.concat_arrays([p.labels.cast(pa.large_binary()) for p in parts]))
+        rows, weights, at = [], [], 0
         for p in parts:
             paths, weight = p.paths()
-            rows.append(pc.index_in(p.labels, value_set=labels).to_numpy().astype(np.int64)[paths])
+            rows.append(place[at : at + len(p.labels)][paths])
             weights.append(weight)
+            at += len(p.labels)
         paths, weights = np.concatenate(rows), np.concatenate(weights)
         key, steps = _ranked(list(paths.T), [len(labels)] * paths.shape[1])
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sums = np.add.reduceat(weights[order], first)
@@ -197,32 +206,23 @@ class Shard:
 
     def __init__(self, langs: pa.Array, texts: pa.Array):
         # One language after the other in the labels' order; words after all languages.
-        coded = pc.dictionary_encode(langs.cast(pa.large_binary()))
-        order = pc.sort_indices(coded.dictionary)
-        place = np.empty(len(order), np.int64)
-        place[order.to_numpy()] = np.arange(len(order))
-        lang = place[coded.indices.to_numpy()] if len(langs) else np.zeros(0, np.int64)
-        self.langs = coded.dictionary.take(order)
+        self.langs, lang = _sorted(langs.cast(pa.large_binary()))
         _, _, data, offsets = next(textops.chunks(texts, 1 << 62))
         data = textops.LOWER[data]
         offsets, owner = _cut(data, offsets)
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
         solid = np.append(~_GAP[data], False)
-        starts = np.flatnonzero(solid[:-1] & (edge[:-1] | ~np.concatenate([[False], solid[:-2]])) if len(data) else np.zeros(0, bool))
-        ends = np.flatnonzero(solid[:-1] & (edge[1:] | ~solid[1:])) + 1 if len(data) else starts
-        breaks = np.cumsum(np.append(_BREAK[data], False) | edge) if len(data) else np.zeros(1, np.int64)
-        self.piece = breaks[starts]
+        first, last = edge.copy(), edge.copy()
+        first[1:] |= ~solid[:-1]
+        last |= ~solid
+        starts, ends = np.flatnonzero(first & solid), np.flatnonzero(last[1:] & solid[:-1]) + 1
+        self.piece = np.searchsorted(np.flatnonzero(np.append(_BREAK[data], False) | edge), starts, side="right")
         self.lang = lang[owner[np.searchsorted(offsets, starts, side="right") - 1]] if len(starts) else np.zeros(0, np.int64)
         sizes = ends - starts
         bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[solid[:-1]])])
-        coded = words.dictionary_encode()
-        order = pc.sort_indices(coded.dictionary)
-        place = np.empty(len(order), np.int64)
-        place[order.to_numpy()] = np.arange(len(order))
-        self.word = place[coded.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64)
-        self.words = coded.dictionary.take(order)
+        self.words, self.word = _sorted(words)
 
     def labels(self) -> pa.Array:
         """Languages and then words: places in this array are the labels of paths. The empty word stands for all words."""

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepforge.catalog import query, read
+from stepforge.catalog import candidates, query, read
+from stepforge.functions import responses
 from stepforge.functions.documents import find_key
 from stepforge.functions import text as tx
-from stepforge.operators import chunks, runs, splits
+from stepforge.operators import chunks, ranking, runs, splits
 
 # ---- keys and names ----------------------------------------------------------------------------------------------
 
@@ -370,3 +371,69 @@ def action_causes(spark, sf_dir):
     context = F.when(i % 4 == 0, F.concat(F.lit("step 3: GO to "), kind, F.lit(" then stop"))).otherwise(F.lit(""))
     options = F.when(i % 4 == 3, F.array(F.lit("sleep"))).otherwise(F.array(F.concat(F.lit("open "), kind, F.lit(" door")), F.concat(F.lit("red "), kind, F.lit(" stays"))))
     return read(spark, sf_dir, "events").select("event_id", runs.cause(action, context, options).alias("cause"))
+
+
+# ---- answers, quotas under capacities, comparison passes ---------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, text, turn % 4 AS form FROM conversations),
+p AS (SELECT *, CASE form WHEN 0 THEN 'fenced' WHEN 3 THEN 'none' ELSE 'json' END AS kind, CASE WHEN form < 3 THEN role END AS action, CASE form WHEN 0 THEN trim(text, chr(9) || chr(10) || chr(13) || ' ') WHEN 1 THEN text WHEN 2 THEN 'go {on}' ELSE '' END AS reasoning FROM t)
+SELECT conv_id, turn, role, kind AS form, action, md5(reasoning) AS reasoning, CASE WHEN kind = 'none' THEN 'json_parse' WHEN action = 'user' THEN 'ok' ELSE 'invalid_action' END AS status FROM p""")
+def parsed_responses(spark, sf_dir):
+    """Answers made of each turn: fenced, a JSON object in prose, one after braces that are none, and neither."""
+    v, form = read(spark, sf_dir, "conversations"), F.col("turn") % 4
+    as_json = F.to_json(F.struct(F.col("text").alias("reasoning"), F.col("role").alias("action")))
+    fenced = F.concat("text", F.lit("\nIn summary, the next action I will perform is ```"), "role", F.lit("``` or ```none```"))
+    broken = F.concat(F.lit("a {set} of {x: "), F.to_json(F.struct(F.lit("go {on}").alias("reasoning"), F.col("role").alias("action"))), F.lit(" and more"))
+    answer = F.when(form == 0, fenced).when(form == 1, F.concat(F.lit("Sure: "), as_json, F.lit(" }"))).when(form == 2, broken).otherwise(F.regexp_replace("text", "[{}]", ""))
+    made = v.select("conv_id", "turn", "role", responses.parsed_response(answer).alias("p")).select("conv_id", "turn", "role", "p.*")
+    status = responses.response_status(F.col("form"), F.col("action"), responses.listed_action(F.col("action"), F.array(F.lit("user"))))
+    return made.select("conv_id", "turn", "role", "form", "action", F.md5("reasoning").alias("reasoning"), status.alias("status"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN user_id % 2 = 0 WHEN 2 THEN false ELSE false END AS element_valid, user_id % 3 = 0 AS listed FROM events""")
+def action_validity(spark, sf_dir):
+    """Standard verbs, verbs of elements that are on the page or not, other verbs, and no verb; and plain membership."""
+    e, i, u = read(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id").cast("string")
+    action = F.when(i % 4 == 0, F.concat(F.lit(" scroll ["), u, F.lit("] "))).when(i % 4 == 1, F.concat(F.lit("click ["), u, F.lit("] fast"))).when(i % 4 == 2, F.concat(F.lit("drag ["), u, F.lit("]"))).otherwise("type")
+    elements = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("x"), u)).otherwise(F.array(F.lit("x")))
+    admissible = F.when(F.col("user_id") % 3 == 0, F.array("event_type", F.lit("x")))
+    return e.select("event_id", responses.element_action(action, elements).alias("element_valid"), responses.listed_action(F.col("event_type"), admissible).alias("listed"))
+
+
+CAPPED = """WITH c AS (SELECT p_type, count(*) AS cap FROM part GROUP BY 1), g AS (SELECT *, least(cap, 1) AS first FROM c), t AS (SELECT floor(0.6 * sum(cap)) AS total, sum(first) AS given FROM g),
+r AS (SELECT *, cap - first AS room, total - given AS rest, sum(cap - first) OVER () AS rooms FROM g, t), f AS (SELECT *, floor(rest * room / rooms)::BIGINT AS low FROM r),
+q AS (SELECT *, rest - sum(low) OVER () AS spare, row_number() OVER (ORDER BY room > low DESC, rest * room - low * rooms DESC, cap DESC, p_type DESC) AS turn FROM f)
+SELECT p_type, cap, (first + low + (turn <= spare)::INT)::BIGINT AS quota FROM q"""
+
+
+@query(CAPPED.replace("rest * room / rooms", "(rest * room)::HUGEINT // rooms"))
+def capped_quotas(spark, sf_dir):
+    strata = read(spark, sf_dir, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("cap"))
+    return splits.capped_quotas(strata, "p_type", int(read(spark, sf_dir, "part").count() * 0.6), 1)
+
+
+@query("SELECT 'test' AS part, least(100, (SELECT count(*) FROM part))::BIGINT AS n UNION ALL SELECT 'validation', (SELECT count(*) FROM part) - 100")
+def split_sizes(spark, sf_dir):
+    """A test split of exactly 100 rows over the brands, each of which is in it."""
+    out = splits.split_sample(read(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", 100, "s2")
+    return out.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TVD = "SELECT '{0}' AS attribute, 'variation' AS kind, round(sum(abs(coalesce(a.n, 0) / (SELECT count(*) FROM l)::DOUBLE - coalesce(b.n, 0) / (SELECT count(*) FROM r)::DOUBLE)) / 2, 6) AS distance FROM (SELECT {1} AS k, count(*) AS n FROM l GROUP BY 1) a FULL JOIN (SELECT {1} AS k, count(*) AS n FROM r GROUP BY 1) b USING (k)"
+_GROUPS = {"p_brand": "p_brand", "p_container": "p_container", "p_mfgr": "p_mfgr", "p_brand+p_container": "p_brand || p_container", "p_brand+p_mfgr": "p_brand || p_mfgr", "p_container+p_mfgr": "p_container || p_mfgr", "p_brand+p_container+p_mfgr": "p_brand || p_container || p_mfgr"}
+
+
+@query(f"""WITH l AS (SELECT p_brand, coalesce(p_type, '') AS p_container, split_part(p_type, ' ', 1) AS p_mfgr, p_size FROM part WHERE p_partkey % 5 = 0), r AS (SELECT p_brand, coalesce(p_type, '') AS p_container, split_part(p_type, ' ', 1) AS p_mfgr, p_size FROM part)
+{' UNION ALL '.join(_TVD.format(n, e) for n, e in _GROUPS.items())} UNION ALL SELECT 'p_size', 'median_gap', round(abs((SELECT quantile_cont(p_size, 0.5) FROM l) - (SELECT quantile_cont(p_size, 0.5) FROM r)), 6)""")
+def shift_distances(spark, sf_dir):
+    """A fifth of the parts against all: seven distances and the gap of the medians."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.coalesce("p_type", F.lit("")).alias("p_container"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("p_mfgr"), "p_size")
+    return splits.shift_report(part.filter("p_partkey % 5 = 0"), part, ["p_brand", "p_container", "p_mfgr"], "p_size")
+
+
+@query(None)
+def pass_sorted(spark, sf_dir):
+    """The candidates of each query by five passes of comparisons that contradict each other."""
+    better = F.expr("(l.vec_id * 7 + r.vec_id * 3) % 5 < 2")
+    return ranking.pass_sorted(candidates(spark, sf_dir), "query_id", "vec_id", better, 5).select("query_id", "vec_id", "rank", "final_rank")

@@ -70,13 +70,22 @@ def full_key(goal: Column, state: Column, context: Column, progress: Column) ->
 
 
 def _between(text: Column, label: str, following: tuple[str, ...]) -> Column:
-    """What stands after ``label`` and before the first of the ``following`` labels; '' where one is missing."""
+    """What stands, without the blanks around it, after ``label`` and before the first of the ``following`` labels; '' where one is missing."""
     opening = F.lit(f"{label}: ") if label == LABELS[0] else F.lit(f" | {label}: ")
     at = F.instr(text, opening)
     rest = F.substring(text, at + F.length(opening), F.length(text))
     ends = [F.nullif(F.instr(rest, F.lit(f" | {name}:")), F.lit(0)) for name in following]
     end = F.least(*ends) if len(ends) > 1 else ends[0] if ends else F.length(rest) + 1
-    return F.when((at > 0) & end.isNotNull() & ((at == 1) | F.lit(label != LABELS[0])), F.substring(rest, F.lit(1), end - 1)).otherwise(F.lit(""))
+    return F.when((at > 0) & end.isNotNull() & ((at == 1) | F.lit(label != LABELS[0])), F.regexp_replace(F.substring(rest, F.lit(1), end - 1), r"^\s+|\s+$", "")).otherwise(F.lit(""))
+
+
+def guidance_length(steps: Column, key: Column) -> Column:
+    """Words of the steps (action, observation) as one JSON list, its separators a comma or colon and a blank; of the key
+    where there are no steps. White space in a value is escaped but for blanks, so it parts no words."""
+    value = lambda v: F.coalesce(F.concat(F.lit('"'), F.regexp_replace(v, r"[\s&&[^ ]]|[\x1c-\x1f\x85\p{Z}&&[^ ]]", "n"), F.lit('"')), F.lit("null"))
+    listed = F.transform(steps, lambda s: F.concat(F.lit('{"action": '), value(s["action"]), F.lit(', "observation": '), value(s["observation"]), F.lit("}")))
+    words = lambda text: F.size(F.filter(F.split(text, " "), lambda w: w != ""))
+    return F.when(F.coalesce(F.size(steps), F.lit(0)) > 0, words(F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")))).otherwise(F.size(tokens(key)))
 
 
 def step_number(text: Column) -> Column:

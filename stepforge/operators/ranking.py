@@ -11,10 +11,12 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from stepforge.functions import text as tx
 
@@ -236,3 +238,43 @@ def win_rates(points: DataFrame, group: str, key: str) -> DataFrame:
 def zscores(df: DataFrame, group: str, column: str) -> Column:
     w = Window.partitionBy(group)
     return (F.col(column) - F.avg(column).over(w)) / F.coalesce(F.nullif(F.stddev_pop(column).over(w), F.lit(0.0)), F.lit(1.0))
+
+
+def pass_order(size: int, wins: set[tuple[int, int]], k: int) -> list[int]:
+    """The order that ``k`` passes of exchanges from the end of a list leave it in, by answers that may contradict each other.
+
+    wins: (a, b) where a is better than b, by their places at first. Pass i exchanges neighbours down to place i; it begins one
+    behind the place where the pass before made its first exchange, since nothing further down has moved. A pass without an
+    exchange is the last."""
+    order, begin = list(range(size)), size - 1
+    for i in range(min(k, size)):
+        first = None
+        for at in range(begin, i, -1):
+            if (order[at], order[at - 1]) in wins:
+                order[at - 1], order[at] = order[at], order[at - 1]
+                first = first or at
+        if first is None:
+            break
+        begin = min(first + 1, size - 1)
+    return order
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _passed(sizes: pd.Series, wins: pd.Series, ks: pd.Series) -> pd.Series:
+    return pd.Series([pass_order(int(n), {(w["a"], w["b"]) for w in won}, int(k)) for n, won, k in zip(sizes, wins, ks)])
+
+
+def pass_sorted(candidates: DataFrame, group: str, key: str, better: Column, k: int) -> DataFrame:
+    """``candidates`` (with rank) with final_rank: sorted by ``k`` passes of exchanges (``pass_order``).
+
+    ``better`` compares columns l.* with r.* of a bounded list, each ordered pair once."""
+    own = Window.partitionBy(group).orderBy("rank", key)
+    placed = candidates.withColumn("place_", (F.row_number().over(own) - 1).cast("int"))
+    l, r = placed.alias("l"), placed.alias("r")
+    won = l.join(r, (F.col(f"l.{group}") == F.col(f"r.{group}")) & (F.col("l.place_") != F.col("r.place_")) & better)
+    won = won.groupBy(F.col(f"l.{group}").alias(group)).agg(F.collect_list(F.struct(F.col("l.place_").alias("a"), F.col("r.place_").alias("b"))).alias("won"))
+    sizes = placed.groupBy(group).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    orders = sizes.join(won, group, "left").select(group, _passed(F.col("n"), F.coalesce("won", none), F.lit(k)).alias("order"))
+    orders = orders.select(group, F.posexplode("order").alias("at", "place_"))
+    return placed.join(orders, [group, "place_"]).withColumn("final_rank", (F.col("at") + 1).cast("int")).drop("place_", "at")

@@ -116,3 +116,80 @@ def bin_label(column: Column, edges: list) -> Column:
     for low, high in zip(edges, edges[1:]):
         out = out.when(column <= high, f"{low + 1}-{high}")
     return out.otherwise(f">= {edges[-1] + 1}")
+
+
+def capped_quotas(strata: DataFrame, key: str, total: int, least: int = 0) -> DataFrame:
+    """key, cap, quota: ``total`` shared over strata (key, cap) that can take at most ``cap`` each.
+
+    Every stratum that is not empty first gets ``least`` (or all it has) where the total suffices for that; the rest goes by
+    the capacity that is left, rounded down, and what remains by the largest fractions, then sizes, then keys, one each. A
+    total beyond all capacity is refused. Strata are a bounded dimension: they are ranked in one window."""
+    known = strata.select(key, F.coalesce(F.col("cap"), F.lit(0)).cast("long").alias("cap"))
+    room, eligible, low = known.agg(F.sum("cap"), F.count_if(F.col("cap") > 0), F.min("cap")).first()
+    if total < 0 or least < 0 or (low or 0) < 0:
+        raise ValueError("quotas and capacities are not negative")
+    if total > (room or 0):
+        raise ValueError(f"a total of {total} is beyond the capacity of {room or 0}")
+    first = F.least(F.lit(least), F.col("cap")) if least * (eligible or 0) <= total else F.lit(0)
+    given = known.withColumn("first", first.cast("long")).withColumn("room", F.col("cap") - F.col("first"))
+    rooms, firsts_ = given.agg(F.sum("room"), F.sum("first")).first()
+    rest = total - (firsts_ or 0)
+    # Whole division and its remainder: exact for any size.
+    share = F.lit(rest).cast("decimal(19,0)") * F.col("room").cast("decimal(19,0)")
+    given = given.withColumn("floor", (F.expr("0L") if not rooms else F.floor(share / F.lit(rooms))).cast("long"))
+    over = (share - F.col("floor").cast("decimal(19,0)") * F.lit(rooms or 1)).cast("decimal(38,0)")
+    given = given.withColumn("over", over).withColumn("left", F.lit(rest) - F.sum("floor").over(Window.partitionBy()))
+    # Fractions leave fewer units than there are strata with room, so one round is enough.
+    turn = F.row_number().over(Window.orderBy(F.desc(F.col("room") > F.col("floor")), F.desc("over"), F.desc("cap"), F.desc(key)))
+    return given.withColumn("turn", turn).select(key, "cap", (F.col("first") + F.col("floor") + (F.col("turn") <= F.col("left")).cast("long")).alias("quota"))
+
+
+def split_quotas(strata: DataFrame, key: str, size: int) -> DataFrame:
+    """key, cap, quota of a test split of exactly ``size`` rows (or all there are): each stratum's share rounded down, but one
+    at least; where that is too much, units go from the largest quotas, and where it is too little they come to the strata
+    with the most rows left, the first key first. Strata with more keys than ``size`` are refused: see ``split_sample``.
+
+    A unit is a row of one window: as many as the quotas have, and at most one for each pair of strata to be added."""
+    known = strata.filter("cap > 0").select(key, F.col("cap").cast("long").alias("cap"))
+    keys, rows = known.agg(F.count(F.lit(1)), F.sum("cap")).first()
+    size = min(size, rows or 0)
+    if keys > size:
+        raise ValueError(f"{keys} strata do not fit into {size} rows")
+    share = F.floor(F.col("cap").cast("decimal(19,0)") * F.lit(size) / F.lit(rows or 1)).cast("long")
+    given = known.withColumn("quota", F.least(F.greatest(F.lit(1), share), F.col("cap")))
+    surplus = (given.agg(F.sum("quota")).first()[0] or 0) - size
+    if surplus > 0:
+        units = given.filter("quota > 1").select(key, F.explode(F.sequence(F.lit(2).cast("long"), F.col("quota"))).alias("height"))
+        ordered, sign = [F.desc("height"), key], -1
+    else:
+        need = F.least(F.col("cap") - F.col("quota"), F.lit(-surplus))
+        units = given.withColumn("need", need).filter("need > 0").select(key, F.explode(F.sequence(F.col("cap") - F.col("quota") - F.col("need") + 1, F.col("cap") - F.col("quota"))).alias("height"))
+        ordered, sign = [F.desc("height"), key], 1
+    moved = units.withColumn("turn", F.row_number().over(Window.orderBy(*ordered))).filter(F.col("turn") <= abs(surplus))
+    moved = moved.groupBy(key).agg(F.count(F.lit(1)).alias("moved"))
+    return given.join(moved, key, "left").select(key, "cap", (F.col("quota") + sign * F.coalesce("moved", F.lit(0))).alias("quota"))
+
+
+def split_sample(df: DataFrame, key: str, id_: str, size: int, seed: str) -> DataFrame:
+    """``df`` with part, ``test`` or ``validation``: a test split of ``size`` rows, stratified by ``key`` where no more strata
+    than rows are asked for, else the first rows in the order of a seeded digest of the id."""
+    strata = df.groupBy(key).agg(F.count(F.lit(1)).alias("cap"))
+    if strata.count() <= min(size, df.count()):
+        chosen = stratified(df, key, id_, split_quotas(strata, key, size), seed).select(id_)
+    else:
+        chosen = df.select(id_).orderBy(F.md5(F.concat(F.lit(seed), F.col(id_).cast("string"))), id_).limit(size)
+    return df.join(chosen.withColumn("part", F.lit("test")), id_, "left").withColumn("part", F.coalesce("part", F.lit("validation")))
+
+
+def shift_report(left: DataFrame, right: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """attribute, kind and distance: the total variation of each of ``keys``, of each pair of them and of all together, and the
+    gap between the medians of ``number``."""
+    named = {k: F.col(k).cast("string") for k in keys}
+    together = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :]] + ([tuple(keys)] if len(keys) > 2 else [])
+    for group in together:
+        named["+".join(group)] = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in group]))
+    wide = lambda d: d.select(*[c.alias(n) for n, c in named.items()])
+    found = shifts(wide(left), wide(right), list(named)).select("attribute", F.lit("variation").alias("kind"), F.col("tvd").alias("distance"))
+    middle = lambda d, name: d.agg(F.percentile(number, F.lit(0.5)).alias(name))  # noqa: E731  one row
+    gap = middle(left, "a").crossJoin(F.broadcast(middle(right, "b")))
+    return found.unionByName(gap.select(F.lit(number).alias("attribute"), F.lit("median_gap").alias("kind"), F.round(F.abs(F.col("a") - F.col("b")), 6).alias("distance")))

@@ -43,10 +43,13 @@ def discarded(*tables: DataFrame) -> None:
 def numbered(rows: DataFrame, *order) -> DataFrame:
     """``rows`` with ``place``, each row's place (from 0) in ``order``: a range partitioning, and one number for each part.
 
-    The columns part, at, first and shift are its own."""
-    own = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ordered")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = own.groupBy(F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("held"))
-    parts = parts.select("part", (F.coalesce(F.sum("held").over(before), F.lit(0)) - F.col("least")).alias("shift"))
+    A column ``place`` of ``rows`` is replaced; all others stay, whatever their names."""
+    taken = {c.lower() for c in rows.columns}
+    at, part, shift = (next(name for name in (f"{base}{'_' * i}" for i in range(len(taken) + 1)) if name not in taken) for base in ("at", "part", "shift"))
+    own = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "ordered")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = own.groupBy(F.shiftright(at, 33).alias(part)).agg(F.min(at).alias("first_"), F.count(F.lit(1)).alias("held_"))
+    parts = parts.select(part, (F.coalesce(F.sum("held_").over(before), F.lit(0)) - F.col("first_")).alias(shift))
     # One row for each partition of the shuffle is broadcast.
-    return own.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(parts), "part").withColumn("place", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+    placed = own.withColumn(part, F.shiftright(at, 33)).join(F.broadcast(parts), part).withColumn("place", F.col(at) + F.col(shift))
+    return placed.drop(part, at, shift)

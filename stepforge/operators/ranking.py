@@ -1,8 +1,9 @@
 """Weighted text search, rank fusion, all-pair points and within-query normalisation.
 
-A search sets a stated query set, in blocks of ``BLOCK`` queries, against all documents. A task counts only the units (terms,
-tokens or bigrams) that the block's queries hold, scores its documents as a matrix product and keeps the best k of each
-query, so that neither documents nor pairs are shuffled, however common a term is; a window ranks the kept rows.
+A search sets a stated query set, in blocks of at most about ``BLOCK`` queries and ``UNITS`` units (terms, tokens or bigrams)
+of them, against all documents. What is broadcast is a block's postings: the queries and weights of each unit. A task adds
+up, for its documents, the postings of the units they hold, and keeps the best k of each query, so that neither documents nor
+pairs are shuffled, however common a term is, and memory does not grow with the vocabulary; a window ranks the kept rows.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from stepforge.functions import text as tx
 
-BLOCK = 1024
-#: Cells of a task's matrices: documents at once times units of the block, or times its queries.
+BLOCK, UNITS = 1024, 500_000
+#: Postings that a task adds up at once (those of one document at least), and cells of documents and queries.
 CELLS = 2_000_000
 #: Terms of a corpus whose weights may be sent to all tasks: about 40 MB; beyond, they are joined.
 TERMS = 1_000_000
@@ -42,40 +43,66 @@ def _rounded(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5) / 1e6
 
 
-Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
+#: What a (document, unit) adds, from its count and the document's size; and the values of the sums of (document, query)
+#: pairs, from the sums, the documents' facts and sizes, and the queries' own numbers.
+Part = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Finish = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
 
 
-def _searcher(shared, k: int, score: Scorer):
+def _cells(lists: pa.Array, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, unit and count of the known units of some documents, by document."""
+    found = pc.index_in(lists.flatten(), value_set=units).fill_null(-1).to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    cells, counts = np.unique(owner[found >= 0] * len(units) + found[found >= 0], return_counts=True)
+    return cells // max(1, len(units)), cells % max(1, len(units)), counts.astype(np.float64)
+
+
+def _searcher(shared, k: int, part: Part, finish: Finish):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, units, weights, held = shared.value
+        ids, units, first, query, weight, own = shared.value
         units = pa.array(units, pa.string())
-        step = max(1, CELLS // max(len(units), len(ids)))
+        many, width = np.diff(first), len(ids)
         for batch in batches:
-            for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
-                lists = part.column(1)
-                found = pc.index_in(lists.flatten(), value_set=units).fill_null(-1).to_numpy()
-                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[found >= 0]
-                counts = np.bincount(owner * len(units) + found[found >= 0], minlength=len(lists) * len(units)).reshape(len(lists), len(units)).astype(np.float64)
-                values = score(counts, weights, np.diff(lists.offsets.to_numpy()).astype(np.float64), part.column(2).to_numpy(zero_copy_only=False))
-                met = (counts > 0).astype(np.float32) @ held.astype(np.float32) > 0
-                order = np.where(met, values[0], -np.inf)
-                if len(lists) > k:
-                    met &= order >= np.partition(order, len(lists) - k, axis=0)[len(lists) - k]
-                row, column = np.nonzero(met)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[column]), part.column(0).take(pa.array(row)), *[pa.array(v[row, column]) for v in values]], [f"c{i}" for i in range(2 + len(values))])
+            size, fact = np.diff(batch.column(1).offsets.to_numpy()).astype(np.float64), batch.column(2).to_numpy(zero_copy_only=False)
+            doc, unit, count = _cells(batch.column(1), units)
+            value = part(count, size[doc])
+            work, begin = np.cumsum(many[unit]), np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            upto, a = np.append(0, work)[begin], 0
+            while a < batch.num_rows:
+                b = max(a + 1, min(int(np.searchsorted(upto, upto[a] + CELLS, side="right")) - 1, a + max(1, CELLS // width)))
+                rows = slice(begin[a], begin[b])
+                each = many[unit[rows]]
+                posting = np.arange(int(each.sum())) + np.repeat(first[unit[rows]] - np.cumsum(each) + each, each)
+                cell = np.repeat((doc[rows] - a) * width, each) + query[posting]
+                hits = np.bincount(cell, minlength=(b - a) * width)
+                met = np.flatnonzero(hits)
+                sums = np.bincount(cell, np.repeat(value[rows], each) * weight[posting], minlength=(b - a) * width)[met]
+                row, column = met // width + a, met % width
+                values = finish(sums, fact[row], size[row], own[column])
+                if b - a > k:
+                    # Only those that are among a query's best k here, ties too.
+                    order = np.lexsort((-values[0], column))
+                    turn = np.arange(len(order)) - np.searchsorted(column[order], column[order])
+                    worst = np.full(width, -np.inf)
+                    last = order[turn == k - 1]
+                    worst[column[last]] = values[0][last]
+                    keep = values[0] >= worst[column]
+                    row, column, values = row[keep], column[keep], tuple(v[keep] for v in values)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[column]), batch.column(0).take(pa.array(row)), *[pa.array(v) for v in values]], [f"c{i}" for i in range(2 + len(values))])
+                a = b
 
     return search
 
 
-def _search(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, score: Scorer, names: list[str], weigh: Callable) -> DataFrame:
+def _search(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k: int, part: Part, finish: Finish, names: list[str], weigh: Callable) -> DataFrame:
     """query_key, doc_key, ``names`` (the first ranks, ties by doc_key) and rank, of pairs that share a held unit.
 
-    docs: doc_key, units (array), fact (double); queries: query_key, units. From the counts (units by queries) of a block,
-    ``weigh`` gives the weights, and which of them are held."""
+    docs: doc_key, units (array), fact (double); queries: query_key, units. ``weigh`` gives, of a block's units and the
+    (unit, query, count) of its queries, their weights (nan where not held) and a number of each query."""
     spark = docs.sparkSession
     own = queries.select(query_key, "units").filter(F.size("units") > 0)
-    blocks = max(1, -(-own.count() // BLOCK))
+    n, total = own.agg(F.count(F.lit(1)), F.sum(F.size("units"))).first()
+    blocks = max(1, -(-n // BLOCK), -(-(total or 0) // UNITS))
     schema = f"{query_key} long, {doc_key} long, " + ", ".join(f"{name} double" for name in names)
     found = None
     for b in range(blocks):
@@ -84,15 +111,14 @@ def _search(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, k
             continue
         units = sorted({u for r in rows for u in r["units"]})
         place = {u: i for i, u in enumerate(units)}
-        counts = np.zeros((len(units), len(rows)))
-        for j, r in enumerate(rows):
-            for u, c in Counter(r["units"]).items():
-                counts[place[u], j] = c
-        weights, held = weigh(units, counts)
-        kept = held.any(axis=1)
-        shared = spark.sparkContext.broadcast((np.array([r[query_key] for r in rows], dtype=np.int64), [u for u, ok in zip(units, kept) if ok], weights[kept], held[kept]))
-        part = docs.select(F.col(doc_key).cast("long"), "units", F.col("fact").cast("double")).mapInArrow(_searcher(shared, k, score), schema)
-        found = part if found is None else found.unionByName(part)
+        held = [(place[u], j, c) for j, r in enumerate(rows) for u, c in Counter(r["units"]).items()]
+        unit, query, count = (np.array(x) for x in zip(*sorted(held)))
+        weight, numbers = weigh(units, unit, query, count.astype(np.float64), len(rows))
+        ok = ~np.isnan(weight)
+        first = np.searchsorted(unit[ok], np.arange(len(units) + 1))
+        shared = spark.sparkContext.broadcast((np.array([r[query_key] for r in rows], dtype=np.int64), units, first, query[ok], weight[ok], numbers))
+        hits = docs.select(F.col(doc_key).cast("long"), "units", F.col("fact").cast("double")).mapInArrow(_searcher(shared, k, part, finish), schema)
+        found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = spark.createDataFrame([], schema)
     return topk(found, query_key, [F.desc(names[0]), doc_key], k)
@@ -133,15 +159,15 @@ def tfidf_topk(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str
         norms = tf.join(df.hint("merge"), "term").groupBy(doc_key).agg(F.sqrt(F.sum((F.col("tf") * weight) ** 2)).alias("fact"))
         own = own.join(norms, doc_key)
 
-    def score(counts, weights, _, norm):
-        return (_rounded(counts @ weights / np.maximum(norm, 1e-300)[:, None]),)
+    def finish(sums, norm, _, __):
+        return (_rounded(sums / np.maximum(norm, 1e-300)),)
 
-    def weigh(units, counts):
-        idf = _weights(df, units, weight)[:, None]
-        held, idf = (counts > 0) & ~np.isnan(idf), np.nan_to_num(idf)
-        return counts * idf * idf / np.maximum(np.sqrt(((counts * idf) ** 2).sum(axis=0)), 1e-300), held
+    def weigh(units, unit, query, count, many):
+        idf = _weights(df, units, weight)[unit]
+        norm = np.sqrt(np.bincount(query, np.nan_to_num(count * idf) ** 2, minlength=many))
+        return count * idf * idf / np.maximum(norm, 1e-300)[query], np.zeros(many)
 
-    out = _search(own, queries.select(query_key, terms(F.col("text")).alias("units")), doc_key, query_key, k, score, ["score"], weigh)
+    out = _search(own, queries.select(query_key, terms(F.col("text")).alias("units")), doc_key, query_key, k, lambda count, _: count, finish, ["score"], weigh)
     df.unpersist()
     return out.select(query_key, doc_key, "score", "rank")
 
@@ -155,15 +181,13 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str,
     df = document_frequency(docs).persist()
     floor = epsilon * (df.agg(F.avg(raw)).first()[0] or 0.0)
 
-    def score(counts, weights, size, _):
-        part = counts * (k1 + 1) / (counts + (k1 * (1 - b + b * size / mean))[:, None])
-        return (_rounded(part @ weights),)
+    def part(count, size):
+        return count * (k1 + 1) / (count + k1 * (1 - b + b * size / mean))
 
-    def weigh(units, counts):
-        idf = _weights(df, units, F.when(raw < 0, F.lit(floor)).otherwise(raw))[:, None]
-        return counts * np.nan_to_num(idf), (counts > 0) & ~np.isnan(idf)
+    def weigh(units, unit, query, count, many):
+        return count * _weights(df, units, F.when(raw < 0, F.lit(floor)).otherwise(raw))[unit], np.zeros(many)
 
-    out = _search(own, queries.select(query_key, terms(F.col("text")).alias("units")), doc_key, query_key, k, score, ["score"], weigh)
+    out = _search(own, queries.select(query_key, terms(F.col("text")).alias("units")), doc_key, query_key, k, part, lambda sums, *_: (_rounded(sums),), ["score"], weigh)
     df.unpersist()
     return out.select(query_key, doc_key, "score", "rank")
 
@@ -176,12 +200,11 @@ def token_overlap(docs: DataFrame, queries: DataFrame, doc_key: str, query_key:
     """query_key, doc_key, jaccard, overlap (the share of the query found) and rank, over distinct tokens or bigrams."""
     unit = (lambda c: F.array_distinct(tx.bigrams(tx.tokens(c)))) if bigrams else (lambda c: F.array_distinct(tx.tokens(c)))
 
-    def score(counts, weights, size, _):
-        both, of_query = counts @ weights, weights.sum(axis=0)
-        return _rounded(both / np.maximum(of_query + size[:, None] - both, 1)), _rounded(both / np.maximum(of_query, 1))
+    def finish(both, _, size, of_query):
+        return _rounded(both / np.maximum(of_query + size - both, 1)), _rounded(both / np.maximum(of_query, 1))
 
     own = docs.select(doc_key, unit(F.col("text")).alias("units"), F.lit(0.0).alias("fact"))
-    return _search(own, queries.select(query_key, unit(F.col("text")).alias("units")), doc_key, query_key, k, score, ["jaccard", "overlap"], lambda units, counts: (counts, counts > 0))
+    return _search(own, queries.select(query_key, unit(F.col("text")).alias("units")), doc_key, query_key, k, lambda count, _: count, finish, ["jaccard", "overlap"], lambda units, unit, query, count, many: (count, np.bincount(query, minlength=many).astype(float)))
 
 
 def merged(head: DataFrame, tail: DataFrame, group: str, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ query, so only partial results are shuffled; a window ranks them. Filters hold b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +50,19 @@ def _searcher(block, k: int, diversity: str):
 
 
 def vector_topk(memory: DataFrame, queries: DataFrame, k: int = 10, diversity: str = "none") -> DataFrame:
-    """query_id, vec_id, distance, rank; both tables have vec_id, task, variation, embedding. Ties rank by vec_id."""
+    """query_id, vec_id, distance, rank; both tables have vec_id, task, variation, embedding. Ties rank by vec_id.
+
+    Rows without a vector are not found and find nothing; of vectors of unlike lengths none is near another."""
     if diversity not in DIVERSITY:
         raise ValueError(f"unknown diversity strategy {diversity!r}")
     spark = memory.sparkSession
-    own = queries.select("vec_id", "task", "variation", "embedding").filter("embedding is not null")
+    # Vectors of unlike lengths have no distance: each length is searched for itself.
+    sizes = sorted(r[0] for r in queries.filter("size(embedding) > 0").select(F.size("embedding")).distinct().collect())
+    if len(sizes) > 1:
+        found = [vector_topk(memory, queries.filter(F.size("embedding") == n), k, diversity) for n in sizes]
+        return reduce(DataFrame.unionByName, found)
+    memory = memory.filter(F.size("embedding") == (sizes[0] if sizes else -1))
+    own = queries.select("vec_id", "task", "variation", "embedding").filter("size(embedding) > 0")
     blocks = max(1, -(-own.count() // BLOCK))
     found = None
     for b in range(blocks):

@@ -95,18 +95,26 @@ def first_match(rows: DataFrame, table: DataFrame, keys: list[str], order: list[
 def containing(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, words: int = 5) -> DataFrame:
     """doc_key, item_key: the documents whose lower-cased words hold all words of an item in a row.
 
-    Documents and items meet on the item's first words, so only rows that begin alike are compared. Items without words are
-    in no document."""
+    Documents and items meet on the rarest run of ``words`` words of an item (all of a shorter one's): an item's runs are
+    counted over all documents first. What is exploded is a hash of each run, never a text; texts are fetched for the pairs
+    that met alone, and compared whole. Items without words are in no document."""
     split = lambda: F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
     whole = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    asked = items.select(item_key, split().alias("w")).filter(F.size("w") > 0).select(item_key, F.least(F.size("w"), F.lit(words)).alias("k"), F.array_join(F.slice("w", 1, words), " ").alias("head"), whole(F.col("w")).alias("item"))
-    sizes = [r["k"] for r in asked.select("k").distinct().collect()]  # at most ``words`` numbers
-    own = docs.select(doc_key, split().alias("w"))
-    heads = [F.expr(f"transform(sequence(1, greatest(size(w) - {k} + 1, 1)), i -> array_join(slice(w, i, {k}), ' '))") for k in sizes]
+    runs_of = lambda k: F.expr(f"transform(sequence(1, greatest(size(w) - {k} + 1, 1)), i -> xxhash64(slice(w, i, {k})))")
+    asked = items.select(item_key, split().alias("w")).filter(F.size("w") > 0).withColumn("k", F.least(F.size("w"), F.lit(words)))
+    sizes = sorted(r["k"] for r in asked.select("k").distinct().collect())  # at most ``words`` numbers
     if not sizes:
-        return own.select(doc_key, F.lit(None).cast(dict(items.dtypes)[item_key]).alias(item_key)).limit(0)
-    met = own.select(doc_key, whole(F.col("w")).alias("text"), F.explode(F.array_distinct(F.concat(*heads))).alias("head")).join(asked, "head")
-    return met.filter(F.contains(F.col("text"), F.col("item"))).select(doc_key, item_key)
+        return docs.select(doc_key, F.lit(None).cast(dict(items.dtypes)[item_key]).alias(item_key)).limit(0)
+    own = F.coalesce(*[F.when(F.col("k") == k, runs_of(k)) for k in sizes])
+    wanted = asked.select(item_key, F.explode(F.array_distinct(own)).alias("run"))
+    held = docs.select(doc_key, split().alias("w")).select(doc_key, F.explode(F.array_distinct(F.concat(*[runs_of(k) for k in sizes]))).alias("run"))
+    # Only runs of items are kept; each is counted where it lies first.
+    met = held.join(wanted.select("run").distinct(), "run", "left_semi")
+    counts = met.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(counts, "run", "left").groupBy(item_key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r"))
+    pairs = met.join(rarest.filter("r.n > 0").select(item_key, F.col("r.run").alias("run")), "run").select(doc_key, item_key).distinct()
+    texts = docs.select(doc_key, whole(split()).alias("text")).join(pairs, doc_key).join(asked.select(item_key, whole(F.col("w")).alias("item")), item_key)
+    return texts.filter(F.contains(F.col("text"), F.col("item"))).select(doc_key, item_key)
 
 
 def stage_merge(reranked: DataFrame, rest: DataFrame, group: str, key: str) -> DataFrame:

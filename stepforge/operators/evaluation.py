@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepforge.operators.order import numbered
@@ -96,3 +96,41 @@ def message_rollup(counted: DataFrame) -> DataFrame:
     of_cause = {f"cause_{name}": F.count_if(F.col("cause") == name) for name in [n for _, n in CAUSES] + ["not_sure"]}
     columns = {"warnings": F.count_if("warning"), "errors": F.count_if(~F.col("warning")), "type_non_admissible_action": F.count_if(F.col("type") == "non_admissible_action"), "type_planner_failed": F.count_if(F.col("type") == "planner_failed")}
     return counted.rollup("task", "episode").agg(*[c.alias(name) for name, c in (columns | of_type | of_cause).items()])
+
+
+def episode_class(environment: Column, score: Column, steps: Column) -> Column:
+    """success, failure or in_progress of a final score: exactly 1 and 0 in environment A, at least 1 and at most 0 elsewhere;
+    unknown without steps or score."""
+    exact = environment == "A"
+    won, lost = F.when(exact, score == 1).otherwise(score >= 1), F.when(exact, score == 0).otherwise(score <= 0)
+    return F.when((F.coalesce(steps, F.lit(0)) <= 0) | score.isNull(), "unknown").when(won, "success").when(lost, "failure").otherwise("in_progress")
+
+
+def class_blocks(found: DataFrame) -> DataFrame:
+    """task (null for all), block, episodes, share, and mean, deviation, least and most of steps and scores: a block for each
+    class, one for all that did not fail and one for all episodes. found: task, class, total_steps, final_score."""
+    blocks = F.array_compact(F.array("class", F.when(F.col("class") != "failure", "not_failed"), F.lit("all")))
+    rows = found.select("task", "total_steps", "final_score", F.explode(blocks).alias("block"))
+    numbers = [f(c).alias(f"{n}_{c.split('_')[1]}") for c in ("total_steps", "final_score") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"), (F.min, "min"), (F.max, "max"))]
+    out = rows.rollup("block", "task").agg(F.count(F.lit(1)).alias("episodes"), F.grouping("block").alias("whole"), F.grouping("task").alias("every"), *numbers).filter("whole = 0")
+    # A row for each task and block.
+    of_task = F.max(F.when(F.col("block") == "all", F.col("episodes"))).over(Window.partitionBy("task", "every"))
+    rounded = [F.round(c, 6).alias(c) for c in out.columns if c[:4] in ("mean", "std_")]
+    return out.select("task", "block", "episodes", F.round(F.col("episodes") / of_task, 6).alias("share"), *rounded, "min_steps", "max_steps", "min_score", "max_score")
+
+
+def outcomes(steps: DataFrame, trajectory: str, order: list[str], success: Column) -> DataFrame:
+    """``steps`` with trajectory_length and trajectory_success, of the last step, on every row; a trajectory is summed first,
+    and its rows are never gathered."""
+    last = steps.groupBy(trajectory).agg(F.count(F.lit(1)).alias("trajectory_length"), F.max(F.struct(*order, F.coalesce(success, F.lit(False)).alias("won"))).alias("last"))
+    return steps.join(last.select(trajectory, "trajectory_length", F.col("last.won").alias("trajectory_success")), trajectory)
+
+
+def stage_ranks(rows: DataFrame, group: str, stages: dict[str, list]) -> DataFrame:
+    """``rows`` with a rank from 1 for each stage, by its own order within a group."""
+    return rows.withColumns({name: F.row_number().over(Window.partitionBy(group).orderBy(*order)) for name, order in stages.items()})
+
+
+def rank_gain(before: str, after: str) -> Column:
+    """What a rank gained over the one before, in reciprocal ranks; 0 where one is missing."""
+    return F.round(F.coalesce(1 / F.col(after) - 1 / F.col(before), F.lit(0.0)), 6)

@@ -149,3 +149,41 @@ def choice(answer: Column) -> Column:
     told = [F.when(text.rlike(rf"\b{word}\s*{'[:-]?' if word == 'ANSWER' else ''}\s*{letter}\b"), letter) for word in CHOICE_WORDS for letter in "AB"]
     alone = {letter: text.rlike(rf"\b{letter}\b") for letter in "AB"}
     return F.coalesce(*told, F.when(alone["A"] & ~alone["B"], "A").when(alone["B"] & ~alone["A"], "B"), F.lit(""))
+
+
+def shared_rows(evaluation: DataFrame, index: DataFrame, field: str, limit: int = 10) -> DataFrame:
+    """field, value and side of at most ``limit`` rows of the evaluation whose value the index has too. Values are text; null
+    and empty ones are none. A report, in the values' order."""
+    own = lambda d: d.select(F.nullif(F.col(field).cast("string"), F.lit("")).alias("value")).filter("value is not null")
+    left, right = own(evaluation), own(index)
+    return left.join(right.distinct(), "value", "left_semi").orderBy("value").limit(limit).select(F.lit(field).alias("field"), "value", F.lit("evaluation").alias("side"))
+
+
+def provenance(rows: DataFrame, gold: DataFrame, keys: list[str], wanted: dict[str, Column]) -> DataFrame:
+    """``rows`` with ``wanted`` (of gold's columns) of the gold record of their ``keys``; a row with a null or empty key, or
+    without a record, has nulls. Of repeated records the one with the smallest values counts."""
+    named = gold.select(*[F.col(k).cast("string").alias(f"gold_{k}") for k in keys], *[c.alias(n) for n, c in wanted.items()])
+    known = named.groupBy(*[f"gold_{k}" for k in keys]).agg(F.min(F.struct(*wanted)).alias("found"))
+    same = [F.nullif(F.trim(F.col(k).cast("string")), F.lit("")) == F.col(f"gold_{k}") for k in keys]
+    return rows.join(known, same, "left").select(*rows.columns, *[F.col(f"found.{n}").alias(n) for n in wanted])
+
+
+def in_answer_order(answer: DataFrame, candidates: DataFrame, group: str, key: str) -> DataFrame:
+    """The candidates that a reranker's ``answer`` (group, place, key) names, with ``rank`` by place: an unknown or empty key is
+    passed over, and of candidates that share a key the last by rank counts. A key named twice stands twice."""
+    last = candidates.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").groupBy(group, key).agg(F.max_by(F.struct(*[c for c in candidates.columns if c not in (group, key)]), "rank").alias("own"))
+    rest = [c for c in candidates.columns if c not in (group, key, "rank")]
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("place"))
+    return answer.select(group, "place", key).join(last, [group, key]).select(group, key, *[F.col(f"own.{c}").alias(c) for c in rest], rank.alias("rank"))
+
+
+def with_ranks(rows: DataFrame, group: str, order: list) -> DataFrame:
+    """``rows`` with retrieved_rank and final_rank, those that are missing filled by the place in ``order``."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return rows.withColumn("_place", place).withColumns({c: F.coalesce(F.col(c).cast("long"), F.col("_place").cast("long")) for c in ("retrieved_rank", "final_rank")}).drop("_place")
+
+
+def usage(calls: DataFrame, groups: list[str], hit: Column, size: Column) -> DataFrame:
+    """Calls, how many a cache answered, its hit rate, and the mean size of the batches that were run (0 for none)."""
+    out = calls.groupBy(*groups).agg(F.count(F.lit(1)).alias("calls"), F.count_if(hit).alias("hits"), F.coalesce(F.avg(F.when(~hit, size)), F.lit(0.0)).alias("mean_batch"))
+    return out.withColumn("hit_rate", F.round(F.col("hits") / F.greatest(F.col("calls"), F.lit(1)), 6)).withColumn("mean_batch", F.round("mean_batch", 6))

@@ -31,10 +31,10 @@ from stepforge.llm import textops
 from stepforge.llm.shared import texts_of, written
 
 END = 2
-SHARD_IDS = 1 << 20
-PIECES = 500_000
+SHARD_IDS = 1 << 19
+PIECES = 700_000
 SLOT_BITS = 21
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 JOINED = 256
 MAGIC = 0x32464553
 HEADER = 6
@@ -218,17 +218,34 @@ class Encoder:
 
     def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, one after the other, and how many each has."""
+        bounds = np.append(starts, ends[-1:]).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        number = self._numbers(coded.dictionary.cast(pa.large_binary()))[coded.indices.to_numpy()]
+        length = self.length[number]
+        stop = np.cumsum(length, dtype=np.int64)
+        return self.flat[np.arange(stop[-1]) + np.repeat(self.start[number] - stop + length, length)], length
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of distinct pieces; new ones are encoded."""
+        offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+        data, starts, ends = np.frombuffer(pieces.buffers()[2], np.uint8), offsets[:-1], offsets[1:]
         keys = textops.span_hashes(data, starts, ends) | np.uint64(1)
-        number = np.zeros(len(keys), np.int64)
-        left = np.arange(len(keys))
+        if self.known + np.count_nonzero(self.find(keys) < 0) > PIECES:
+            self.forget(len(keys))
+        number, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
         while len(left):
+            found = self.find(keys[left])
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                unique, where = np.unique(keys[left[new]], return_index=True)
+                at, raw = left[new[where]], data.tobytes()
+                self.learn(unique, [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+                found[new] = self.find(keys[left[new]])
+            number[left] = found
             # Pieces whose key another piece has take the next key of theirs.
-            number[left] = self._numbers(data, starts[left], ends[left], keys[left], len(left) == len(keys))
-            left = left[~self._same(data, starts[left], ends[left], number[left])]
+            left = left[~self._same(data, starts[left], ends[left], found)]
             keys[left] = textops.mixed(keys[left] + np.uint64(2)) | np.uint64(1)
-        length = self.length[number]
-        stop = np.cumsum(length, dtype=np.int64)
-        return self.flat[np.arange(stop[-1]) + np.repeat(self.start[number] - stop + length, length)], length
+        return number
 
     def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
         """Whether the pieces' bytes are those of the known pieces."""
@@ -238,25 +255,9 @@ class Encoder:
         before = np.cumsum(size) - size
         place = np.arange(int(size.sum())) - np.repeat(before, size)
         unlike = data[place + np.repeat(starts, size)] != self.text[place + np.repeat(self.text_at[number], size)]
-        bad = np.flatnonzero(unlike)
-        same[np.searchsorted(before + size, bad, side="right")] = False
+        same[np.searchsorted(before + size, np.flatnonzero(unlike), side="right")] = False
         return same
 
-    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, may_forget: bool) -> np.ndarray:
-        """The numbers of the pieces' keys; new ones are encoded."""
-        number = self.find(keys)
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            unique, where = np.unique(keys[new], return_index=True)
-            if may_forget and self.known + len(unique) > PIECES:
-                self.forget(len(keys))
-                unique, where = np.unique(keys, return_index=True)
-                new = np.arange(len(keys))
-            where, raw = new[where], data.tobytes()
-            self.learn(unique, [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])
-            number[new] = self.find(keys[new])
-        return number
-
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` after it, and the number of each text's ids."""
         docs = len(offsets) - 1

@@ -212,7 +212,7 @@ def test_toxicity_scores_equal_plain_sums(spark, docs):
         features = set()
         for gram in {text[i : i + k] for k in toxicity.GRAMS for i in range(len(text) - k + 1)}:
             raw = np.frombuffer(gram.encode(), np.uint8)
-            bucket = int(textops.span_hashes(raw, np.array([0]), np.array([len(raw)]))[0] >> np.uint64(64 - toxicity.BUCKET_BITS))
+            bucket = int(textops.span_buckets(raw, np.array([0]), np.array([len(raw)]))[0] >> np.uint64(64 - toxicity.BUCKET_BITS))
             features |= {int(model["index"][bucket])} - {-1}
         z = sum(float(model["weight"][f]) for f in features) + model["bias"]
         assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), rel=1e-6)

@@ -8,13 +8,15 @@ before), but not what decides the rules of its kind (check digit, plus sign, siz
 only by chance passes the check digit one time in ten, and scores so. Candidates that are base spans are the examples;
 those that break the rules, or cross a base span of their kind, the counterexamples; those that keep the rules beside all
 base spans (a card right behind a phone number, say) are left out of the fit, since they are what the trees have to decide.
-The threshold of a kind is the lowest whose precision on the texts kept for calibration is ``PRECISION``; a kind with fewer
-than ``LEAST`` examples gets no more spans. Of the candidates above it whose shape (sizes and
-separators) some example has, those with the best scores are added that touch no base span and no better one; cards and
-addresses must keep their rules too.
+The threshold of a kind is the lowest at which the precision over all texts is ``PRECISION``, each text scored by trees that
+did not see its fold; a kind with fewer than ``LEAST`` examples outside one of the ``FOLDS`` folds gets no more spans. Of the
+candidates above it whose shape (sizes and separators) some example has, those with the best scores are added that touch no
+base span and no better one; cards and addresses must keep their rules too.
 
-The fit is bounded: the corpus is counted as distinct (features, label) rows, of which at most about ``FIT_ROWS``, chosen by
-hash, go to the driver with the logarithm of their count as weight, so that copies of a text cannot outweigh the rest.
+The fit reads every candidate of every text. Spark counts them as distinct (features, label) rows, whose weight is the
+logarithm of their count, so that copies of a text cannot outweigh the rest. The edges of the bins come from exact counts of
+all values, the trees from histograms of all rows (``boosting.classifiers``), and the thresholds from all scores: sums of
+each 1 / ``STEPS`` of their range, then each score within one. The driver gets these sums and the examples' shapes alone.
 
 Defined results: a null text is empty and has no spans; offsets are code points, ends exclusive; repeated rows are judged
 alike and each has its row, null doc_ids too; long texts are read whole, in time proportional to their length; an empty
@@ -31,6 +33,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +42,13 @@ from stepforge.llm.shared import discarded, texts_of, written
 from stepforge.operators import boosting
 
 KINDS = ("email", "ip", "card", "phone")
-FIT_ROWS, PRECISION, LEAST = 50_000, 0.98, 20
-#: One text in so many is kept for calibration.
-CALIBRATION = 4
+PRECISION, LEAST = 0.98, 20
+#: Texts are dealt to so many folds, to be scored by trees that did not see them.
+FOLDS = 4
+#: Scores are whole numbers of 1 / UNITS; a step of the range holds UNITS / STEPS of them at most.
+UNITS, STEPS = 10**9, 10**4
+#: Weights are whole numbers of 1 / WEIGHT, so that their sums do not depend on their order.
+WEIGHT = 1 << 20
 #: Digits and groups of digits of a candidate, and of those that keep the rules of the kind.
 DIGITS = {"card": (13, 19), "phone": (7, 15)}
 STRICT = {"card": (14, 19), "phone": (10, 15)}
@@ -217,55 +224,135 @@ class Model:
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in textops.released(batches):
-        rows: list[tuple[str, str, bytes, int, bool]] = []
+        rows: list[tuple[str, str, bytes, int, int]] = []
         for text in batch.column(0):
             text = text.as_py() or ""
             spans = base_spans(text)
             own, starts = set(spans), [s[0] for s in spans]
             # Spans of one kind do not overlap, so the one that begins last before a place is near enough.
             near = lambda a: [s for s in spans[max(0, bisect_left(starts, a) - 8) : bisect_left(starts, a) + 8]]
-            held = zlib.crc32(text.encode()) % CALIBRATION == 0
+            fold = zlib.crc32(text.encode()) % FOLDS
             for kind, a, b, right, shape, features in candidates(text):
                 known = (a, kind, b) in own
                 if known or not right or any(k == kind and x < b and a < y for x, k, y in near(a)):
-                    rows.append((kind, shape, bytes(min(x, 255) for x in features), int(known), held))
+                    rows.append((kind, shape, bytes(min(x, 255) for x in features), int(known), fold))
         columns = list(zip(*rows)) if rows else [[], [], [], [], []]
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int32(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["kind", "shape", "features", "label", "held"])
-
-
-def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
+        kinds = (pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["kind", "shape", "features", "label", "fold"])
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows (kind, features) of each kind have each value of each feature."""
+    total: dict[str, np.ndarray] = {}
+    for block in boosting.blocks(batches):
+        for kind in block.column(0).unique().to_pylist():
+            own = block.filter(pc.equal(block.column(0), kind)).column(1).to_pylist()
+            values = np.frombuffer(b"".join(own), np.uint8).reshape(len(own), -1).astype(np.int64)
+            found = np.bincount((values + 256 * np.arange(values.shape[1])).ravel(), minlength=256 * values.shape[1])
+            total[kind] = total.get(kind, 0) + found
+    for kind, found in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found)), pa.array(np.arange(len(found))), pa.array(found)], ["kind", "cell", "n"])
+
+
+def _edges(counted: DataFrame) -> dict[str, list[list[float]]]:
+    """Edges of the bins of each kind with enough examples."""
+    examples = {k: [0] * FOLDS for k in KINDS}
+    for r in counted.filter("label = 1").groupBy("kind", "fold").agg(F.count(F.lit(1)).alias("n")).collect():
+        examples[r["kind"]][r["fold"]] = r["n"]
+    enough = [k for k, n in examples.items() if sum(n) - max(n) >= LEAST]
+    found = counted.select("kind", "features").mapInArrow(_values, "kind string, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
+    kind, cell, n = (found.column(c).to_numpy() for c in ("kind", "cell", "n"))
+    out = {}
+    for k in enough:
+        counts = np.zeros(int(cell[kind == k].max()) + 1, np.int64)
+        counts[cell[kind == k]] = n[kind == k]
+        out[k] = boosting.edges_of_counts(counts.reshape(-1, 256))
+    return out
+
+
+def _binned(counted: DataFrame, edges: dict[str, list[list[float]]]) -> DataFrame:
+    """kind, fold, label, weight and bins of all rows, those of the same bins as one."""
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in boosting.blocks(batches):
+            for kind, own in edges.items():
+                some = block.filter(pc.equal(block.column("kind"), kind))
+                if len(some):
+                    values = np.frombuffer(b"".join(some.column("features").to_pylist()), np.uint8).reshape(len(some), -1)
+                    bins = boosting.binned(values.astype(float), own)
+                    some = some.drop(["features"]).append_column("bins", pa.array([row.tobytes() for row in bins], pa.binary()))
+                    yield from some.to_batches()
+
+    units = F.round((1 + F.log2("n")) * WEIGHT).cast("long").alias("units")
+    rows = counted.select("kind", "fold", "label", units, "features").mapInArrow(binned, "kind string, fold int, label int, units long, bins binary")
+    return rows.groupBy("kind", "fold", "label", "bins").agg(F.sum("units").alias("units")).select("kind", "fold", "label", (F.col("units") / WEIGHT).alias("weight"), "bins")
+
+
+def fit(docs: DataFrame) -> Model:
     """Trees and thresholds from the base spans of ``docs`` (text); kinds without enough of them have none."""
-    counted = texts_of(docs).select(F.col("text").cast("string")).mapInArrow(_labelled, "kind string, shape string, features binary, label int, held boolean")
-    counted = written(counted.groupBy("kind", "shape", "features", "label", "held").agg(F.count(F.lit(1)).alias("n")), "pii-candidates")
-    total = counted.count()
-    sample = counted.filter(F.pmod(F.xxhash64("kind", "shape", "features", "label", "held"), F.lit(max(total, 1))) < rows).orderBy("kind", "shape", "features", "label", "held").toArrow().to_pylist()
-    discarded(counted)
-    trees, thresholds, shapes = {}, {}, {}
-    for kind in KINDS:
-        own = [r for r in sample if r["kind"] == kind]
-        if not own:
-            continue
-        values = np.array([list(r["features"]) for r in own], dtype=float)
-        label, weight, held = (np.array([f(r) for r in own]) for f in (lambda r: r["label"], lambda r: 1 + np.log2(r["n"]), lambda r: r["held"]))
-        if min(label[held].sum(), label[~held].sum()) < LEAST:
-            continue
-        edges = boosting.edges_of(values[~held])
-        model = boosting.classifier(boosting.binned(values[~held], edges), label[~held].astype(float), weight[~held], edges)
-        score = np.round(1 / (1 + np.exp(-model.score(model.bins(values[held])))), 9)
-        threshold = _threshold(score, label[held], weight[held])
-        if threshold is not None:
-            trees[kind], thresholds[kind] = model, threshold
-            shapes[kind] = frozenset(r["shape"] for r in own if r["label"])
-    return Model(trees, thresholds, shapes)
-
-
-def _threshold(score: np.ndarray, label: np.ndarray, weight: np.ndarray, precision: float = PRECISION) -> float | None:
-    """The lowest score such that those at least as high are right so often, and at least half of the examples are among them."""
+    counted = texts_of(docs).select(F.col("text").cast("string")).mapInArrow(_labelled, "kind string, shape string, features binary, label int, fold int")
+    counted = written(counted.groupBy("kind", "shape", "features", "label", "fold").agg(F.count(F.lit(1)).alias("n")), "pii-candidates")
+    edges = _edges(counted)
+    if not edges:
+        discarded(counted)
+        return Model()
+    # Read in every round: dealt to all cores.
+    rows = written(_binned(counted, edges).repartition(docs.sparkSession.sparkContext.defaultParallelism), "pii-bins")
+    models = boosting.classifiers(rows, edges, FOLDS)
+    thresholds = _thresholds(rows, models)
+    shapes: dict[str, set[str]] = {k: set() for k in thresholds}
+    for r in counted.filter("label = 1").select("kind", "shape").distinct().toLocalIterator():
+        if r["kind"] in shapes:
+            shapes[r["kind"]].add(r["shape"])
+    discarded(counted, rows)
+    return Model({k: models[k, FOLDS] for k in thresholds}, thresholds, {k: frozenset(own) for k, own in shapes.items()})
+
+
+def _thresholds(rows: DataFrame, models: dict[boosting.Key, boosting.Boosted]) -> dict[str, float]:
+    """The threshold of each kind that has one, from the scores of all rows, each by the trees without its fold."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = {kind: len(model.edges) for (kind, _), model in shared.value.items()}
+        for block in boosting.blocks(batches):
+            for kind, bins, label, weight, fold in boosting.by_kind(block, features):
+                place = np.zeros(len(bins), np.int64)
+                for k in range(FOLDS):
+                    ours = fold == k
+                    place[ours] = np.rint(UNITS / (1 + np.exp(-shared.value[kind, k].score(bins[ours]))))
+                columns = [pa.array([kind] * len(place)), pa.array(place), pa.array(label), pa.array(np.rint(weight * WEIGHT).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["kind", "place", "label", "units"])
+
+    places = rows.mapInArrow(scored, "kind string, place long, label int, units long").groupBy("kind", "place", "label").agg(F.sum("units").alias("units"))
+    places = written(places.withColumn("step", (F.col("place") / (UNITS // STEPS)).cast("int")), "pii-scores")
+    good = F.sum(F.col("units") * F.col("label"))
+    steps = places.groupBy("kind", "step").agg(good.alias("good"), F.sum("units").alias("every")).orderBy("kind", F.desc("step")).collect()
+    examples, above = {}, {}
+    for r in steps:
+        own = examples.get(r["kind"], (0, 0))
+        above[r["kind"], r["step"]] = own
+        examples[r["kind"]] = own[0] + r["good"], own[1] + r["every"]
+
+    def lowest(own: pa.Table) -> pa.Table:
+        kind, step = own.column("kind")[0].as_py(), own.column("step")[0].as_py()
+        place, label, units = (own.column(c).to_numpy() for c in ("place", "label", "units"))
+        found = _threshold(place / UNITS, label, units, above=above[kind, step], examples=examples[kind][0])
+        return pa.table({"kind": pa.array([kind] * (found is not None), pa.string()), "threshold": pa.array([] if found is None else [found], pa.float64())})
+
+    # A step has at most UNITS / STEPS places.
+    found = places.groupBy("kind", "step").applyInArrow(lowest, "kind string, threshold double").groupBy("kind").agg(F.min("threshold").alias("threshold")).collect()
+    discarded(places)
+    return {k: r["threshold"] for k in KINDS for r in found if r["kind"] == k}
+
+
+def _threshold(score: np.ndarray, label: np.ndarray, weight: np.ndarray, precision: float = PRECISION, above: tuple[float, float] = (0, 0), examples: float | None = None) -> float | None:
+    """The lowest score such that those at least as high are right so often, and at least half of the examples are among them.
+
+    ``above`` are the weights of the examples and of all rows whose scores are higher than these, ``examples`` that of all examples."""
     order = np.argsort(-score, kind="stable")
-    good, every = np.cumsum((weight * label)[order]), np.cumsum(weight[order])
+    good, every = above[0] + np.cumsum((weight * label)[order]), above[1] + np.cumsum(weight[order])
     last = np.append(score[order][1:] != score[order][:-1], True)
-    ok = np.flatnonzero(last & (good >= precision * every) & (2 * good >= good[-1]))
+    ok = np.flatnonzero(last & (good >= precision * every) & (2 * good >= (good[-1] if examples is None else examples)))
     return max(0.5, float(score[order][ok[-1]])) if len(ok) else None
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepforge.llm import pii
+from stepforge.operators import boosting
 
 #: The patterns as the contract states them.
 PATTERNS = {
@@ -121,3 +122,33 @@ def test_thresholds_keep_precision():
     label = (rng.random(4000) < score**0.2).astype(float)
     t = pii._threshold(score, label, np.ones(4000), 0.9)
     assert label[score >= t].mean() >= 0.9 and t < 0.9
+
+
+def test_few_examples_among_very_many_candidates_are_learned(spark):
+    """120 addresses among over 100,000 other candidates: all of them count, not those of a sample."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghik") for _ in range(4))
+    number = lambda: "-".join(str(rng.randrange(10**a, 10 ** (a + 1))) for a in (rng.randrange(1, 6) for _ in range(3)))
+    texts = [" ".join(f"{word()} {number()}" for _ in range(400)) for _ in range(200)]
+    texts += [f"{word()} {MADE['email'](rng)} {word()}" for _ in range(120)]
+    assert len({(c[0], c[4], tuple(c[5])) for t in texts for c in pii.candidates(t)}) > 100_000
+    model = pii.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert "email" in model.trees and len(model.shapes["email"]) == len({c[4] for t in texts for c in pii.candidates(t) if c[0] == "email" and (c[1], "email", c[2]) in pii.base_spans(t)})
+
+
+def test_thresholds_come_from_all_rows_out_of_fold(spark):
+    rng = np.random.default_rng(9)
+    edges = {"card": [[float(x) for x in range(8)]] * 3, "phone": [[float(x) for x in range(8)]] * 2}
+    rows = []
+    for kind, own in edges.items():
+        for _ in range(3000):
+            bins = rng.integers(0, 9, len(own), dtype=np.uint8)
+            rows.append((kind, int(rng.integers(pii.FOLDS)), int(rng.random() < (0.995 if bins.sum() > 9 else 0.1)), float(rng.integers(1, 5)), bins.tobytes()))
+    df = spark.createDataFrame(rows, "kind string, fold int, label int, weight double, bins binary").repartition(5)
+    models = boosting.classifiers(df, edges, pii.FOLDS, trees=6)
+    got = pii._thresholds(df, models)
+    for kind in edges:
+        own = [r for r in rows if r[0] == kind]
+        score = np.array([round(float(1 / (1 + np.exp(-models[kind, r[1]].score(np.frombuffer(r[4], np.uint8)[None])[0]))), 9) for r in own])
+        assert got.get(kind) == pii._threshold(score, np.array([r[2] for r in own]), np.array([r[3] for r in own]))
+    assert got

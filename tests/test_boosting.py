@@ -107,6 +107,46 @@ def test_classifier_learns_an_interaction():
     assert np.array_equal(again.score(again.bins(x)), model.score(model.bins(x)))
 
 
+def test_values_equal_those_of_the_nodes():
+    rng = np.random.default_rng(7)
+    for depth in (0, 1, 2, 3, 5):
+        for size in (0, 1, 300):
+            feature = np.where(np.arange((2 << depth) - 1) < (1 << depth) - 1, rng.integers(-1, 4, (2 << depth) - 1), -1)
+            for at in range(1, len(feature)):
+                feature[at] = -1 if feature[(at - 1) // 2] < 0 else feature[at]
+            tree = boosting.Tree(feature, rng.integers(0, 31, len(feature)), rng.random(len(feature)))
+            bins = rng.integers(0, 32, (size, 4), dtype=np.uint8)
+            assert np.array_equal(tree.values(bins.T), tree.value[tree.nodes(bins)])
+
+
+def test_edges_of_counts_equal_those_of_values():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 5, 31, 32, 33, 500, 4001):
+        values = np.stack([rng.integers(0, top, n) for top in (1, 3, 40, 256)], axis=1)
+        counts = np.stack([np.bincount(column, minlength=256) for column in values.T])
+        assert boosting.edges_of_counts(counts) == boosting.edges_of(values.astype(float))
+
+
+def test_classifiers_of_a_table_equal_those_of_rows_at_hand(spark):
+    """Every kind and fold, however the rows are dealt."""
+    rng = np.random.default_rng(5)
+    edges, rows = {"a": [[0.0, 1.0, 2.0]] * 3, "b": [[0.0, 1.0, 2.0, 3.0]] * 2}, []
+    for kind, own in edges.items():
+        for _ in range(700):
+            bins = rng.integers(0, len(own[0]) + 1, len(own), dtype=np.uint8)
+            rows.append((kind, int(rng.integers(3)), int(rng.random() < 0.1 + 0.8 * ((bins[0] > 1) == (bins[1] > 1))), 1 + float(rng.random()), bins.tobytes()))
+    df = spark.createDataFrame(rows, "kind string, fold int, label int, weight double, bins binary")
+    models = boosting.classifiers(df.repartition(5), edges, 3, trees=4, depth=2)
+    again = boosting.classifiers(df.coalesce(1), edges, 3, trees=4, depth=2)
+    assert {k: m.plain() for k, m in models.items()} == {k: m.plain() for k, m in again.items()}
+    for (kind, fold), model in models.items():
+        own = [r for r in rows if r[0] == kind and r[1] != fold]
+        bins = np.stack([np.frombuffer(r[4], np.uint8) for r in own])
+        want = boosting.classifier(bins, np.array([float(r[2]) for r in own]), np.array([r[3] for r in own]), edges[kind], trees=4, depth=2)
+        for mine, other in zip(model.trees, want.trees):
+            assert mine.feature.tolist() == other.feature.tolist() and mine.cut.tolist() == other.cut.tolist() and np.allclose(mine.value, other.value, atol=1e-6)
+
+
 def test_heldout_query(spark, sf_dir):
     found = {r.family: r for r in __spark_entry__.queries()["learned_rank_heldout"](spark, sf_dir).collect()}
     assert set(found) == {"retrieved", *models.FAMILIES} and all(0 <= r.ndcg <= 1 for r in found.values())

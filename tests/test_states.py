@@ -1,6 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,46 @@ def test_a_chain_and_odd_tables(spark):
         text_clusters.text_leaders(df, 0.5)
 
 
+def _crowd(kind):
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(330))
+    if kind == "unlike":  # all but ten characters are the same
+        return [base[:150] + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)) + base[150:] for _ in range(40)]
+    if kind == "like":
+        return [base[:at] + "#" + base[at + 1 :] for at in range(0, 330, 6)]
+    return ["x" * i + base + "y" * (40 - i) for i in range(0, 40, 2)]
+
+
+@pytest.mark.parametrize("kind", ["unlike", "like", "chain"])
+def test_a_crowd_takes_few_rounds(spark, kind, monkeypatch):
+    """Texts that share most sequences are settled many at once; of like ones no pairs are expanded."""
+    tables, write = [], text_clusters.written
+    monkeypatch.setattr(text_clusters, "written", lambda df, name: (tables.append(name), write(df, name))[1])
+    texts = dict(enumerate(_crowd(kind)))
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3)
+    want = greedy(texts, 0.99)
+    assert {r.id: r.leader for r in text_clusters.text_leaders(df, 0.99).collect()} == want
+    assert len(set(want.values())) == {"unlike": 40, "like": 1, "chain": 10}[kind]
+    assert tables.count("free") - 1 <= {"unlike": 5, "like": 1, "chain": 6}[kind]
+
+
+def test_rarest_sequences_do_not_depend_on_the_texts_beside():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab é😀") for _ in range(n)) for n in (60, 1, 400, 90, 0, 75)] + ["a" * 200]
+    counts = np.arange(text_clusters.CELLS) % 97
+    for threshold, q in ((0.99, 16), (0.95, 8), (0.9, 4)):
+        assert text_clusters.gram(threshold) == q
+        assert all(n + q - 1 > q * text_clusters.allowed(n, threshold) for n in range(5000))
+        most = np.array([q * text_clusters.allowed(len(t), threshold) + 1 for t in texts])
+        grams, owner = text_clusters._rarest(texts, q, most, counts)
+        assert np.bincount(owner).tolist() == most.tolist()
+        for i, text in enumerate(texts):
+            own = text_clusters._rarest([text], q, most[i : i + 1], counts)[0]
+            assert own.tolist() == grams[owner == i].tolist() and len(set(own.tolist())) == len(own)
+    whole, held = text_clusters._hashes(["abcdabcd", "xabcdx"], 4)
+    assert held.tolist() == [11, 9] and whole[3] == whole[7] == whole[11 + 4] and len(set(whole.tolist())) == 18
+
+
 def test_queries(spark, sf_dir):
     queries = __spark_entry__.queries()
     texts = pd.read_parquet(f"{sf_dir}/conversations.parquet")
